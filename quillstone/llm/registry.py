@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import media, secrets
+from . import html_text, media, secrets
 
-MODULES = (secrets, media)
+MODULES = (html_text, secrets, media)
 
 
 def queries() -> dict:
