@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_text, media, secrets
+from . import html_text, media, mixing, secrets
 
-MODULES = (html_text, secrets, media)
+MODULES = (mixing, html_text, secrets, media)
 
 
 def queries() -> dict:
