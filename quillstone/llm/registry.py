@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_text, media, mixing, secrets
+from . import decontaminate, html_text, media, mixing, secrets
 
-MODULES = (mixing, html_text, secrets, media)
+MODULES = (decontaminate, mixing, html_text, secrets, media)
 
 
 def queries() -> dict:
