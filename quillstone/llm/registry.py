@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, media, mixing, quality, secrets
+from . import decontaminate, html_text, language, media, mixing, quality, secrets
 
-MODULES = (decontaminate, quality, mixing, html_text, secrets, media)
+MODULES = (decontaminate, quality, language, mixing, html_text, secrets, media)
 
 
 def queries() -> dict:
