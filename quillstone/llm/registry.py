@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, media, mixing, neardup, quality, secrets
+from . import decontaminate, html_text, language, media, mixing, neardup, pii, quality, secrets
 
-MODULES = (decontaminate, quality, neardup, language, mixing, html_text, secrets, media)
+MODULES = (pii, decontaminate, quality, neardup, language, mixing, html_text, secrets, media)
 
 
 def queries() -> dict:
