@@ -32,8 +32,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    # shuffle files of the steps before go once the driver's collector finds them unused; asking for it keeps disks from filling up
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def crc_mod(column: str, m: int):

@@ -11,11 +11,16 @@ those are posted; what a passage in many texts makes common is skipped. Along
 with its posting a class carries one byte of each coordinate, on which matches
 are counted before a pair is formed.
 
-Pairs are not formed within whole posting lists. First each class is compared
-with the least class of each of its lists; agreement is confirmed on the full
-sets. Then, only for lists that still hold several components, classes of
-different components are compared; within a component nothing is. Components
-come from label propagation with shortcuts, over DataFrames.
+Pairs are not formed within whole posting lists. In rounds, each class outside a
+list's main component is compared with that component's most central class in
+the list (the one whose pairs of coordinate and value are the most common, as
+those of an original are among its edited copies); agreement is confirmed on the
+full sets. What then still has a match in another component is compared on its
+shingles, again by prefix: two sets with similarity 0.75 share one of the rarest
+floor(n / 4) + 1 shingles of each, and the places of the shared one bound the
+overlap, so an edited copy whose own shingles fill its prefix meets nothing.
+Within a component nothing is compared. Components come from label propagation
+with shortcuts, over DataFrames.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
 with nothing, each its own component; texts of fewer than five words have the
@@ -179,11 +184,66 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row of ``df``."""
+BYTES = [f"b{w}" for w in range(WORDS8)]
+
+
+def _mains(known: DataFrame) -> DataFrame:
+    """(token, main, head of main) for the lists of (token, comp, c, weight, ...) that hold several components."""
+    head = F.struct("weight", "c", "n", *BYTES)
+    parts = known.groupBy("token", "comp").agg(F.count("*").alias("m"), F.max(head).alias("head"))
+    lists = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("m", "head", "comp")).alias("most"))
+    return lists.where("parts > 1").select("token", F.col("most.comp").alias("main"), *[F.col(f"most.head.{x}").alias(x) for x in ("c", "n", *BYTES)])
+
+
+def _star(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Pairs (a, b), a < b, of a class and the head of the main component of one of its lists that it is not in."""
+    known = postings.withColumn("comp", F.col("c")) if comp is None else postings.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    pairs = known.alias("x").join(_mains(known).alias("y"), "token").where(F.col("x.comp") != F.col("y.main")).where(_close("x", "y"))
+    return pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+
+
+def _open_classes(postings: DataFrame, comp: DataFrame) -> DataFrame:
+    """(c, comp, n) of the classes that have a match in another component."""
+    known = postings.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    mixed = known.join(_mains(known).select("token", "main"), "token")
+    rest = mixed.where("comp <> main")
+    apart = F.col("x.comp") != F.col("y.comp")
+    one = mixed.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & _close("x", "y"), "left_semi")
+    two = rest.alias("x").join(mixed.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & _close("x", "y"), "left_semi")
+    return one.select("c", "comp", "n").union(two.select("c", "comp", "n")).distinct()
+
+
+def _shingle_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+    data, ends = text_buffers(batch.column(1))
+    for lo, hi in row_slices(ends):
+        text, key = shingles(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+        yield {"c": batch.column(0).slice(lo, hi - lo).take(pa.array(text)), "h": key.view(np.int64)}
+
+
+def _by_shingles(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that their shingles' prefixes and places leave."""
+    every = map_batches(texts.select("c", "text"), _shingle_batch, "c long, h long")
+    shared = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = every.join(shared, "h").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).join(open_, "c")
+    # shingles of one class only come first in the order; they fill places of the prefix, but meet nothing
+    length = F.floor(F.col("n") * (100 - SIMILARITY) / 100).cast("int") + 1
+    left = F.greatest(length - (F.col("n") - F.size("own")), F.lit(0)).cast("int")
+    rows = own.select("c", "comp", "n", F.size("own").alias("k"), F.posexplode(F.slice("own", F.lit(1), left)).alias("i", "t"))
+    rows = cut(rows.select("c", "comp", "n", (F.col("n") - F.col("k") + F.col("i")).alias("i"), F.col("t.h").alias("h")))
+    parts = rows.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("most")).where("parts > 1")
+    mixed = rows.join(parts.select("h", F.col("most.comp").alias("main")), "h")
+    x, y = mixed.alias("x"), mixed.where("comp <> main").alias("y")
+    apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("x.main")) | (F.col("x.c") < F.col("y.c")))
+    most = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    enough = most * (100 + SIMILARITY) >= (F.col("x.n") + F.col("y.n")) * SIMILARITY
+    return x.join(y, "h").where(apart & enough).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row of ``df``; ``rounds`` of comparing with heads come before the comparison by shingles."""
     rows = cut(sketch(df, id_col, text_col))
     sets = rows.where("n > 0")
-    firsts = sets.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("rep"), F.first("sig").alias("sig"), *[F.first(f"b{w}").alias(f"b{w}") for w in range(WORDS8)])
+    firsts = sets.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("rep"), F.first("sig").alias("sig"), *[F.first(b).alias(b) for b in BYTES])
     classes = cut(firsts.withColumn("c", F.monotonically_increasing_id()))
 
     # postings: of each class, the prefix of its pairs of coordinate and value, the rarest first
@@ -192,37 +252,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = pairs.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ordered = pairs.join(shared, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
     prefix = F.slice("own", 1, F.greatest(F.size("own") - (MATCHES - 1), F.lit(0)))
-    posted = ordered.select("c", F.explode(prefix).alias("t")).select("c", F.col("t.token").alias("token"))
-    listed = posted.join(classes.select("c", "n", *[f"b{w}" for w in range(WORDS8)]), "c")
-    postings = cut(listed)
-
-    # each class against the least class of each of its lists
-    heads = postings.groupBy("token").agg(F.min(F.struct("c", "n", *[f"b{w}" for w in range(WORDS8)])).alias("h"), F.count("*").alias("m")).where("m > 1").select("token", "h.*")
-    star = postings.alias("x").join(heads.alias("y"), "token").where(F.col("x.c") > F.col("y.c")).where(_close("x", "y"))
-    star = cut(star.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    weight = F.aggregate("own", F.lit(0.0), lambda s, x: s + F.log2(x["df"]))
+    posted = ordered.where(F.size("own") >= MATCHES).select("c", F.floor(weight).alias("weight"), F.explode(prefix).alias("t")).select("c", "weight", F.col("t.token").alias("token"))
+    postings = cut(posted.join(classes.select("c", "n", *BYTES), "c"))
 
-    def text_of(pairs: DataFrame) -> DataFrame:
-        """(c, text) of the classes in ``pairs``, from one row of each."""
-        used = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "one"), "c")
-        found = texts.join(used.select("c", F.col("one.th").alias("th"), F.col("one.id").alias("rep")), "th").where(F.col("id").eqNullSafe(F.col("rep")))
-        return cut(found.groupBy("c").agg(F.first("text").alias("text")))
-
-    links = cut(confirm(star, text_of(star)))
-    comp = components(links)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
-    # lists that still hold several components: every class against those outside the list's main component
-    known = postings.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    parts = known.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("most"))
-    mixed = known.join(parts.where("parts > 1").select("token", F.col("most.comp").alias("main")), "token")
-    rest = mixed.where("comp <> main")
-    cross = mixed.alias("x").join(rest.alias("y"), "token").where((F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("x.main")) | (F.col("x.c") < F.col("y.c")))).where(_close("x", "y"))
-    cross = cross.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    cross = cut(cross.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = cut(confirm(cross, text_of(cross)))
-        if not more.isEmpty():
-            comp = components(links.union(more))
+    def text_of(wanted: DataFrame) -> DataFrame:
+        """(c, text) of the classes, from one row of each."""
+        used = wanted.join(classes.select("c", "one"), "c").select("c", F.col("one.th").alias("th"), F.col("one.id").alias("rep"))
+        return cut(texts.join(used, "th").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("c").agg(F.first("text").alias("text")))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return cut(confirm(pairs, text_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())))
+
+    tested = links = comp = None
+    for _ in range(rounds):
+        star = _star(postings, comp)
+        star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
+        if star.isEmpty():
+            break
+        tested = star if tested is None else tested.union(star)
+        new = confirmed(star)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        comp = components(links)
+    if comp is None:
+        comp = classes.select("c", F.col("c").alias("comp")).limit(0)
+    open_ = cut(_open_classes(postings, comp))
+    if not open_.isEmpty():
+        cross = _by_shingles(open_, text_of(open_.select("c")))
+        cross = cut(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"))
+        if not cross.isEmpty():
+            new = confirmed(cross)
+            if not new.isEmpty():
+                comp = components(new if links is None else links.union(new))
 
     ids = classes.select("c", "rep", "k1", "k2", "n").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
