@@ -144,3 +144,9 @@ class PrefixHash:
     def at(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64((self.sums[j] - self.sums[i]) * self.down[i])
+
+    def rolling(self, size: int) -> np.ndarray:
+        """Hashes of all pieces of ``size`` bytes, in order of their starts."""
+        n = len(self.sums) - size
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])

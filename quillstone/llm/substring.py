@@ -25,8 +25,8 @@ Nothing is sent once a document but once a split: what every document holds is
 gathered where it lies first. Anchors with more than ``MANY`` different segments
 in one split skip step 1 there and are looked at string by string at once.
 Buckets receive arrays, not rows. All tasks hold a split's or a bucket's share,
-whose size does not grow with the input. Across splits a string is known by 64
-bits of one polynomial and 16 of another.
+whose size does not grow with the input. Across splits a string is known by its
+64-bit hash and two of its bytes, a segment by its anchor and 48 bits.
 
 Defined cases: null and empty texts have no bytes; texts under LENGTH bytes lose
 none; equal texts under different ids lose all but the first; rows with equal
@@ -62,25 +62,15 @@ MESSAGE = "bucket int, split int, step int, body binary"
 ANSWER = "split int, step int, body binary"
 
 
-class OtherHash(PrefixHash):
-    """A second polynomial with another base, for what must not collide."""
-
-    BASE = np.uint64(0xD6E8FEB86659FD93)
-    INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-    _bytes = mix64(np.arange(257, 513, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
 def segments(ph: PrefixHash, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first string, last string, anchor hash, segment hash) of all segments of texts laid end to end."""
     n = int(ends[-1])
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    at = np.arange(n - GRAM + 1)
-    h = ph.at(at, at + GRAM)
+    h = ph.rolling(GRAM)
     # the least hash, then the first place, in each window of SPREAD pieces: minima from the left and right of blocks
-    key = (h & ~np.uint64((1 << 26) - 1)) | at.astype(np.uint64)
+    key = (h & ~np.uint64((1 << 26) - 1)) | np.arange(len(h), dtype=np.uint64)
     blocks = -(-len(key) // SPREAD)
     grid = np.full(blocks * SPREAD, np.uint64(2**64 - 1))
     grid[: len(key)] = key
@@ -97,7 +87,7 @@ def segments(ph: PrefixHash, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     i = np.flatnonzero(new)
     first, last = inside[i], inside[np.append(i[1:], len(inside)) - 1]
-    return text[i], first, last, h[anchor[i]], mix64(ph.at(first, last + LENGTH) + (last - first).astype(np.uint64))
+    return text[i], first, last, h[anchor[i]], mix64(ph.at(first, last + LENGTH) + (last - first).astype(np.uint64)) >> np.uint64(16)
 
 
 # The suffix sort.
@@ -125,20 +115,19 @@ def _before(ph: PrefixHash, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 def suffix_sort(ph: PrefixHash, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The places ``at`` in order of the strings of LENGTH bytes there (a stable mergesort).
 
-    The first eight bytes, as a number, part the suffixes into runs; within the
-    runs, sorted pieces of doubling size are merged: each suffix finds its rank
+    The first sixteen bytes, as two numbers, part the suffixes into runs; within
+    the runs, sorted pieces of doubling size are merged: each suffix finds its rank
     in the other piece by binary search, every comparison finds the common
     extension by binary search over prefix hashes.
     """
     if len(at) < 2:
         return at
-    head = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        head = (head << np.uint64(8)) | data[at + j].astype(np.uint64)
-    order = np.argsort(head, kind="stable")
-    at, head = at[order], head[order]
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    head, rest = (np.ascontiguousarray(eight[at + j]).view(">u8").reshape(-1).astype(np.uint64) for j in (0, 8))
+    order = np.lexsort((rest, head))
+    at, head, rest = at[order], head[order], rest[order]
     new = np.ones(len(at), bool)
-    new[1:] = head[1:] != head[:-1]
+    new[1:] = (head[1:] != head[:-1]) | (rest[1:] != rest[:-1])
     run_first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     run_end = np.append(run_first[1:], len(at))
@@ -209,6 +198,17 @@ def _unpack(body: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """An ascending array as the byte planes of its steps: the high planes are zeros, which the shuffle's compression removes."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.reshape(-1)
+
+
+def _ascending(planes: np.ndarray, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    steps = np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+    return np.cumsum(steps, dtype=kind)
+
+
 def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     """For records ordered by bucket: each bucket that has some, and where."""
     at = np.searchsorted(bucket, np.arange(n + 1))
@@ -278,8 +278,8 @@ class Job:
             bucket, anchor, segment, doc, several, crowd = (x[keep] for x in (bucket, anchor, segment, doc, several, crowd))
             for b, s in _by_bucket(bucket, self.buckets):
                 table_, number = _documents(doc[s])
-                flags = several[s].astype(np.uint8) | (crowd[s].astype(np.uint8) << 1)
-                rows.append((b, split, 1, _pack(anchor[s].astype(np.uint32), segment[s], table_, number.view(np.uint8), flags)))
+                low, high = segment[s].astype(np.uint32), (segment[s] >> np.uint64(32)).astype(np.uint16)
+                rows.append((b, split, 1, _pack(_sorted(anchor[s].astype(np.uint32)), low, high, _sorted(table_), number.view(np.uint8), np.packbits(several[s]), np.packbits(crowd[s]))))
         return _table(rows, MESSAGE)
 
     @staticmethod
@@ -302,24 +302,23 @@ class Job:
             parts.append((ids, known, data, ends, ph, *segments(ph, ends)))
         if not parts:
             return
-        # the same crowds as in step 1
-        anchor = np.concatenate([p[8][p[1][p[5]]] for p in parts])
-        segment = np.concatenate([p[9][p[1][p[5]]] for p in parts])
-        if len(anchor):
-            (bucket, low, segment_), _, _ = _first_of([self.bucket(anchor), anchor & np.uint64(0xFFFFFFFF), segment], np.zeros(len(anchor), np.int64))
-            crowd = self._crowd(bucket, low)
-            crowds = np.unique((bucket[crowd].astype(np.uint64) << self.bits) | low[crowd])
-        for ids, known, data, ends, ph, text, first, last, anchor, segment in parts:
-            name = (self.bucket(anchor).astype(np.uint64) << self.bits) | (anchor & np.uint64(0xFFFFFFFF))
+        # the same crowds as in step 1; the buckets have called their anchors several
+        names = [(self.bucket(p[8]).astype(np.uint64) << self.bits) | (p[8] & np.uint64(0xFFFFFFFF)) for p in parts]
+        many = [_member(found["several"], n) for n in names]
+        name = np.concatenate([n[m & p[1][p[5]]] for n, m, p in zip(names, many, parts, strict=True)])
+        segment = np.concatenate([p[9][m & p[1][p[5]]] for m, p in zip(many, parts, strict=True)])
+        if len(name):
+            (name, _), _, _ = _first_of([name, segment], np.zeros(len(name), np.int64))
+            crowds = np.unique(name[self._crowd(name, name)])
+        for (ids, known, data, ends, ph, text, first, last, _, segment), name, several in zip(parts, names, many, strict=True):
             mine = ids[text]
-            least = _lookup(found["single"], name, mine)
-            gone = least < mine
-            several = np.isin(name, found["several"])
-            held = _lookup2(found["segment"], name, segment, mine)
-            gone |= several & (held < mine)
-            crowd = np.isin(name, crowds)
+            gone = _lookup(found["single"], name, mine) < mine
+            k = np.flatnonzero(several)
+            gone[k] |= _lookup2(found["segment"], name[k], segment[k], mine[k]) < mine[k]
+            crowd = np.zeros(len(name), bool)
+            crowd[k] = _member(crowds, name[k])
             gone &= ~crowd & known[text]
-            yield ids, known, data, ends, ph, text, first, last, gone, (several | crowd) & ~gone & known[text]
+            yield ids, known, data, ends, ph, text, first, last, gone, several & ~gone & known[text]
 
     def _answers(self, table: pa.Table) -> dict:
         single, several, segs, strings = [], [], [], []
@@ -355,7 +354,7 @@ class Job:
                 # a string's last document stands beside its first, so that it counts as one of several
                 one = order[np.concatenate([starts, starts[most > least]])]
                 names.append(ph.at(one, one + LENGTH))
-                checks.append((OtherHash(data).at(one, one + LENGTH) >> np.uint64(48)).astype(np.uint16))
+                checks.append(_check(data, one))
                 docs.append(np.concatenate([least, most[most > least]]))
         rows = []
         if names:
@@ -363,7 +362,7 @@ class Job:
             (bucket, name, check), doc, several = _first_of([self.bucket(name), name, check], doc)
             for b, s in _by_bucket(bucket, self.buckets):
                 table_, number = _documents(doc[s])
-                rows.append((b, key[0].as_py(), 2, _pack(name[s], check[s], table_, number.view(np.uint8), several[s].astype(np.uint8))))
+                rows.append((b, key[0].as_py(), 2, _pack(_sorted(name[s]), check[s], _sorted(table_), number.view(np.uint8), np.packbits(several[s]))))
         return _table(rows, MESSAGE)
 
     def mark(self, key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -378,7 +377,7 @@ class Job:
                 np.add.at(cover, last[gone] + LENGTH, -1)
                 at, of = _strings(text, first, last, look)
                 if len(at) and len(answers["string"][0]):
-                    least = _lookup2(answers["string"], ph.at(at, at + LENGTH), (OtherHash(data).at(at, at + LENGTH) >> np.uint64(48)).astype(np.uint16), ids[of])
+                    least = _lookup2(answers["string"], ph.at(at, at + LENGTH), _check(data, at), ids[of])
                     hit = least < ids[of]
                     np.add.at(cover, at[hit], 1)
                     np.add.at(cover, at[hit] + LENGTH, -1)
@@ -405,11 +404,12 @@ class Job:
     def _answer_segments(self, bucket: int, splits: list[int], bodies: list[bytes]) -> list[tuple]:
         anchors, segs, docs, flags, sizes = [], [], [], [], []
         for body in bodies:
-            a, s, table_, number, f = _unpack(body, np.uint32, np.uint64, np.int64, np.uint8, np.uint8)
+            a, low, high, table_, number, many, crowd = _unpack(body, np.uint8, np.uint32, np.uint16, np.uint8, np.uint8, np.uint8, np.uint8)
+            a, table_ = _ascending(a, np.uint32), _ascending(table_, np.int64)
             anchors.append(a)
-            segs.append(s)
+            segs.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
             docs.append(table_[_numbers(number, len(table_))])
-            flags.append(f)
+            flags.append(np.unpackbits(many, count=len(a)) | (np.unpackbits(crowd, count=len(a)) << 1))
             sizes.append(len(a))
         who = np.repeat(np.arange(len(splits)), sizes)
         anchor, segment, doc, flag = (np.concatenate(x) for x in (anchors, segs, docs, flags))
@@ -438,11 +438,12 @@ class Job:
         return out
 
     def _answer_strings(self, splits: list[int], bodies: list[bytes]) -> list[tuple]:
-        parts = [_unpack(b, np.uint64, np.uint16, np.int64, np.uint8, np.uint8) for b in bodies]
+        parts = [_unpack(b, np.uint8, np.uint16, np.uint8, np.uint8, np.uint8) for b in bodies]
+        parts = [(_ascending(a, np.uint64), c, _ascending(t, np.int64), *rest) for a, c, t, *rest in parts]
         who = np.repeat(np.arange(len(splits)), [len(p[0]) for p in parts])
         name, check = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         doc = np.concatenate([p[2][_numbers(p[3], len(p[2]))] for p in parts])
-        several = np.concatenate([p[4] for p in parts])
+        several = np.concatenate([np.unpackbits(p[4], count=len(p[0])) for p in parts])
         order = np.lexsort((doc, check, name))
         name, check, doc, several, who = (x[order] for x in (name, check, doc, several, who))
         new = np.ones(len(name), bool)
@@ -456,6 +457,17 @@ class Job:
         return [(s, 2, _pack(name[k], check[k], least[k])) for i, s in enumerate(splits) if len(k := told[at[i] : at[i + 1]])]
 
 
+def _check(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two of a string's bytes, which strings with the same hash would have to share as well."""
+    return data[at + 13].astype(np.uint16) | (data[at + 37].astype(np.uint16) << np.uint16(8))
+
+
+def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
 def _numbers(raw: np.ndarray, size: int) -> np.ndarray:
     return np.frombuffer(raw.tobytes(), np.uint16 if size <= 1 << 16 else np.uint32)
 
