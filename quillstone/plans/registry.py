@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import identifiers, texts
+from . import identifiers, operators, texts
 
-MODULES = (identifiers, texts)
+MODULES = (operators, identifiers, texts)
 
 
 def queries() -> dict:
