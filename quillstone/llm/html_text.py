@@ -299,7 +299,7 @@ def labelled_page(rng: random.Random) -> str:
         if kind == 1:
             return off(rng.choice(["div", "section"]), name("notice"), f"<p>{text}</p>" + rng.choice(["", "<button>OK</button>"]))
         if kind == 2:
-            posts = "".join(f"<{(c := rng.choice(['div', 'li', 'p', 'article']))}>{_words(rng, 3, 40)}</{c}>" for _ in range(rng.randint(1, 5)))
+            posts = "".join(f"<{(c := rng.choice(['div', 'li', 'p', 'div', 'li', 'p', 'article']))}>{_words(rng, 3, 40)}</{c}>" for _ in range(rng.randint(1, 5)))
             return off(rng.choice(["div", "section", "ol"]), name("comment"), rng.choice(["", "<h3>" + _words(rng, 1, 3, False) + "</h3>"]) + posts)
         if kind == 3:
             return off("div", name("share"), "".join(f'<a href="/s">{_words(rng, 1, 2, False)}</a> ' for _ in range(3)))
@@ -314,8 +314,8 @@ def labelled_page(rng: random.Random) -> str:
         return off("div", name("hidden") if rng.random() < 0.5 else "hidden", text)
 
     title = f"<h1>{_words(rng, 2, 12, rng.random() < 0.5)}</h1>"
-    body = [title] if rng.random() < 0.85 else []
-    for _ in range(rng.choice([1, 2, 4, 8, 12])):
+    body = [title] if rng.random() < 0.7 else []
+    for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 9])):
         body.append(paragraph())
         if rng.random() < 0.12:
             body.append(clutter(True))
@@ -334,17 +334,18 @@ def labelled_page(rng: random.Random) -> str:
     else:
         inner = re.sub(r"<(h1|h2|p|ul|table|blockquote|pre)>", r"<\1 data-label=1>", inner)
     parts = []
-    if rng.random() < 0.8:
+    bare = rng.random() < 0.15  # nothing but the content, and perhaps one piece of clutter
+    if not bare and rng.random() < 0.8:
         links = f"<ul>{''.join(item() for _ in range(rng.randint(2, 8)))}</ul>"
         parts.append(rng.choice([f"<nav data-label=0>{links}</nav>", f"<header data-label=0>{_words(rng, 1, 4, False)}<nav>{links}</nav></header>", off("div", name("menu"), links), off("header", name("head"), f"<h1>{_words(rng, 1, 4, False)}</h1><p>{_words(rng, 2, 9)}</p>"), off("div", name("head"), links)]))
-    for _ in range(rng.choice([0, 1, 1, 2])):
+    for _ in range(rng.choice([0, 1] if bare else [0, 1, 1, 2])):
         parts.append(clutter())
-    if rng.random() < 0.3:
+    if not bare and rng.random() < 0.3:
         parts.append(f"<aside data-label=0><p>{_words(rng, 4, 40)}</p></aside>")
     parts.append(inner)
-    for _ in range(rng.choice([0, 0, 1, 2])):
+    for _ in range(0 if bare else rng.choice([0, 0, 1, 2])):
         parts.append(clutter())
-    if rng.random() < 0.8:
+    if not bare and rng.random() < 0.8:
         foot = rng.choice([_words(rng, 4, 25), f"<p>{_words(rng, 4, 20)}</p>", f"<ul>{item()}{item()}</ul><p>&copy; {_words(rng, 2, 6)}</p>"])
         parts.append(rng.choice([f"<footer data-label=0>{foot}</footer>", off("div", name("foot"), foot)]))
     whole = "".join(parts)
@@ -362,7 +363,7 @@ def page_labels(page: Page) -> list[int]:
 
 
 @functools.cache
-def train(n_pages: int = 500, rounds: int = 120, rate: float = 0.15, decay: float = 0.02, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(n_pages: int = 900, rounds: int = 120, rate: float = 0.15, decay: float = 0.02, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(unary weights, pair tables) of greatest penalised conditional likelihood on the labelled pages (Adam, full batch)."""
     rng = random.Random(seed)
     pages = [Page(labelled_page(rng)) for _ in range(n_pages)]
