@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; bounds a worker's temporaries.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch between the JVM and Python, unless the session names another number.
+BATCH_BYTES = 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,12 +72,20 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         lo = min(hi, n)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches, of which every running task holds some outside the heap, to BATCH_BYTES where nobody has chosen a size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with ``fn`` giving dictionaries of equally long arrays for each input batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,6 @@ asked for.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load, map_batches, mix64, row_slices, text_buffers
+from .common import bound_batches, crc_mod, load, mix64, row_slices, text_buffers
 
 TRAIN_ROWS, TRAIN_BYTES = 4000, 2000
 GRAMS = (1, 2, 3)  #: bytes of an n-gram
@@ -163,23 +162,32 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return train([t for v in kept.values() for t in v], [k for k, v in kept.items() for _ in v])
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, lang_pred, score, ambiguous) of every row."""
-    names = [id_col, *keep]
+ANSWER = "lang_pred string, score double, ambiguous boolean"
 
-    def fn(batch: pa.RecordBatch) -> Iterator[dict]:
-        data, ends = text_buffers(batch.column(len(names)))
-        for lo, hi in row_slices(ends, 1 << 20):
-            lang, score, close = model.predict(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
-            yield {f"c{k}": batch.column(k).slice(lo, hi - lo) for k in range(len(names))} | {"lang_pred": lang, "score": score, "ambiguous": close}
 
-    types = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    return map_batches(df.select(*names, F.col(text_col).cast("string").alias("_text")), fn, f"{types}, lang_pred string, score double, ambiguous boolean")
+def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``df`` with lang_pred, score and ambiguous; columns of these names are replaced. Only the text goes to Python, only the answer comes back."""
+
+    bound_batches(df.sparkSession)
+
+    @F.arrow_udf(ANSWER)
+    def predict(texts: pa.Array) -> pa.Array:
+        data, ends = text_buffers(texts)
+        langs, scores, close = [], [np.zeros(0)], [np.zeros(0, bool)]
+        for lo, hi in row_slices(ends):
+            lang, score, near = model.predict(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo])
+            langs += lang
+            scores.append(score)
+            close.append(near)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(close))], ["lang_pred", "score", "ambiguous"])
+
+    given = [c for c in df.columns if c not in ("lang_pred", "score", "ambiguous")]
+    return df.select(*[F.col(f"`{c}`") for c in given], predict(F.col(text_col).cast("string")).alias("_language")).select(*[F.col(f"`{c}`") for c in given], "_language.*")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    x = identify(docs, fit(docs))
+    x = identify(docs.select("doc_id", "text"), fit(docs))
     return x.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 

@@ -245,6 +245,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = rows.where("n > 0")
     firsts = sets.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("rep"), F.first("sig").alias("sig"), *[F.first(b).alias(b) for b in BYTES])
     classes = cut(firsts.withColumn("c", F.monotonically_increasing_id()))
+    rows = cut(rows.select("id", "n", "k1", "k2"))  # the signatures are with the classes now
+    del sets, firsts
 
     # postings: of each class, the prefix of its pairs of coordinate and value, the rarest first
     token = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
