@@ -26,9 +26,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark, docs, sf_dir):
-    model = language.fit(docs)
-    others = tuple(c for c in COLUMNS if c not in ("doc_id",))
-    seen = language.identify(docs, model, keep=others)
+    seen = language.identify(docs.select(*COLUMNS), language.fit(docs))
     return seen.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
