@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import identifiers, operators, texts
+from . import extraction, identifiers, operators, texts
 
-MODULES = (operators, identifiers, texts)
+MODULES = (operators, identifiers, texts, extraction)
 
 
 def queries() -> dict:
