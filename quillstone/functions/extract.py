@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
-from .ids import cases, has, rx, s
+from .ids import cases, has, let, rx, s
 
 VOLUME = r"\d{4}[;:,]\s*\d+|;\s*\d+[:\s]\d+[-–]\d+|\d+\s*\(\d+\)\s*:\s*\d+"
 NAMED = r"[A-Z][a-z]+\s+[A-Z]{1,3}\b|et al"
@@ -25,20 +25,21 @@ def windows(text: Column, reach: int = REACH) -> Column:
     A window takes ``reach`` characters on either side of a name.
     """
     t = F.trim(F.regexp_replace(s(text), r"\s+", " "))
-    found = F.regexp_extract_all(t, F.lit(T.JOURNAL), F.lit(0))
-    gaps = F.split(t, T.JOURNAL, -1)
+    parts = lambda t: F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(T.JOURNAL), F.lit(0)).alias("found"), F.split(t, T.JOURNAL, -1).alias("gaps"))
     total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + F.length(y))
-
-    def window(m: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(found, i)
-        lo = F.greatest(start - reach, F.lit(0))
-        return F.substring(t, lo + 1, start - lo + F.length(m) + reach)
-
     signs = lambda w: sum((rx(w, p).cast("int") for p in (T.YEAR, NAMED, VOLUME)), rx(w, DOI).cast("int"))
-    kept = F.filter(F.transform(found, window), lambda w: (signs(w) >= 2) & (F.octet_length(w) >= 10))
     key = lambda w: F.lower(F.regexp_replace(w, r"\s+", ""))
-    keys = F.transform(kept, key)
-    return F.filter(kept, lambda w, i: F.array_position(keys, key(w)) == i + 1)
+
+    def stretches(p: Column) -> Column:
+        def stretch(m: Column, i: Column) -> Column:
+            start = total(p["gaps"], i + 1) + total(p["found"], i)
+            lo = F.greatest(start - reach, F.lit(0))
+            return F.substring(p["t"], lo + 1, start - lo + F.length(m) + reach)
+
+        return F.filter(F.transform(p["found"], stretch), lambda w: (signs(w) >= 2) & (F.octet_length(w) >= 10))
+
+    kept = let(let(t, parts), stretches)
+    return let(F.transform(kept, lambda w: F.struct(key(w).alias("k"), w.alias("w"))), lambda ks: F.transform(F.filter(ks, lambda x, i: F.array_position(F.transform(ks, lambda y: y["k"]), x["k"]) == i + 1), lambda x: x["w"]))
 
 
 def line_score(line: Column) -> Column:
@@ -71,11 +72,11 @@ def keywords(citation: Column, context: Column, known: tuple[str, ...], journals
     ratio = F.flatten(F.transform(every(r"(?i)HR\s*[=:]?\s*(\d+\.?\d*)", 1), lambda x: F.array(item(F.concat(F.lit("HR "), x), 0.85, "hr"), item(F.concat(F.lit("HR="), x), 0.85, "hr"), item(x, 0.85, "hr"))))
     listed = lambda words, c, k: F.filter(F.array(*[F.when(F.contains(full, F.lit(w)), item(F.lit(w), c, k)) for w in words]), lambda x: x.isNotNull())
     chinese = F.regexp_extract_all(s(context), F.lit("[一-鿿]{2,4}"), F.lit(0))
-    counted = F.transform(F.array_distinct(chinese), lambda w: F.struct(F.when(F.size(F.filter(chinese, lambda v: v == w)) >= 2, 0.6).otherwise(0.4).alias("confidence"), w.alias("term"), F.lit("cn_term").alias("kind")))
+    counted = let(chinese, lambda cs: F.transform(F.array_distinct(cs), lambda w: F.struct(F.when(F.size(F.filter(cs, lambda v: v == w)) >= 2, 0.6).otherwise(0.4).alias("confidence"), w.alias("term"), F.lit("cn_term").alias("kind"))))
     years = F.when(has(s(context), "发表", "年份"), F.transform(every(T.YEAR), lambda y: item(y, 0.4, "year"))).otherwise(F.array().cast("array<struct<confidence:double,term:string,kind:string>>"))
     surname = F.filter(F.array(item(F.regexp_extract(s(citation), r"^\s*([A-Z][a-zA-Z\-]+)", 1), 0.3, "author_surname")), lambda x: x["term"] != "")
     found = F.concat(per_cent, ratio, listed(known, 0.85, "drug_or_trial"), listed(journals, 0.5, "journal"), counted, years, surname)
-    best = F.filter(found, lambda x: (x["confidence"] >= least) & ~F.exists(found, lambda y: (y["term"] == x["term"]) & (y["confidence"] > x["confidence"])))
+    best = let(found, lambda fs: F.filter(fs, lambda x: (x["confidence"] >= least) & ~F.exists(fs, lambda y: (y["term"] == x["term"]) & (y["confidence"] > x["confidence"]))))
     ordered = F.array_sort(F.array_distinct(best), lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).when(a["term"] < b["term"], -1).when(a["term"] > b["term"], 1).otherwise(0))
     return F.slice(ordered, 1, most)
 
@@ -147,7 +148,8 @@ def markdown_nodes(text: Column) -> Column:
     gaps = F.split(t, LINK, -1)
     node = lambda a, b, c: F.struct(a.alias("text"), F.lit(b).alias("type"), c.alias("link"))
     blank = F.lit("").cast("string")
-    nodes = F.flatten(F.transform(gaps, lambda g, i: F.array(node(g, "text", blank), node(F.coalesce(F.get(labels, i), F.lit("")), "url", F.coalesce(F.get(urls, i), F.lit(""))))))
+    pairs = F.struct(labels.alias("a"), urls.alias("b"))
+    nodes = let(pairs, lambda p: F.flatten(F.transform(gaps, lambda g, i: F.array(node(g, "text", blank), node(F.coalesce(F.get(p["a"], i), F.lit("")), "url", F.coalesce(F.get(p["b"], i), F.lit("")))))))
     return F.filter(nodes, lambda n: n["text"] != "")
 
 
@@ -197,16 +199,21 @@ def fold(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-@F.pandas_udf("array<struct<start:int,stop:int>>")
-def locate(text: pd.Series, sentence: pd.Series) -> pd.Series:
-    """Every place of a sentence in a text, once both are folded."""
-    out = []
-    for t, q in zip(text, sentence, strict=True):
-        folded, at = fold(t or "")
-        key, _ = fold(q or "")
-        found, i = [], folded.find(key) if key else -1
-        while i >= 0:
-            found.append({"start": at[i], "stop": at[i + len(key) - 1] + 1})
-            i = folded.find(key, i + 1)
-        out.append(found)
-    return pd.Series(out)
+def places(text: str | None, sentence: str | None) -> list[dict]:
+    folded, at = fold(text or "")
+    key, _ = fold(sentence or "")
+    found, i = [], folded.find(key) if key else -1
+    while i >= 0:
+        found.append({"start": at[i], "stop": at[i + len(key) - 1] + 1})
+        i = folded.find(key, i + 1)
+    return found
+
+
+def locate(text: Column | str, sentence: Column | str) -> Column:
+    """Every place (start, stop) of a sentence in a text, once both are folded."""
+
+    @F.pandas_udf("array<struct<start:int,stop:int>>")
+    def run(texts: pd.Series, sentences: pd.Series) -> pd.Series:
+        return pd.Series([places(t, q) for t, q in zip(texts, sentences, strict=True)])
+
+    return run(text, sentence)

@@ -21,6 +21,11 @@ def cases(pairs: list[tuple[Column, object]], default) -> Column:
     return reduce(lambda rest, p: F.when(p[0], col(p[1])).otherwise(rest), reversed(pairs), col(default))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body and the lambdas in it use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def has(c: Column, *words: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ids import cases, has, rx, s
+from .ids import cases, has, let, rx, s
 
 NO_BEFORE, NO_AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 
@@ -51,8 +51,12 @@ def first(text: Column, *patterns: str) -> Column:
 def authors(text: Column) -> Column:
     """Up to five capitalised names of three letters at least, before a journal or drug, in the first 200 characters."""
     names = F.filter(F.regexp_extract_all(F.substring(s(text), 1, 200), F.lit(AUTHOR), F.lit(0)), lambda w: F.length(w) >= 3)
-    stop = F.filter(F.transform(names, lambda w, i: F.when(w.isin(*AUTHOR_STOPS), i)), lambda i: i.isNotNull())
-    return F.slice(names, F.lit(1), F.least(F.coalesce(F.get(stop, F.lit(0)), F.size(names)), F.lit(5)))
+
+    def cut(n: Column) -> Column:
+        stop = F.filter(F.transform(n, lambda w, i: F.when(w.isin(*AUTHOR_STOPS), i)), lambda i: i.isNotNull())
+        return F.slice(n, F.lit(1), F.least(F.coalesce(F.get(stop, F.lit(0)), F.size(n)), F.lit(5)))
+
+    return let(names, cut)
 
 
 def doi_tail(text: Column) -> Column:
@@ -77,7 +81,10 @@ def normalized(text: Column) -> Column:
 
 def match_fields(fields: Column, text: Column) -> Column:
     """(score, matched, missing, reason): which of a citation's fields occur in a text."""
-    t = normalized(text)
+    return let(F.struct(fields.alias("f"), normalized(text).alias("t")), lambda x: _matched(x["f"], x["t"]))
+
+
+def _matched(fields: Column, t: Column) -> Column:
     journal = F.lower(fields["journal"])
     found = F.array(
         *[
@@ -92,6 +99,10 @@ def match_fields(fields: Column, text: Column) -> Column:
             )
         ]
     )
+    return let(found, _rated)
+
+
+def _rated(found: Column) -> Column:
     pick = lambda there: F.transform(F.filter(found, lambda f: f["given"] & (f["there"] == there)), lambda f: f["name"])
     total = F.size(F.filter(found, lambda f: f["given"]))
     score = F.when(total > 0, F.size(pick(True)) / total).otherwise(0.0)
@@ -271,8 +282,7 @@ def pico(question: Column) -> Column:
 def abstract_of(index: Column) -> Column:
     """The text of an inverted index, a map of words to places; of words at one place the greatest stays."""
     places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(places)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
+    last = let(F.array_sort(places), lambda o: F.filter(o, lambda x, i: F.coalesce(F.get(o, i + 1)["p"] != x["p"], F.lit(True))))
     return F.array_join(F.transform(last, lambda x: x["w"]), " ")
 
 
@@ -283,7 +293,7 @@ def rich_cell(text: Column) -> Column:
     gaps = F.split(s(text), url, -1)
     node = lambda t, kind, link: F.struct(t.alias("text"), F.lit(kind).alias("type"), link.alias("link"))
     empty = F.lit("").cast("string")
-    nodes = F.flatten(F.transform(gaps, lambda g, i: F.array(node(g, "text", empty), node(F.coalesce(F.get(links, i), F.lit("")), "url", F.coalesce(F.get(links, i), F.lit(""))))))
+    nodes = let(links, lambda us: F.flatten(F.transform(gaps, lambda g, i: F.array(node(g, "text", empty), node(F.coalesce(F.get(us, i), F.lit("")), "url", F.coalesce(F.get(us, i), F.lit("")))))))
     return F.filter(nodes, lambda n: n["text"] != "")
 
 
@@ -305,9 +315,10 @@ def title_tokens(text: Column) -> Column:
 
 def title_similarity(a: Column, b: Column, multiset: bool = False) -> Column:
     """Jaccard similarity of two titles' tokens; with ``multiset``, the second title's repeats count again."""
-    x, y = F.array_distinct(title_tokens(a)), title_tokens(b)
-    if not multiset:
-        y = F.array_distinct(y)
-    both = F.size(F.filter(y, lambda t: F.array_contains(x, t)))
-    union = F.size(x) + F.size(y) - both
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / union)
+    y = title_tokens(b) if multiset else F.array_distinct(title_tokens(b))
+
+    def ratio(t: Column) -> Column:
+        both = F.size(F.filter(t["y"], lambda w: F.array_contains(t["x"], w)))
+        return F.when((F.size(t["x"]) == 0) | (F.size(t["y"]) == 0), 0.0).otherwise(both / (F.size(t["x"]) + F.size(t["y"]) - both))
+
+    return let(F.struct(F.array_distinct(title_tokens(a)).alias("x"), y.alias("y")), ratio)

@@ -65,8 +65,8 @@ def evidence_of(items: DataFrame, by: str = "project", most: int = MOST_EVIDENCE
 
 def outline_changes(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
     """(by, n_before, n_after, added, removed, expanded): sections (by, title, points) matched by title without case."""
-    side = lambda d, c: d.groupBy(by, F.lower(F.trim("title")).alias("t")).agg(F.max("points").alias(c))
-    x = side(before, "b").join(side(after, "a"), [by, "t"], "full_outer")
+    side = lambda d, c: d.groupBy(by, F.lower(F.trim("title")).alias("_title")).agg(F.max("points").alias(c))
+    x = side(before, "b").join(side(after, "a"), [by, "_title"], "full_outer")
     return x.groupBy(by).agg(F.count("b").alias("n_before"), F.count("a").alias("n_after"), F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a").isNull()).alias("removed"), F.count_if(F.col("a") > F.col("b")).alias("expanded"))
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import cases, s
+from ..functions.ids import cases, let, s
 
 
 @dataclass(frozen=True)
@@ -46,16 +46,18 @@ RANK = {"fatal": 0, "warn": 1, "info": 2}
 
 def _hits(text: Column, pattern: str) -> Column:
     """Matches that no negation precedes or holds."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
     total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda t, x: t + F.length(x))
 
-    def hit(m: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(found, i)
-        before = F.substring(text, F.greatest(start - WINDOW, F.lit(0)) + 1, F.least(start, F.lit(WINDOW)))
-        return F.when(~F.rlike(before, F.lit(NEGATION)) & ~F.rlike(m, F.lit(NEGATION)), m)
+    def hits(p: Column) -> Column:
+        def hit(m: Column, i: Column) -> Column:
+            start = total(p["gaps"], i + 1) + total(p["found"], i)
+            before = F.substring(text, F.greatest(start - WINDOW, F.lit(0)) + 1, F.least(start, F.lit(WINDOW)))
+            return F.when(~F.rlike(before, F.lit(NEGATION)) & ~F.rlike(m, F.lit(NEGATION)), m)
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.filter(F.transform(found, hit), lambda m: m.isNotNull())).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.transform(p["found"], hit), lambda m: m.isNotNull())
+
+    return F.when(F.rlike(text, F.lit(pattern)), let(parts, hits)).otherwise(F.array().cast("array<string>"))
 
 
 def _applies(rule: Rule, audience: Column, rx_status: Column) -> Column:
