@@ -8,6 +8,8 @@ the best k of its rows for each query, and only those meet again.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,21 +17,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import s
-
+PARTS = re.compile("[ \t\n\r.,;:!?]+")
 BANDS = ((0, 22), (22, 21), (43, 21))  #: first bit and width of each band of a 64-bit fingerprint
 
 
+def fingerprints(texts: list[str | None]) -> list[int | None]:
+    """SimHash of each text: a bit is set if more words' SHA-1 hashes set it than not; None for text without words."""
+    words = [[w for w in PARTS.split((t or "").lower()) if w] for t in texts]
+    sizes = np.array([len(w) for w in words])
+    if not sizes.sum():
+        return [None] * len(texts)
+    raw = b"".join(hashlib.sha1(w.encode()).digest()[:8] for ws in words for w in ws)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    has = np.flatnonzero(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes[has])[:-1]])
+    votes = np.add.reduceat(bits, starts, axis=0) > 0
+    out: list[int | None] = [None] * len(texts)
+    for i, h in zip(has.tolist(), np.packbits(votes, axis=1).view(">i8").reshape(-1).tolist(), strict=True):
+        out[i] = h
+    return out
+
+
 def simhash(text: Column) -> Column:
-    """A 64-bit fingerprint as a signed long; null for text without words. A bit is set if more words' hashes set it than not."""
-    words = F.filter(F.split(F.lower(F.trim(s(text))), "[ \t\n\r.,;:!?]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.conv(F.substring(F.sha1(w.cast("binary")), 1, 16), 16, -10).cast("long"))
-    bit = lambda i: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.when(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)) > 0
-    bits = [F.when(bit(i), F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return F.when(F.size(words) > 0, total)
+    """A 64-bit fingerprint as a signed long, in Arrow batches; null for text without words."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        rows, step = texts.to_pylist(), 2000
+        return pa.array([h for i in range(0, len(rows), step) for h in fingerprints(rows[i : i + step])], pa.int64())
+
+    return run(text)
 
 
 def hamming(a: Column, b: Column) -> Column:
