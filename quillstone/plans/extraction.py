@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
+from ..functions import text as T
 from ..operators import planning as P
 from ..sources.views import view, with_views
 
@@ -110,9 +111,9 @@ def outline_changes(spark, sf):
 
 def coverage(spark, sf):
     m = view(spark, sf, "marks_v")
-    key = F.concat_ws("-", F.col("k").cast("string"), F.col("n").cast("string")).alias("key")
+    key = F.concat_ws("-", F.col("k").cast("string"), F.col("n").cast("string"), "value").alias("key")
     truth = m.select(key, F.concat("context", F.when(F.col("k") % 3 == 0, " 12月").otherwise(" 3.5万")).alias("text"))
-    seen = m.where("k % 2 = 0").select(key, F.array("value", F.lit("12月")).alias("points"))
+    seen = m.where("k % 2 = 0").select(key, F.array("value", F.lit("12月")).alias("points")).dropDuplicates(["key"])
     return P.coverage(truth, seen, "key")
 
 
@@ -154,7 +155,21 @@ _DIM = "CASE ord % 5 WHEN 0 THEN 'literature' WHEN 1 THEN 'news' WHEN 2 THEN 're
 _ITEMS = f"i AS (SELECT conv_id AS project, {_DIM} AS dimension, lower(left(title, 10)) AS key, min(ord) AS ord FROM citations_v GROUP BY ALL), j AS (SELECT *, upper(left(dimension, 1)) || lpad(CAST(row_number() OVER (PARTITION BY project, dimension ORDER BY ord, key) AS VARCHAR), 3, '0') AS item FROM i)"
 _FB = "CASE WHEN contains(n, 'review') THEN 0.65 WHEN contains(n, 'appendix') THEN 0.5 WHEN contains(n, 'globocan') OR (contains(n, '2024') AND contains(n, 'china')) THEN 0.65 WHEN contains(n, 'lancet') THEN 0.7 WHEN k % 2 = 0 THEN 0.6 ELSE 0.5 END"
 
+_B = lambda p: p.replace(T.NO_BEFORE, r"\b").replace(T.NO_AFTER, r"\b")
+_NUM = r"regexp_extract(trim(line), '^\[?([0-9]{1,3})\s*[.)\]]', 1)"
+
 ORACLES = {
+    "line_scores": f"""SELECT CAST(CASE WHEN contains(lower(line), 'reference') THEN greatest(s, 2) ELSE s END AS INT) AS score, count(*) AS n FROM (SELECT line, regexp_matches(line, '{_B(T.YEAR)}')::INT + regexp_matches(line, '{_B(T.JOURNAL)}')::INT + regexp_matches(line, '{X.VOLUME}')::INT
+      + 2 * (contains(lower(line), 'doi:') OR regexp_matches(line, '{X.DOI}'))::INT + 2 * contains(lower(line), 'pmid:')::INT + regexp_matches(line, '{X.NAMED}')::INT + ({_NUM} <> '')::INT AS s FROM cite_lines_v) GROUP BY 1""",
+    "term_variants": """WITH t AS (SELECT DISTINCT CASE WHEN n % 3 = 0 THEN 'HR ' || value WHEN n % 3 = 1 THEN value ELSE 'n=' || k END AS term FROM marks_v), v AS (SELECT term, unnest([term, CASE WHEN p <> '' THEN p || '%' END, CASE WHEN p <> '' THEN p || ' %' END, CASE WHEN p <> '' THEN p || '％' END,
+      CASE WHEN h <> '' THEN 'HR' || h END, CASE WHEN h <> '' THEN 'HR ' || h END, CASE WHEN h <> '' THEN 'HR = ' || h END, CASE WHEN h <> '' THEN 'HR=' || h END, CASE WHEN h <> '' THEN h END, CASE WHEN c <> '' THEN 'n = ' || c END, CASE WHEN c <> '' THEN 'n= ' || c END, CASE WHEN c <> '' THEN ' n ' || c || ' ' END,
+      CASE WHEN contains(term, ' ') THEN replace(term, ' ', '') END]) AS x FROM (SELECT term, regexp_extract(term, '^(\\d+\\.?\\d*)\\s*%$', 1) AS p, regexp_extract(term, '^HR\\s*(\\d+\\.?\\d*)$', 1) AS h, regexp_extract(term, '^n=(\\d+)$', 1) AS c FROM t))
+      SELECT term, string_agg(DISTINCT x, '|' ORDER BY x) AS variants FROM v WHERE x IS NOT NULL GROUP BY 1""",
+    "coverage": """WITH x AS (SELECT m.k, m.n, context || CASE WHEN m.k % 3 = 0 THEN ' 12月' ELSE ' 3.5万' END AS t, CASE WHEN m.k % 2 = 0 THEN [value, '12月'] ELSE [] END AS p FROM marks_v m),
+      u AS (SELECT list_distinct(regexp_extract_all(t, '\\d+\\.?\\d*%')) AS a, list_distinct(regexp_extract_all(t, '\\d+\\.?\\d*月')) AS b, list_distinct(regexp_extract_all(t, '\\d+\\.?\\d*万')) AS c, p FROM x),
+      v AS (SELECT len(a) AS wa, len(b) AS wb, len(c) AS wc, len(list_intersect(a, p)) AS ha, len(list_intersect(b, p)) AS hb, len(list_intersect(c, p)) AS hc FROM u)
+      SELECT '%' AS unit, sum(wa)::BIGINT AS wanted, sum(ha)::BIGINT AS found FROM v UNION ALL SELECT '月', sum(wb)::BIGINT, sum(hb)::BIGINT FROM v UNION ALL SELECT '万', sum(wc)::BIGINT, sum(hc)::BIGINT FROM v
+      UNION ALL SELECT 'row', count(*), count(*) FILTER (wa + wb + wc = 0 OR (ha + hb + hc) / CAST(wa + wb + wc AS DOUBLE) >= 0.5) FROM v""",
     "note_routes": "SELECT k, n, marks || ' (' || n || ')' AS visual, concat_ws(';', '疗效: ' || value, CASE WHEN contains(context, '%') OR contains(context, '5-y') THEN '注: ' || context END) AS data, '注: ' || context AS reasons FROM (SELECT *, false AS z FROM marks_v) WHERE NOT z",
     "claims": """SELECT k, CASE WHEN k % 2 = 0 THEN 'China' ELSE 'worldwide' END AS geography, CASE WHEN k % 2 = 0 THEN 'HCC' ELSE 'Lung' END AS disease, CASE WHEN k % 2 = 0 THEN '5-year survival' ELSE 'incidence' END AS indicator,
       CASE WHEN k % 3 = 0 THEN v || '%' WHEN k % 2 = 0 THEN '5' ELSE v END AS value, CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN 5.0 ELSE y END AS number, CASE WHEN k % 3 = 0 THEN '%' ELSE '' END AS unit, CASE WHEN k % 3 = 0 THEN '其他癌种' WHEN k % 2 = 0 THEN 'HCC' ELSE 'Lung' END AS target,

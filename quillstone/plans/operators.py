@@ -118,7 +118,7 @@ def vector_upsert(spark, sf):
 
 def set_conclusion(spark, sf):
     t = view(spark, sf, "table_rows_v")
-    subject = t.groupBy("grp").agg(F.percentile_approx("value", 0.05, 100000).alias("subject"))
+    subject = t.groupBy("grp").agg((F.min("value") * 1.02).alias("subject"))
     return E.set_conclusion(t.join(subject, "grp"), "grp").select("grp", "n_high", "n_low", F.round("score", 6).alias("score"))
 
 
@@ -369,6 +369,8 @@ ORACLES = {
     "knn_euclid": f"WITH {_VEC}, s AS (SELECT query, id, list_distance(qv, vec) AS d, row_number() OVER (PARTITION BY query ORDER BY list_distance(qv, vec), id) AS r FROM q, v) SELECT query, id, round(d, 4) AS dist, CAST(r AS INT) AS rank FROM s WHERE r <= 5",
     "unit_vectors": "SELECT id, round(n, 6) AS norm, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS unit, round(x[1] / n, 6) AS first, round(list_cosine_similarity(x, list_reverse(x)), 6) AS mirror FROM (SELECT id, CAST(vec AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))) AS n FROM vectors_v)",
     "vector_upsert": "SELECT label AS key, max(id) AS at, round(CAST(arg_max(vec[1], id) AS DOUBLE), 6) AS first FROM vectors_v GROUP BY 1",
+    "set_conclusion": """SELECT grp, h AS n_high, l AS n_low, round(CASE WHEN h + l = 0 THEN 0 WHEN l = 0 THEN 1 WHEN l = 1 AND h >= 20 THEN 0.95 WHEN l <= 3 AND h / CAST(h + l AS DOUBLE) >= 0.85 THEN 0.8 ELSE h / CAST(h + l AS DOUBLE) * 0.7 END, 6)::DOUBLE AS score
+      FROM (SELECT grp, count(*) FILTER (value > m) AS h, count(*) FILTER (value < m) AS l FROM table_rows_v JOIN (SELECT grp, min(value) * 1.02::DOUBLE AS m FROM table_rows_v GROUP BY 1) USING (grp) GROUP BY 1)""",
     "claim_scores": f"""SELECT grp, geography, disease, indicator, value, round(0.2 * geography + 0.3 * disease + 0.2 * indicator + 0.2 * value, 6) AS score, round(0.2 * geography + 0.3 * disease + 0.2 * indicator + 0.2 * value, 9) >= 0.7 AS highlight FROM (SELECT grp, max({_DIS.format("disease", "TIN")})::DOUBLE AS geography,
       max({_DIS.format("disease", "steel")})::DOUBLE AS disease, max({_DIS.format("grp", "Brand#1")})::DOUBLE AS indicator, max(CASE WHEN value = 0 THEN 0 WHEN e < 0.05 THEN 1 WHEN e < 0.2 THEN 0.7 WHEN e < 0.5 THEN 0.3 ELSE 0 END)::DOUBLE AS value FROM (SELECT *, abs(value - 1000) / ((value + 1000) / 2) AS e FROM table_rows_v) GROUP BY 1)""",
     "coalesce_sources": "SELECT coalesce(l.pnx, r.pnx) AS pnx, coalesce(l.context, r.context) AS value FROM left_tab l FULL JOIN right_tab r ON l.pnx = r.pnx",

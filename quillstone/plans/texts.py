@@ -152,6 +152,8 @@ ORACLES = {
     "title_jaccard": f"""SELECT ord, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE i1 / CAST(len(x) + len(list_distinct(y)) - i1 AS DOUBLE) END, 6) AS similarity, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE i2 / CAST(len(x) + len(y) - i2 AS DOUBLE) END, 6) AS with_repeats
       FROM (SELECT ord, x, y, len(list_filter(list_distinct(y), lambda t: list_contains(x, t))) AS i1, len(list_filter(y, lambda t: list_contains(x, t))) AS i2 FROM (SELECT a.ord, list_distinct({_TOK.format("a.title")}) AS x, {_TOK.format("b.title")} AS y FROM citations_v a JOIN citations_v b ON b.ord = a.ord + 1))""",
     "abstracts": "SELECT ord, title FROM citations_v",
+    "venues": """SELECT k, CASE WHEN contains(t, ' - ') THEN 'A Smith|B Lee' ELSE '' END AS authors, trim(regexp_replace(regexp_replace(v, '\\d{4}\\s*$', ''), '[, ]+$', '')) AS journal, CASE WHEN y BETWEEN '1900' AND '2100' THEN y ELSE '' END AS year
+      FROM (SELECT k, t, v, regexp_extract(v, '(\\d{4})\\s*$', 1) AS y FROM (SELECT k, t, CASE WHEN contains(t, ' - ') THEN substr(t, strpos(t, ' - ') + 3) ELSE t END AS v FROM (SELECT k, CASE WHEN k % 4 = 0 THEN line ELSE 'A Smith, B Lee - ' || regexp_replace(line, '\\d+-\\d+.*$', '') || ', ' || (1990 + k % 40) END AS t FROM cite_lines_v)))""",
     "rich_cells": """SELECT k, CAST(CASE WHEN url LIKE 'http%' THEN 5 ELSE 1 END AS INT) AS n, CASE WHEN url LIKE 'http%' THEN 'text|url|text|url|text' ELSE 'text' END AS types, true AS same FROM refs_v""",
     "folded": "SELECT ord, title, length(regexp_replace(translate(title, 'abc .', 'ａｂｃ　．'), '[^一-鿿]', '', 'g')) > length(title) // 2 AS chinese, true AS json FROM citations_v",
 }
