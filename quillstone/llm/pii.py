@@ -65,19 +65,31 @@ def _sum(array: Column, of=lambda x: x) -> Column:
     return F.aggregate(array, F.lit(0), lambda s, x: s + of(x))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the lambdas in it use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _positions(text: Column, pattern: str, kind: int, base: bool) -> Column:
     """All matches as spans. What lies between them gives the places: lengths are added up by chunks, then within a chunk."""
-    found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("val"), F.length(gap).alias("gap"), F.length(m).alias("len")))
-    found = F.filter(found, lambda x: x["val"].isNotNull())
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("val"), F.length(gap).alias("gap"), F.length(m).alias("len")))
     step = lambda x: x["gap"] + x["len"]
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda k: _sum(F.slice(found, k * CHUNK + 1, F.lit(CHUNK)), step))
 
-    def place(x: Column, i: Column) -> Column:
-        chunk = F.floor(i / CHUNK).cast("int")
-        start = _sum(F.slice(sums, F.lit(1), chunk)) + _sum(F.slice(found, chunk * CHUNK + 1, i % CHUNK), step) + x["gap"]
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["len"]).alias("stop"), F.lit(base).alias("base"), x["val"].alias("val"))
+    def placed(found: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
+
+        def place(sums: Column):
+            def one(x: Column, i: Column) -> Column:
+                chunk = F.floor(i / CHUNK).cast("int")
+                start = _sum(F.slice(sums, F.lit(1), chunk)) + _sum(F.slice(found, chunk * CHUNK + 1, i % CHUNK), step) + x["gap"]
+                return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["len"]).alias("stop"), F.lit(base).alias("base"), x["val"].alias("val"))
+
+            return F.transform(found, one)
 
-    return F.when(F.size(found) > 0, F.transform(found, place)).otherwise(F.array().cast(f"array<{SPAN}>"))
+        places = let(F.transform(chunks, lambda k: _sum(F.slice(found, k * CHUNK + 1, F.lit(CHUNK)), step)), place)
+        return F.when(F.size(found) > 0, places).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    return let(F.filter(pairs, lambda x: x["val"].isNotNull()), placed)
 
 
 def _digits(val: Column) -> Column:
@@ -86,13 +98,17 @@ def _digits(val: Column) -> Column:
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    n = F.length(digits)
 
-    def add(s: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1)
-        return s + d - F.when(d > 9, 9).otherwise(0)
+    def passes(ds: Column) -> Column:
+        n = F.length(ds)
+
+        def add(s: Column, i: Column) -> Column:
+            d = F.substring(ds, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1)
+            return s + d - F.when(d > 9, 9).otherwise(0)
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0).otherwise(False)
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0).otherwise(False)
+
+    return let(digits, passes)
 
 
 def _octet(part: Column) -> Column:
@@ -336,11 +352,14 @@ def select(spans: Column) -> Column:
     spans = F.array_sort(spans, lambda a, b: F.when(F.struct(a["start"], a["stop"], a["kind"]) < F.struct(b["start"], b["stop"], b["kind"]), -1).when(F.struct(a["start"], a["stop"], a["kind"]) > F.struct(b["start"], b["stop"], b["kind"]), 1).otherwise(0))
     clash = lambda s, o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])
 
-    def keep(s: Column, i: Column) -> Column:
-        lo = F.greatest(i - NEAR, F.lit(0))
-        return s["base"] | ~F.exists(F.slice(spans, lo + 1, F.lit(2 * NEAR + 1)), lambda o: clash(s, o) & _better(s, o))
+    def best(ordered: Column) -> Column:
+        def keep(s: Column, i: Column) -> Column:
+            lo = F.greatest(i - NEAR, F.lit(0))
+            return s["base"] | ~F.exists(F.slice(ordered, lo + 1, F.lit(2 * NEAR + 1)), lambda o: clash(s, o) & _better(s, o))
+
+        return F.filter(ordered, keep)
 
-    return F.filter(spans, keep)
+    return let(spans, best)
 
 
 def find_pii(df: DataFrame, text_col: str = "text", scorer: Scorer | None = None) -> DataFrame:
