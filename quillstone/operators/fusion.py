@@ -45,7 +45,7 @@ def fuse_citations_by_title(df: DataFrame, strict: bool = False) -> DataFrame:
     a fingerprint leads if no leader before it is near, and the others follow
     their earliest near leader.
     """
-    keyed = df.withColumn("_key", group_key(F.col("pmid"), F.col("doi"))).withColumn("_hash", simhash(F.col("title")))
+    keyed = cut(df.select("ord", group_key(F.col("pmid"), F.col("doi")).alias("_key"), simhash(F.col("title")).alias("_hash")))
     named = keyed.where("_key <> ''")
     firsts = named.groupBy("_key").agg(F.min_by("_hash", "ord").alias("_hash"))
     free = keyed.where("_key = ''")
@@ -69,8 +69,8 @@ def fuse_citations_by_title(df: DataFrame, strict: bool = False) -> DataFrame:
     placed = free.drop("_key").join(target, F.col("_hash").eqNullSafe(F.col("_at"))).drop("_at").withColumnRenamed("_to", "_key")
     if strict:
         placed = placed.where(~F.col("_joined"))
-    every = named.unionByName(placed.drop("_joined"))
-    return fuse_by(every.drop("_hash"), F.col("_key")).drop("_key")
+    keys = named.select("ord", "_key").unionByName(placed.select("ord", "_key"))
+    return fuse_by(df.join(keys, "ord"), F.col("_key")).drop("_key")
 
 
 def grade(df: DataFrame, as_of_year: int, by: str = "conv_id") -> DataFrame:
