@@ -178,7 +178,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     draw = F.pmod(F.xxhash64(F.lit("quality"), "_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     keep = F.lit(False)
     for y, n in counts.items():
-        keep = keep | ((F.col("_y") == y) & (draw < 1.2 * rows_per_class / n + 0.0001))
+        keep = keep | ((F.col("_y") == y) & (draw < 1.2 * rows_per_class / n))
     chosen = known.where(keep)  # bounded: about 1.2 * rows_per_class rows a label
     text = F.substring(F.col(text_col).cast("string").cast("binary"), 1, train_bytes)
     rows = df.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id", "_text")).limit(4 * rows_per_class).collect()
