@@ -257,6 +257,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     weight = F.aggregate("own", F.lit(0.0), lambda s, x: s + F.log2(x["df"]))
     posted = ordered.where(F.size("own") >= MATCHES).select("c", F.floor(weight).alias("weight"), F.explode(prefix).alias("t")).select("c", "weight", F.col("t.token").alias("token"))
     postings = cut(posted.join(classes.select("c", "n", *BYTES), "c"))
+    classes = cut(classes.select("c", "one", "rep", "k1", "k2", "n"))  # the signatures have done their work
+    del pairs, shared, ordered, posted
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
@@ -283,6 +285,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if comp is None:
         comp = classes.select("c", F.col("c").alias("comp")).limit(0)
     open_ = cut(_open_classes(postings, comp))
+    del postings
     if not open_.isEmpty():
         cross = _by_shingles(open_, text_of(open_.select("c")))
         cross = cut(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"))
