@@ -6,7 +6,10 @@ last return the columns of documents:
 
 1. language: texts without a letter, and texts whose two best languages cannot
    be told apart, go.
-2. near_dup: one document of each group of near-duplicates stays, the first.
+2. near_dup: one row of each group of near-duplicates stays, the first by id
+   (null ids last), then by the text's hash, then by the other columns. Groups
+   are of rows, not of ids: different texts under one id, or under none, all
+   stay, and so do all texts without a word, as op4 links them with nothing.
 3. decontaminate: documents with a benchmark passage go.
 4. pii: personal data in the texts is replaced by its kind in brackets; n_chars
    is counted anew.
@@ -31,9 +34,13 @@ def identify_language(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return stay.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    rows = docs.where(~neardup.wordless("text")).withColumn("_th", F.xxhash64("text"))
+    first = neardup.first_rows(docs).select(F.col("id").alias("_id"), F.col("th").alias("_first"))
+    stay = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_first")), "left_semi")
+    # equal texts under one id are one group: the least of their other columns stays
+    one = stay.groupBy("doc_id", "_th").agg(F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("_rest"))
+    return one.select("doc_id", "text", "_rest.*").unionByName(docs.where(neardup.wordless("text"))).select(*COLUMNS)
 
 
 def drop_contaminated(spark, docs, sf_dir):

@@ -239,11 +239,11 @@ def _by_shingles(open_: DataFrame, texts: DataFrame) -> DataFrame:
     return x.join(y, "h").where(apart & enough).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row of ``df``; ``rounds`` of comparing with heads come before the comparison by shingles."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, k1, k2) of each row of ``df``, and (c, one, rep, k1, k2, n, comp) of each class; ``rounds`` of comparing with heads come before the comparison by shingles."""
     rows = cut(sketch(df, id_col, text_col))
     sets = rows.where("n > 0")
-    firsts = sets.groupBy("k1", "k2", "n").agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("rep"), F.first("sig").alias("sig"), *[F.first(b).alias(b) for b in BYTES])
+    firsts = sets.groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("one"), F.min("id").alias("rep"), F.first("sig").alias("sig"), *[F.first(b).alias(b) for b in BYTES])
     classes = cut(firsts.withColumn("c", F.monotonically_increasing_id()))
     rows = cut(rows.select("id", "n", "k1", "k2"))  # the signatures are with the classes now
     del sets, firsts
@@ -294,7 +294,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if not new.isEmpty():
                 comp = components(new if links is None else links.union(new))
 
-    ids = classes.select("c", "rep", "k1", "k2", "n").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    return rows, classes.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+
+
+def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+    """(id, th) of the first row of each component that has words, by id (null ids last), then by ``th``, the xxhash64 of the text."""
+    ids = _grouped(df, id_col, text_col, rounds)[1]
+    return ids.groupBy("comp").agg(F.min("one").alias("one")).select("one.id", "one.th")
+
+
+def wordless(text: str) -> Column:
+    """Whether a text is null or has no word."""
+    return F.coalesce(~F.col(text).rlike(r"[^\x09-\x0D\x20]"), F.lit(True))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row of ``df``."""
+    rows, classes = _grouped(df, id_col, text_col, rounds)
+    ids = classes.select("rep", "k1", "k2", "n", "comp")
     least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = ids.join(least, "comp").select("k1", "k2", "n", "component_id")
     out = rows.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
