@@ -36,7 +36,7 @@ def parse_citations(spark, sf):
 
 def numbered_segments(spark, sf):
     """Lines of a page run together and taken apart again at their numbers."""
-    r = view(spark, sf, "cite_lines_v").where("k % 3 = 0 AND page < 12")
+    r = view(spark, sf, "cite_lines_v").where("k % 3 = 0")
     pages = r.groupBy("page", F.floor(F.col("k") / 4000).alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), " ").alias("t"))
     return pages.select("page", "part", F.posexplode(T.split_numbered(F.col("t")))).groupBy("page", "part").agg(F.count("*").alias("n"), F.sum(F.length("col")).alias("chars"))
 
