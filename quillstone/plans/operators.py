@@ -239,7 +239,7 @@ def context_lines(spark, sf):
 
 
 def nearest_pairs(spark, sf):
-    x = _table(spark, sf, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("page"), "l_linenumber", F.col("l_quantity").alias("y"), "l_extendedprice")
+    x = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", F.col("l_quantity").alias("y"), "l_extendedprice")
     names = x.where("l_linenumber % 2 = 1").select("page", F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("name"), "y")
     return R.nearest_pairs(names, x.where("l_linenumber % 2 = 0").select("page", F.col("l_extendedprice").alias("value"), "y"))
 

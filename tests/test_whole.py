@@ -23,3 +23,22 @@ def test_numbered_segments_of_all_pages(spark, tmp_path):
     got = {(r["page"], r["part"]): (r["n"], r["chars"]) for r in QUERIES["numbered_segments"](spark, str(tmp_path)).collect()}
     assert {page for page, _ in got} == set(range(40))
     assert got == want
+
+
+def test_nearest_pairs_of_all_orders(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(o, n, float(rng.randint(1, 12)), round(rng.uniform(1, 99), 2)) for o in range(1, 60) for n in range(1, rng.randint(2, 8))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = []
+    for page in range(1, 60):
+        names = sorted((q, f"n{n}") for o, n, q, _ in rows if o == page and n % 2)
+        free = sorted((q, v) for o, n, q, v in rows if o == page and n % 2 == 0)
+        for y, name in names:
+            near = [(abs(q - y), i) for i, (q, _) in enumerate(free) if abs(q - y) < 3]
+            if near:
+                d, i = min(near)
+                want.append((page, name, free[i][1], d))
+                free[i] = (float("inf"), 0.0)
+    got = [(r["page"], r["name"], r["value"], r["dist"]) for r in QUERIES["nearest_pairs"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert {p % 4 for p, *_ in got} == {0, 1, 2, 3}
