@@ -54,7 +54,7 @@ def file_labels(spark, sf):
 
 
 def ref_types(spark, sf):
-    c = view(spark, sf, "citations_v")
+    c = view(spark, sf, "citations_v", whole=True)
     return c.groupBy(ids.ref_type(F.col("abstract"), F.col("title")).alias("kind")).agg(F.count("*").alias("n"), F.count(ids.clean_doi(F.col("abstract"), F.col("doi"))).alias("n_doi"))
 
 

@@ -20,7 +20,7 @@ SOURCES = ["pubmed", "openalex", "s2", "scholar", "registry"]
 
 
 def _citations(spark, sf):
-    return view(spark, sf, "citations_v").withColumn("source_origin", F.array("origin"))
+    return view(spark, sf, "citations_v", whole=True).withColumn("source_origin", F.array("origin"))
 
 
 def _table(spark, sf, name):
@@ -176,7 +176,7 @@ def point_alignment(spark, sf):
 
 
 def _findings(spark, sf):
-    x = view(spark, sf, "sections_v")
+    x = view(spark, sf, "sections_v", whole=True)
     return L.scan(x, ("conv_id", "turn"), F.concat("title", F.lit("\n"), "body"), F.col("audience"), F.col("rx_status"))
 
 
@@ -185,11 +185,11 @@ def rule_scan(spark, sf):
 
 
 def presence_rules(spark, sf):
-    return L.missing(view(spark, sf, "sections_v"), "conv_id", F.col("body"), F.col("audience"))
+    return L.missing(view(spark, sf, "sections_v", whole=True), "conv_id", F.col("body"), F.col("audience"))
 
 
 def rule_verdicts(spark, sf):
-    x = view(spark, sf, "sections_v")
+    x = view(spark, sf, "sections_v", whole=True)
     every = _findings(spark, sf).select("conv_id", "severity").unionByName(L.missing(x, "conv_id", F.col("body"), F.col("audience")).select("conv_id", "severity"))
     return L.verdicts(every, x, "conv_id")
 

@@ -57,7 +57,7 @@ def data_points(spark, sf):
 
 
 def trial_flags(spark, sf):
-    c = view(spark, sf, "citations_v")
+    c = view(spark, sf, "citations_v", whole=True)
     return c.groupBy("conv_id").agg(F.count_if(T.is_trial(F.col("title"), F.col("abstract"), F.col("journal"))).alias("n_trials"), F.count("*").alias("n"))
 
 

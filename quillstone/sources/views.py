@@ -88,9 +88,15 @@ FROM {{customer}}""",
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    used = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
-    return spark.sql(VIEWS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+#: Cuts of the statements for another engine, which queries that search whole texts do without.
+CUTS = {"citations_v": ("substring(text, 1, 200)", "text"), "sections_v": ("substring(text, 1, 120)", "text")}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, whole: bool = False) -> DataFrame:
+    """The view; ``whole`` leaves its text uncut, with what the view puts after it."""
+    sql = VIEWS[name].replace(*CUTS[name]) if whole else VIEWS[name]
+    used = set(re.findall(r"\{(\w+)\}", sql))
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def with_views(sql: str) -> str:

@@ -42,3 +42,19 @@ def test_nearest_pairs_of_all_orders(spark, tmp_path):
     got = [(r["page"], r["name"], r["value"], r["dist"]) for r in QUERIES["nearest_pairs"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert {p % 4 for p, *_ in got} == {0, 1, 2, 3}
+
+
+def test_rules_and_grades_read_whole_texts(spark, tmp_path):
+    """Wording past the first hundreds of characters counts."""
+    far = "plain words " * 60
+    spark.createDataFrame([(1, 1, "user", far + "保证治愈"), (1, 2, "user", far), (3, 4, "user", far + "请咨询医生"), (6, 1, "user", far)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(k, far + ("randomized" if k < 3 else "plain"), "en", "web", len(far)) for k in (1, 2, 3, 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert ("ADV-16-CURE", "保证治愈") in {(r["rule"], r["matched"]) for r in run("rule_scan") if (r["conv_id"], r["turn"]) == (1, 1)}
+    assert {r["conv_id"]: r["verdict"] for r in run("rule_verdicts")}[1] == "fail"
+    assert any("ADV-16-CURE[fatal]" in r["note"] for r in run("rule_notes") if (r["conv_id"], r["turn"]) == (1, 1))
+    assert {r["conv_id"] for r in run("presence_rules")} == {6}
+    assert sum(r["n_trials"] for r in run("trial_flags")) == 2
+    assert {r["kind"]: r["n"] for r in run("ref_types")}["RCT 试验"] == 2
+    ratio = {r["conv_id"]: r["rct_ratio"] for r in run("fuse_citations")}
+    assert ratio[2] == 1 and ratio[3] == 0
