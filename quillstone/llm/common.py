@@ -46,6 +46,31 @@ def crc_mod(column: str, m: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)
 
 
+def whole_texts(rows: DataFrame, each: int, most_bytes: int, most_rows: int) -> dict:
+    """The first ``each`` texts of each key of ``rows`` (key, h, text), by h: whole texts, as many as ``most_bytes`` of a key hold, one at least.
+
+    Sizes come to the driver first, so that it never holds more text than that (but for
+    rows of equal h); ``most_rows`` bounds the rows looked at.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    got: dict = {}
+    full = set()
+    for r in rows.select("key", "h", size.alias("n")).orderBy("h", "key").limit(most_rows).collect():
+        count, total, _ = got.get(r["key"], (0, 0, None))
+        if count and total + r["n"] > most_bytes:
+            full.add(r["key"])
+        if r["key"] not in full and count < each:
+            got[r["key"]] = (count + 1, total + r["n"], r["h"])
+    if not got:
+        return {}
+    last = F.create_map(*[F.lit(v) for key, (_, _, h) in got.items() for v in (key, h)])
+    texts: dict = {}
+    for r in rows.where(F.col("h") <= F.try_element_at(last, F.col("key"))).select("key", "h", "text").orderBy("h", "key").limit(most_rows).collect():
+        if len(mine := texts.setdefault(r["key"], [])) < got[r["key"]][0]:
+            mine.append(bytes(r["text"] or b""))
+    return texts
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary Arrow array as (bytes, offsets); nulls count as empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

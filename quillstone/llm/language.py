@@ -8,8 +8,9 @@ loss wins, the score is the softmax over negative losses, and texts whose two
 best languages are too close are flagged as ambiguous.
 
 Training uses a sample of at most ``TRAIN_ROWS`` labelled rows, shared among the
-languages, and ``TRAIN_BYTES`` bytes of each; predictions use every byte of
-every text.
+languages, and the whole text of each; predictions use every byte of every text.
+A language's sample ends earlier where its texts would take more than its share
+of ``TRAIN_BYTES``.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without labelled rows all texts are ``und``; with one language all texts with a
@@ -28,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_mod, load, mix64, row_slices, text_buffers
+from .common import bound_batches, crc_mod, load, mix64, row_slices, text_buffers, whole_texts
 
-TRAIN_ROWS, TRAIN_BYTES = 4000, 2000
+TRAIN_ROWS = 4000
+TRAIN_BYTES = 32 << 20  #: that all sampled texts may take on the driver
 GRAMS = (1, 2, 3)  #: bytes of an n-gram
 BITS = 12  #: log2 of the number of hashed n-gram features
 MARGIN = 0.02  #: relative difference of the two least losses below which a text is ambiguous
@@ -143,7 +145,7 @@ def train(texts: list[bytes], langs: list[str], rounds: int = 150, rate: float =
     return Model(names, table, bias.astype(np.float64), trust / trust.sum() * len(trust) ** 0.5)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """A model of the languages named in rows whose crc32(id as text) mod 4 is not 2."""
     known = df.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).where(F.col("_lang").isNotNull() & (crc_mod("_id", 4) != 2))
     counts = {r[0]: r[1] for r in known.groupBy("_lang").count().collect()}  # a row for each language
@@ -152,13 +154,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     each = max(1, train_rows // len(counts))
     draw = F.pmod(F.xxhash64(F.lit("language"), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * each / n))])
-    text = F.substring(F.col("_text").cast("binary"), 1, train_bytes)
-    chosen = known.where(draw < F.element_at(share, F.col("_lang"))).select("_lang", text.alias("_t"), F.xxhash64("_id", "_text").alias("_h"))
-    rows = chosen.orderBy("_h", "_lang").limit(2 * train_rows).collect()  # bounded: about 1.3 * train_rows rows
-    kept: dict[str, list[bytes]] = {}
-    for r in rows:
-        if len(mine := kept.setdefault(r["_lang"], [])) < each:
-            mine.append(bytes(r["_t"] or b""))
+    chosen = known.where(draw < F.element_at(share, F.col("_lang"))).select(F.col("_lang").alias("key"), F.xxhash64("_id", "_text").alias("h"), F.col("_text").cast("binary").alias("text"))
+    kept = whole_texts(chosen, each, TRAIN_BYTES // len(counts), 2 * train_rows)  # about 1.3 * train_rows rows looked at
     return train([t for v in kept.values() for t in v], [k for k, v in kept.items() for _ in v])
 
 

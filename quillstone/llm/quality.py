@@ -8,8 +8,9 @@ that overlap by half; a learned layer turns each region into hidden activations,
 which are max-pooled over the document and combined into one probability.
 
 Training uses labelled rows only, a sample of at most ``rows_per_class`` of each
-label and ``train_bytes`` bytes of each, chosen by a hash of the row; scoring
-uses every byte of every text.
+label, chosen by a hash of the row; every sampled text is learned from whole, as
+scoring uses every byte of every text. A label's sample ends earlier where its
+texts would take more than ``TRAIN_BYTES``.
 
 Defined cases: a null text is the empty text, which has no regions and gets the
 probability of the bias alone; rows without an id are not held out; without
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, load, map_batches, row_slices, text_buffers
+from .common import crc_mod, load, map_batches, row_slices, text_buffers, whole_texts
 
 WIDTH, STEP, UNIT = 8, 4, 64  #: bytes of a chunk, between two chunks, and of half a region
 FILTERS, HIDDEN = 16, 12
 LAGS = tuple(range(2, 21))  #: distances of the self-match channels
-ROWS_PER_CLASS, TRAIN_BYTES = 2000, 1024
+ROWS_PER_CLASS = 2000
+TRAIN_BYTES = 16 << 20  #: that the sampled texts of one label may take on the driver
+BATCH_BYTES = 1 << 20  #: of a training batch, unless one text is longer
 THRESHOLD = 0.3  #: of the contract: label 1 from this score on
 
 Weights = dict[str, np.ndarray]
@@ -105,6 +108,14 @@ def score(w: Weights, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
+def _batches(order: np.ndarray, size: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    """``order`` in pieces of at most ``batch`` texts and about BATCH_BYTES."""
+    for lo in range(0, len(order), batch):
+        mine = order[lo : lo + batch]
+        for i, j in row_slices(np.concatenate([[0], np.cumsum(size[mine])]), BATCH_BYTES):
+            yield mine[i:j]
+
+
 def train(texts: list[bytes], labels: list[int], share: float, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Weights:
     """Weights of least cross-entropy on balanced classes (Adam); ``share`` is label 1's share of all labelled rows."""
     share = min(max(share, 1e-3), 1 - 1e-3)
@@ -112,7 +123,7 @@ def train(texts: list[bytes], labels: list[int], share: float, epochs: int = 10,
     if len(set(labels)) < 2:
         return {"out_bias": np.zeros(1, np.float32), "prior": prior}
     rng = np.random.default_rng(seed)
-    y = np.array(labels)
+    y, size = np.array(labels), np.array([len(t) for t in texts])
     n_in = FILTERS + len(LAGS)
     w = {
         "filters": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32),
@@ -126,8 +137,7 @@ def train(texts: list[bytes], labels: list[int], share: float, epochs: int = 10,
     weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
     for _ in range(epochs if len(texts) > 500 else 4 * epochs):
         order = rng.permutation(len(texts))
-        for lo in range(0, len(order), batch):
-            mine = order[lo : lo + batch]
+        for mine in _batches(order, size, batch):
             data = np.frombuffer(b"".join(texts[i] for i in mine), np.uint8)
             ends = np.cumsum([0, *[len(texts[i]) for i in mine]])
             buf, first, units = layout(data, ends)
@@ -168,7 +178,7 @@ def train(texts: list[bytes], labels: list[int], share: float, epochs: int = 10,
     return w | {"prior": prior}
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS, train_bytes: int = TRAIN_BYTES) -> Weights:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Weights:
     """Weights learned from the labelled rows whose crc32(id as text) mod 5 is not 0."""
     known = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(id_col, 5) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     counts = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
@@ -180,10 +190,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     for y, n in counts.items():
         keep = keep | ((F.col("_y") == y) & (draw < 1.2 * rows_per_class / n))
     chosen = known.where(keep)  # bounded: about 1.2 * rows_per_class rows a label
-    text = F.substring(F.col(text_col).cast("string").cast("binary"), 1, train_bytes)
-    rows = df.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id", "_text")).limit(4 * rows_per_class).collect()
-    rows = [(bytes(r["_text"] or b""), r["_y"]) for r in rows]
-    few = {y: [t for t, z in rows if z == y][:rows_per_class] for y in (0, 1)}
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("text")).join(F.broadcast(chosen), "_id").select(F.col("_y").alias("key"), F.xxhash64("_id", "text").alias("h"), "text")
+    few = {0: [], 1: []} | whole_texts(rows, rows_per_class, TRAIN_BYTES, 4 * rows_per_class)
     return train([*few[0], *few[1]], [0] * len(few[0]) + [1] * len(few[1]), counts.get(1, 0) / total)
 
 
