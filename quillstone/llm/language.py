@@ -91,12 +91,19 @@ class Model:
     def margins(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Signed margins of each text (rows) for each bit."""
         out = np.zeros((len(ends) - 1, len(self.bias)))
-        some = np.flatnonzero(np.diff(ends))
+        size = np.diff(ends)
+        some = np.flatnonzero(size)
         if len(some):
-            total = np.zeros((len(data), len(self.bias)), np.float32)
-            for g in grams(data):
+            # spaces after each text, as in training: no n-gram reaches into the next one
+            gap = max(GRAMS) - 1
+            first = ends[:-1] + gap * np.arange(len(size))
+            padded = np.full(len(data) + gap * len(size), 32, np.uint8)
+            padded[np.arange(len(data)) + gap * np.repeat(np.arange(len(size)), size)] = data
+            total = np.zeros((len(padded), len(self.bias)), np.float32)
+            for g in grams(padded):
                 total += self.table[g]
-            out[some] = np.add.reduceat(total, ends[:-1][some], axis=0, dtype=np.float64) / np.diff(ends)[some, None]
+            bounds = np.stack([first[some], first[some] + size[some]], 1).reshape(-1)
+            out[some] = np.add.reduceat(total, bounds, axis=0, dtype=np.float64)[::2] / size[some, None]
         return out + self.bias
 
     def predict(self, data: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
