@@ -2,7 +2,9 @@
 
 ``scan(text)`` finds the base kinds in a text, then unwraps what is nested in
 it: percent escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64 runs, and gzip or
-zlib streams inside base64. Each new layer goes on a worklist, is scanned again
+zlib streams (all members) inside base64, which may be wrapped over lines. A
+decoded layer is scanned if it is UTF-8, whatever its characters, or else if it
+holds ``LEAST_VALUE`` readable ASCII characters in a row. Each new layer goes on a worklist, is scanned again
 and unwrapped again until nothing new appears; a set of the layers already seen
 ends cycles. Every layer carries, for each of its characters, the span of the
 original text that it came from, so that a find in any layer is reported as a
@@ -45,6 +47,9 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.A)
+WRAPPED = re.compile(r"""[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+(?:={1,2}|(?=[^A-Za-z0-9+/_-]|$))""", re.A)
+RUN = re.compile(r"[A-Za-z0-9+/_-]+", re.A)
+STRETCH = re.compile(rb"[\x20-\x7e]{%d,}" % LEAST_VALUE)
 LETTERS_ONLY = re.compile(r"[a-z]+|[A-Z]?[a-z]+|[0-9a-f]+", re.A)
 
 Span = tuple[int, int]
@@ -65,10 +70,10 @@ def base_finds(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """A decoded text; ``starts[i]`` and ``ends[i]`` are the original's span of its i-th character, or all share one span."""
 
-    __slots__ = ("text", "starts", "ends", "whole")
+    __slots__ = ("text", "starts", "ends", "whole", "known")
 
-    def __init__(self, text: str, starts=None, ends=None, whole: Span | None = None):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, starts=None, ends=None, whole: Span | None = None, known=frozenset()):
+        self.text, self.starts, self.ends, self.whole, self.known = text, starts, ends, whole, known
 
     def span(self, i: int, j: int) -> Span:
         if self.whole:
@@ -141,25 +146,53 @@ def _escape(run: str):
 
 
 def inflate(raw: bytes) -> bytes | None:
-    """What a gzip or zlib stream holds; None if it is none; OverflowError beyond MAX_LAYER."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
+    """What a gzip or zlib stream holds, all members; None if it is none; OverflowError beyond MAX_LAYER."""
+    out = b""
+    while raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+        if len(out) >= MAX_LAYER:
+            raise OverflowError
         d = zlib.decompressobj(47)
-        out = d.decompress(raw, MAX_LAYER)
-    except zlib.error:
-        return None
-    if d.unconsumed_tail:
-        raise OverflowError
+        try:
+            out += d.decompress(raw, MAX_LAYER - len(out))
+        except zlib.error:
+            break
+        if d.unconsumed_tail:
+            raise OverflowError
+        raw = d.unused_data
     return out or None
 
 
 def _readable(raw: bytes) -> str | None:
     try:
-        text = raw.decode()
+        return raw.decode()
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return raw.decode(errors="replace") if STRETCH.search(raw) else None
+
+
+def _wrapped(t: str) -> Iterator[list[Span]]:
+    """The runs of base64 that may go on over line breaks, as the places of their lines.
+
+    Of a block of lines these are all of it and, from each change of width on,
+    the lines of one width with and without the shorter one that follows them.
+    """
+    for m in WRAPPED.finditer(t):
+        lines = [r.span() for r in RUN.finditer(t, *m.span())]
+        lines[-1] = (lines[-1][0], m.end())
+        width = [j - i for i, j in lines]
+        seen = {(0, len(lines))}
+        k = 0
+        while k + 1 < len(lines):
+            # the first line may begin within its line, so the second one's width counts too
+            end = k + 1
+            while end < len(lines) and width[end] == width[k + 1]:
+                end += 1
+            seen |= {(k, end), (k, min(end + 1, len(lines)))}
+            if width[k] != width[k + 1]:
+                seen |= {(k + 1, end), (k + 1, min(end + 1, len(lines)))}
+            k = max(end - 1, k + 1)
+        for i, j in sorted(seen):
+            if j - i > 1:
+                yield lines[i:j]
 
 
 def _base64(run: str) -> str | None:
@@ -200,6 +233,16 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                 continue
             if inner is not None:
                 new.append(Layer(inner, whole=span))
+        for lines in _wrapped(t) if "\n" in t else ():
+            span = layer.span(lines[0][0], lines[-1][1])
+            try:
+                inner = _base64("".join(t[i:j] for i, j in lines))
+                if inner is not None:
+                    # what a line holds by itself has been found there, with a closer span
+                    alone = [x for i, j in lines if j - i >= 16 and (x := _base64(t[i:j])) is not None]
+                    new.append(Layer(inner, whole=span, known={(k, x[i:j]) for x in alone for k, i, j in base_finds(x)}))
+            except OverflowError:
+                found.add(("opaque", *span))
         for x in new:
             key = (x.whole, x.text if len(x.text) < 64 else hashlib.sha1(x.text.encode("utf-8", "surrogatepass")).digest())
             if key in seen:
@@ -207,7 +250,8 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             seen.add(key)
             work.append(x)
             for kind, i, j in base_finds(x.text):
-                found.add((kind, *x.span(i, j)))
+                if (kind, x.text[i:j]) not in x.known:
+                    found.add((kind, *x.span(i, j)))
     order = lambda f: (f[1], RANK[f[0]], f[2])
     return sorted(base, key=order), sorted(found, key=order)
 
