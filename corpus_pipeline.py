@@ -35,11 +35,13 @@ def identify_language(spark, docs, sf_dir):
 
 def drop_near_duplicates(spark, docs, sf_dir):
     docs = docs.select(*COLUMNS)
-    rows = docs.where(~neardup.wordless("text")).withColumn("_th", F.xxhash64("text"))
-    first = neardup.first_rows(docs).select(F.col("id").alias("_id"), F.col("th").alias("_first"))
-    stay = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_first")), "left_semi")
+    # the id takes part in the key as a string, so that null ids meet too; the join and the grouping share one exchange of the texts
+    key = lambda c: F.concat(F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    rows = docs.where(~neardup.wordless("text")).withColumn("_th", F.xxhash64("text")).withColumn("_key", key("doc_id"))
+    first = neardup.first_rows(docs).select(key("id").alias("_key"), F.col("th").alias("_th"))
+    stay = rows.join(first, ["_th", "_key"], "left_semi")
     # equal texts under one id are one group: the least of their other columns stays
-    one = stay.groupBy("doc_id", "_th").agg(F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("_rest"))
+    one = stay.groupBy("_th", "_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("_rest"))
     return one.select("doc_id", "text", "_rest.*").unionByName(docs.where(neardup.wordless("text"))).select(*COLUMNS)
 
 

@@ -7,7 +7,9 @@ them, and intermediate tables go to the folder in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +43,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate tables of one run: Parquet in a folder of its own within the shared checkpoint folder.
+
+    Unlike checkpointed rows they keep their columns apart and their sizes known, so
+    that later steps read only what they use and small sides are broadcast. ``drop``
+    removes one that nothing reads any more; the rest goes when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._tables: list[tuple[DataFrame, str]] = []
+        atexit.register(self._remove, self.folder)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self._tables)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._tables.append((out, path))
+        self._jvm.System.gc()  # the driver's collector finds shuffle files that nothing uses any more
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df, path in self._tables:
+            if any(df is x for x in frames):
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        at = self._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self._conf).delete(at, True)
+
+
 def crc_mod(column: str, m: int):
     """crc32(column as text) mod m; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)

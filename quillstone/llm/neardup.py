@@ -11,16 +11,19 @@ those are posted; what a passage in many texts makes common is skipped. Along
 with its posting a class carries one byte of each coordinate, on which matches
 are counted before a pair is formed.
 
-Pairs are not formed within whole posting lists. In rounds, each class outside a
-list's main component is compared with that component's most central class in
-the list (the one whose pairs of coordinate and value are the most common, as
-those of an original are among its edited copies); agreement is confirmed on the
-full sets. What then still has a match in another component is compared on its
-shingles, again by prefix: two sets with similarity 0.75 share one of the rarest
+Pairs are not formed within whole posting lists. Each class is compared with the
+most central class of a list (the one whose pairs of coordinate and value are the
+most common, as those of an original are among its edited copies); agreement is
+confirmed on the full sets. What then still has a match in another component is
+compared on its shingles, again by prefix: two sets with similarity 0.75 share one of the rarest
 floor(n / 4) + 1 shingles of each, and the places of the shared one bound the
 overlap, so an edited copy whose own shingles fill its prefix meets nothing.
 Within a component nothing is compared. Components come from label propagation
-with shortcuts, over DataFrames.
+with shortcuts, over DataFrames, until no label changes.
+
+What the links need of the texts is read once: those of classes with postings
+meet their rows by hash and id, so copies of one text are spread. Intermediate
+tables are Parquet in the shared checkpoint folder.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
 with nothing, each its own component; texts of fewer than five words have the
@@ -36,14 +39,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, cut, load, map_batches, mix64, row_slices, text_buffers
+from .common import PrefixHash, Tables, load, map_batches, mix64, row_slices, text_buffers
 
 SHINGLE = 5
 SIMILARITY = 75  #: per cent of the union that the intersection must reach
 COORDS, MATCHES = 64, 34
+DEALT = 2048  #: rows of a shingle's list that one task compares with the rest of the list
 WORDS8 = COORDS // 8
 
 #: Upper-case ASCII letters fall; tabs, line ends and spaces part the words.
@@ -155,62 +159,66 @@ def _confirm_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         pair, key = pair[order], key[order]
         both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (key[1:] == key[:-1])], minlength=n)
         good = pa.array(100 * both >= SIMILARITY * (size[:n] + size[n:] - both))
-        yield {"a": batch.column(0).slice(lo, n).filter(good), "b": batch.column(1).slice(lo, n).filter(good)}
+        yield {"u": batch.column(0).slice(lo, n).filter(good), "v": batch.column(1).slice(lo, n).filter(good)}
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (c, text) reach the similarity on their full sets."""
+    """(u, v) of the pairs (a, b, u, v) whose texts (c, text) a and b reach the similarity on their full sets."""
     x = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("x")), "a")
     y = x.join(texts.select(F.col("c").alias("b"), F.col("text").alias("y")), "b")
-    return map_batches(y.select("a", "b", "x", "y"), _confirm_batch, "a long, b long")
+    return map_batches(y.select("u", "v", "x", "y"), _confirm_batch, "u long, v long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(c, comp): the least node of each node's component, for the nodes of ``edges`` (a, b).
+def components(tables: Tables, edges: DataFrame) -> DataFrame:
+    """(c, comp): the least node of each node's component, for the nodes of ``edges`` (u, v).
 
     Every round, a node takes the least label among itself and its neighbours,
     then the label of that label; rounds end when no label changes.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("comp")))
-    for _ in range(most):
-        near = both.join(labels.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.min("comp").alias("m"))
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
+    labels = tables.write(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("comp")))
+    while True:
+        seen = Observation()
+        near = both.join(labels.select(F.col("c").alias("v"), "comp"), "v").groupBy(F.col("u").alias("c")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "c").select("c", F.col("comp").alias("old"), F.least("comp", "m").alias("mid"))
         jump = labels.select(F.col("c").alias("mid"), F.col("comp").alias("far"))
-        new = cut(step.join(jump, "mid").select("c", "old", F.least("mid", "far").alias("comp")))
-        labels = new.select("c", "comp")
-        if new.where("comp <> old").isEmpty():
+        new = step.join(jump, "mid").select("c", "old", F.least("mid", "far").alias("comp"))
+        old, labels = labels, tables.write(new.observe(seen, F.count_if(F.col("comp") != F.col("old")).alias("changed")).select("c", "comp"))
+        tables.drop(old)
+        if not seen.get["changed"]:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 BYTES = [f"b{w}" for w in range(WORDS8)]
 
 
-def _mains(known: DataFrame) -> DataFrame:
-    """(token, main, head of main) for the lists of (token, comp, c, weight, ...) that hold several components."""
-    head = F.struct("weight", "c", "n", *BYTES)
-    parts = known.groupBy("token", "comp").agg(F.count("*").alias("m"), F.max(head).alias("head"))
-    lists = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("m", "head", "comp")).alias("most"))
-    return lists.where("parts > 1").select("token", F.col("most.comp").alias("main"), *[F.col(f"most.head.{x}").alias(x) for x in ("c", "n", *BYTES)])
+def _star(posted: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of a class and the most central class of one of its lists."""
+    postings = posted.select("c", "n", "weight", *BYTES, F.explode("prefix").alias("token"))
+    heads = postings.groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("weight", "c", "n", *BYTES)).alias("head")).where("m > 1")
+    heads = heads.select("token", *[F.col(f"head.{x}").alias(x) for x in ("c", "n", *BYTES)])
+    pairs = postings.alias("x").join(heads.alias("y"), "token").where(F.col("x.c") != F.col("y.c")).where(_close("x", "y"))
+    return pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
-def _star(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """Pairs (a, b), a < b, of a class and the head of the main component of one of its lists that it is not in."""
-    known = postings.withColumn("comp", F.col("c")) if comp is None else postings.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    pairs = known.alias("x").join(_mains(known).alias("y"), "token").where(F.col("x.comp") != F.col("y.main")).where(_close("x", "y"))
-    return pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+def _main(lists: DataFrame, key: str) -> DataFrame:
+    """(key, main, all) of the lists of (key, comp) that hold several components: the largest one, and the rows of the list."""
+    parts = lists.groupBy(key, "comp").agg(F.count("*").alias("m"))
+    most = parts.groupBy(key).agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("most"))
+    return most.where("parts > 1").select(key, F.col("most.comp").alias("main"), "all")
 
 
-def _open_classes(postings: DataFrame, comp: DataFrame) -> DataFrame:
+def _open_classes(tables: Tables, posted: DataFrame, comp: DataFrame) -> DataFrame:
     """(c, comp, n) of the classes that have a match in another component."""
-    known = postings.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    mixed = known.join(_mains(known).select("token", "main"), "token")
+    known = posted.join(comp, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "n", *BYTES, F.explode("prefix").alias("token"))
+    mixed = tables.write(known.join(_main(known.select("token", "comp"), "token").drop("all"), "token"))
     rest = mixed.where("comp <> main")
     apart = F.col("x.comp") != F.col("y.comp")
     one = mixed.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & _close("x", "y"), "left_semi")
     two = rest.alias("x").join(mixed.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & _close("x", "y"), "left_semi")
-    return one.select("c", "comp", "n").union(two.select("c", "comp", "n")).distinct()
+    out = tables.write(one.select("c", "comp", "n").union(two.select("c", "comp", "n")).distinct())
+    tables.drop(mixed)
+    return out
 
 
 def _shingle_batch(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -220,86 +228,72 @@ def _shingle_batch(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"c": batch.column(0).slice(lo, hi - lo).take(pa.array(text)), "h": key.view(np.int64)}
 
 
-def _by_shingles(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that their shingles' prefixes and places leave."""
-    every = map_batches(texts.select("c", "text"), _shingle_batch, "c long, h long")
+def _by_shingles(tables: Tables, open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) and their components (u, v), those different, that the prefixes and places of their shingles leave."""
+    every = tables.write(map_batches(texts.join(open_.select("c"), "c").select("c", "text"), _shingle_batch, "c long, h long"))
     shared = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     own = every.join(shared, "h").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).join(open_, "c")
     # shingles of one class only come first in the order; they fill places of the prefix, but meet nothing
     length = F.floor(F.col("n") * (100 - SIMILARITY) / 100).cast("int") + 1
     left = F.greatest(length - (F.col("n") - F.size("own")), F.lit(0)).cast("int")
     rows = own.select("c", "comp", "n", F.size("own").alias("k"), F.posexplode(F.slice("own", F.lit(1), left)).alias("i", "t"))
-    rows = cut(rows.select("c", "comp", "n", (F.col("n") - F.col("k") + F.col("i")).alias("i"), F.col("t.h").alias("h")))
-    parts = rows.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("most")).where("parts > 1")
-    mixed = rows.join(parts.select("h", F.col("most.comp").alias("main")), "h")
-    x, y = mixed.alias("x"), mixed.where("comp <> main").alias("y")
+    rows = tables.write(rows.select("c", "comp", "n", (F.col("n") - F.col("k") + F.col("i")).alias("i"), F.col("t.h").alias("h")))
+    tables.drop(every)
+    # a shingle of many classes is dealt to several tasks: one side by class, the other to each
+    mixed = rows.join(_main(rows, "h"), "h").withColumn("deals", F.ceil(F.col("all") / DEALT).cast("int")).drop("all")
+    x = mixed.withColumn("deal", F.pmod(F.xxhash64("c"), F.col("deals")).cast("int")).alias("x")
+    y = mixed.where("comp <> main").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).alias("y")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("x.main")) | (F.col("x.c") < F.col("y.c")))
     most = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
     enough = most * (100 + SIMILARITY) >= (F.col("x.n") + F.col("y.n")) * SIMILARITY
-    return x.join(y, "h").where(apart & enough).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+    ordered = [pick(f"x.{c}", f"y.{c}").alias(name) for c, name, pick in (("c", "a", F.least), ("c", "b", F.greatest), ("comp", "u", F.least), ("comp", "v", F.greatest))]
+    return x.join(y, ["h", "deal"]).where(apart & enough).select(*ordered).distinct()
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, k1, k2) of each row of ``df``, and (c, one, rep, k1, k2, n, comp) of each class; ``rounds`` of comparing with heads come before the comparison by shingles."""
-    rows = cut(sketch(df, id_col, text_col))
-    sets = rows.where("n > 0")
-    firsts = sets.groupBy("k1", "k2", "n").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("one"), F.min("id").alias("rep"), F.first("sig").alias("sig"), *[F.first(b).alias(b) for b in BYTES])
-    classes = cut(firsts.withColumn("c", F.monotonically_increasing_id()))
-    rows = cut(rows.select("id", "n", "k1", "k2"))  # the signatures are with the classes now
-    del sets, firsts
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, n, k1, k2) of each row of ``df``; (c, one, rep, k1, k2, n) of each class; (c, comp) of the classes that are linked."""
+    tables = Tables(df.sparkSession)
+    rows = tables.write(sketch(df, id_col, text_col))
+    one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("one")
+    firsts = rows.where("n > 0").groupBy("k1", "k2", "n").agg(one, F.min("id").alias("rep"), *[F.first(b).alias(b) for b in ("sig", *BYTES)])
+    classes = tables.write(firsts.withColumn("c", F.monotonically_increasing_id()))
 
-    # postings: of each class, the prefix of its pairs of coordinate and value, the rarest first
+    # of each class, the prefix of its pairs of coordinate and value, the rarest first, if enough of them are shared
     token = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     pairs = classes.select("c", F.posexplode("sig").alias("i", "v")).select("c", token.alias("token"))
     shared = pairs.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = pairs.join(shared, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))
-    prefix = F.slice("own", 1, F.greatest(F.size("own") - (MATCHES - 1), F.lit(0)))
-    weight = F.aggregate("own", F.lit(0.0), lambda s, x: s + F.log2(x["df"]))
-    posted = ordered.where(F.size("own") >= MATCHES).select("c", F.floor(weight).alias("weight"), F.explode(prefix).alias("t")).select("c", "weight", F.col("t.token").alias("token"))
-    postings = cut(posted.join(classes.select("c", "n", *BYTES), "c"))
-    classes = cut(classes.select("c", "one", "rep", "k1", "k2", "n"))  # the signatures have done their work
-    del pairs, shared, ordered, posted
-
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-
-    def text_of(wanted: DataFrame) -> DataFrame:
-        """(c, text) of the classes, from one row of each."""
-        used = wanted.join(classes.select("c", "one"), "c").select("c", F.col("one.th").alias("th"), F.col("one.id").alias("rep"))
-        return cut(texts.join(used, "th").where(F.col("id").eqNullSafe(F.col("rep"))).groupBy("c").agg(F.first("text").alias("text")))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return cut(confirm(pairs, text_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())))
-
-    tested = links = comp = None
-    for _ in range(rounds):
-        star = _star(postings, comp)
-        star = cut(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
-        if star.isEmpty():
-            break
-        tested = star if tested is None else tested.union(star)
-        new = confirmed(star)
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        comp = components(links)
-    if comp is None:
-        comp = classes.select("c", F.col("c").alias("comp")).limit(0)
-    open_ = cut(_open_classes(postings, comp))
-    del postings
-    if not open_.isEmpty():
-        cross = _by_shingles(open_, text_of(open_.select("c")))
-        cross = cut(cross if tested is None else cross.join(tested, ["a", "b"], "left_anti"))
-        if not cross.isEmpty():
-            new = confirmed(cross)
-            if not new.isEmpty():
-                comp = components(new if links is None else links.union(new))
-
-    return rows, classes.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-
-
-def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+    own = pairs.join(shared, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own")).where(F.size("own") >= MATCHES)
+    prefix = F.transform(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1)), lambda t: t["token"])
+    weight = F.floor(F.aggregate("own", F.lit(0.0), lambda s, x: s + F.log2(x["df"])))
+    posted = own.select("c", weight.alias("weight"), prefix.alias("prefix")).join(classes.select("c", "n", "one", *BYTES), "c")
+    posted = tables.write(posted)
+
+    # texts of the posted classes, from one row of each; the ids only spread the copies of a text, so any key made of them does
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    every = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    every = every.select("text", F.xxhash64("text").alias("th"), key.alias("key"))
+    wanted = posted.select("c", F.col("one.th").alias("th"), F.col("one.id").alias("id")).select("c", "th", key.alias("key"))
+    texts = tables.write(every.join(wanted, ["th", "key"]).groupBy("th", "key", "c").agg(F.first("text").alias("text")).select("c", "text"))
+
+    star = _star(posted).select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))
+    links = tables.write(confirm(star, texts))
+    comp = components(tables, links)
+    open_ = _open_classes(tables, posted, comp)
+    tables.drop(posted)
+    cross = tables.write(_by_shingles(tables, open_, texts))
+    further = tables.write(confirm(cross, texts))
+    tables.drop(texts, open_, cross)
+    joined = components(tables, further).withColumnRenamed("comp", "far")
+    # classes linked by shingles only are components of their own so far
+    single = further.select(F.col("u").alias("c")).union(further.select(F.col("v").alias("c"))).distinct().join(comp, "c", "left_anti").select("c", F.col("c").alias("comp"))
+    whole = comp.unionByName(single).join(joined.withColumnRenamed("c", "comp"), "comp", "left").select("c", F.coalesce("far", "comp").alias("comp"))
+    return rows.select("id", "n", "k1", "k2"), classes.select("c", "one", "rep", "k1", "k2", "n"), tables.write(whole)
+
+
+def first_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th) of the first row of each component that has words, by id (null ids last), then by ``th``, the xxhash64 of the text."""
-    ids = _grouped(df, id_col, text_col, rounds)[1]
+    _, classes, comp = _grouped(df, id_col, text_col)
+    ids = classes.select("c", "one").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     return ids.groupBy("comp").agg(F.min("one").alias("one")).select("one.id", "one.th")
 
 
@@ -308,13 +302,13 @@ def wordless(text: str) -> Column:
     return F.coalesce(~F.col(text).rlike(r"[^\x09-\x0D\x20]"), F.lit(True))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row of ``df``."""
-    rows, classes = _grouped(df, id_col, text_col, rounds)
-    ids = classes.select("rep", "k1", "k2", "n", "comp")
-    least = ids.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = ids.join(least, "comp").select("k1", "k2", "n", "component_id")
-    out = rows.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+    rows, classes, comp = _grouped(df, id_col, text_col)
+    linked = classes.select("c", "rep").join(comp, "c")
+    least = linked.select("c", "comp").join(linked.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("c", "least")
+    named = classes.select("c", "k1", "k2", "n", "rep").join(least, "c", "left").select("k1", "k2", "n", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.join(named, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
