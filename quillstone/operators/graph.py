@@ -44,10 +44,13 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full_outer").select("id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("out_edges", "in_edges", "in_sources")])
 
 
-def chain_ends(renames: DataFrame, most: int = 40) -> DataFrame:
+def chain_ends(renames: DataFrame) -> DataFrame:
     """(old, final) of renames (old, new): what each name is called in the end, by pointer doubling; a cycle stops where it closes."""
     at = cut(renames.groupBy("old").agg(F.min("new").alias("final")))
-    for _ in range(most):
+    # the reach of a pointer doubles each round; a cycle keeps turning, so rounds end once a chain of as many names would have
+    reach, names = 1, at.count()
+    while reach <= 2 * names:
+        reach *= 2
         nxt = at.select(F.col("old").alias("final"), F.col("final").alias("far"))
         new = cut(at.join(nxt, "final", "left").select("old", F.coalesce(F.when(F.col("far") != F.col("old"), F.col("far")), F.col("final")).alias("final"), F.col("final").alias("was")))
         if new.where("final <> was").isEmpty():
@@ -56,22 +59,21 @@ def chain_ends(renames: DataFrame, most: int = 40) -> DataFrame:
     return at
 
 
-def outline(sections: DataFrame, tree: str, most: int = 64) -> DataFrame:
+def outline(sections: DataFrame, tree: str) -> DataFrame:
     """(tree, id, depth, path) of sections (tree, id, parent, turn): pre-order paths of sibling numbers, as ``1.2.3``.
 
-    Levels are joined one after the other; a section whose parent is missing is left out.
+    Levels are joined one after the other until one is empty; a section that no root leads to is left out.
     """
     siblings = Window.partitionBy(tree, "parent").orderBy("turn", "id")
     numbered = cut(sections.select(tree, "id", "parent", F.row_number().over(siblings).alias("n")))
     level = numbered.where("parent IS NULL").select(tree, "id", F.lit(1).alias("depth"), F.col("n").cast("string").alias("path"))
     out, level = level, cut(level)
-    for _ in range(most):
+    while True:
         up = level.select(F.col(tree), F.col("id").alias("parent"), F.col("depth"), F.col("path"))
         level = cut(numbered.join(up, [tree, "parent"]).select(tree, "id", (F.col("depth") + 1).alias("depth"), F.concat_ws(".", "path", "n").alias("path")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def full_text(sections: DataFrame, walked: DataFrame, tree: str) -> DataFrame:

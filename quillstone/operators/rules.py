@@ -126,10 +126,15 @@ INTENTS = (
     (r"^(?:规范化|normalize|改名|重命名)\s*$", "normalize", 90, 1.0),
     (r"^(?:审计|audit|检查|校准|真伪)\s*$", "audit", 90, 1.0),
     (r"^(?:每日|推送|daily|跑批|cron)\s*$", "daily_push", 85, 1.0),
+    (r"(?:这个\s*(?:pdf|PDF)\s*(?:是不是|是否)\s*(?:错配|错|对))", "verify_pdf_fulltext", 92, 0.95),
+    (r"(?:我(?:下载了|给你的|发了)|提供|发了)(?:网页|截图|pdf|链接|文章|文献)?", "user_supplied_url", 92, 0.95),
     (r"(?:sci-hub|scihub|科学\s*hub)\s+(\S+)", "fetch_paper", 92, 0.95),
+    (r"(?:验证|鉴定|真伪|check|audit)\s+(?:.*?\s+)?(/\S+\.pdf|\S+\.pdf)", "verify_pdf_metadata", 92, 0.95),
     (r"^(?:处理|跑|执行|process|看下|看)\s*(?:P?(\d+)-(\d+)|row\s*(\d+)|第?\s*(\d+)\s*(?:row|行|号)?)", "process_row", 80, 0.95),
     (r"^(?:找|搜|查|query|search)\s+(.+?)(?:\s+(?:最近|近|recent|new))?\s*(\d+)?\s*(?:天|day|周|week|月|month|篇)?\s*$", "search_papers", 75, 0.85),
     (r"^([A-Z][a-zA-Z-]+(?:\s+[A-Z]\.?)?)\s*(\d{4})?\s*(?:HCC|liver|肝|cancer|hepatocellular|论文|文献)?\s*$", "search_author_year", 60, 0.7),
+    (r"^(?:记录|record|修正|改|错|应该是|改成)\s*(?:P?(\d+)-(\d+))?\s*(?:的\s*)?(\w+)?\s*(?:字段|field)?\s*[\"\']?(.+?)[\"\']?\s*(?:应该是|改成|→|->|to|=)\s*[\"\']?(.+?)[\"\']?$", "record_correction", 70, 0.95),
+    (r"^(?:Row\s+)?P?(\d+)-(\d+)\s*(?:的\s*)?(\w+)?\s*(?:字段|field)?\s*[\"\']?(.+?)[\"\']?\s*(?:应该是|改成|→|->|to|=)\s*[\"\']?(.+?)[\"\']?$", "record_correction", 70, 0.95),
     (r"^(?:最近|recent|new)\s*(\d+)?\s*篇?", "recent_papers", 65, 0.8),
     (r"^(?:去重|dedup|重复|cleanup)", "dedup", 85, 0.9),
     (r"^(.+)$", "free_query", 0, 0.5),

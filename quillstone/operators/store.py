@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from files in the folder of ``spark.checkpoint.dir``; a folder is made only where none is set, as in tests."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors see; one is made only where none is set, as in tests."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from files in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -342,7 +342,7 @@ _RULES = " UNION ALL ".join(f"SELECT '{r.name}' AS rule, '{r.severity}' AS sever
 _FIND = f"""rules AS ({_RULES}), hits AS (SELECT conv_id, turn, rule, severity, unnest(regexp_extract_all(t, p)) AS matched, t FROM (SELECT *, title || chr(10) || body AS t FROM sections_v), rules WHERE (NOT rx OR rx_status = 'rx') AND (NOT pat OR audience = 'patient')),
  fnd AS (SELECT * FROM hits WHERE NOT regexp_matches(matched, '{L.NEGATION}') AND NOT regexp_matches(t, '({L.NEGATION})(?s:.){{0,14}}' || matched))"""
 _MISS = f"mis AS (SELECT conv_id FROM sections_v WHERE audience = 'patient' GROUP BY 1 HAVING NOT bool_or(regexp_matches(body, '{L.RULES[10].patterns[0]}')))"
-_INTENTS = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {{'score': round(least({pr} / 100.0 * {w} + CASE WHEN strlen(t) <= 10 AND regexp_extract(t, '{p}') = t THEN 0.2 ELSE 0 END, 1.0), 9)::DOUBLE, 'place': {-i}, 'intent': '{n}'}} END" for i, (p, n, pr, w) in enumerate(L.INTENTS))
+_INTENTS = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {{'score': round(least({pr} / 100.0 * {w} + CASE WHEN strlen(t) <= 10 AND regexp_extract(t, '{p}') = t THEN 0.2 ELSE 0 END, 1.0), 9)::DOUBLE, 'place': {-i}, 'intent': '{n}'}} END" for i, (p, n, pr, w) in enumerate((p.replace("'", "''"), n, pr, w) for p, n, pr, w in L.INTENTS))
 _PR = "nodes AS (SELECT src AS id FROM edges_v UNION SELECT dst FROM edges_v), n AS (SELECT count(*) AS n FROM nodes), d AS (SELECT src, count(*) AS deg FROM edges_v GROUP BY 1), l AS (SELECT DISTINCT e.src, dst, deg FROM edges_v e JOIN d USING (src)), s0 AS (SELECT id, 0.0::DOUBLE AS score FROM nodes)" + "".join(
     f", s{i} AS (SELECT nodes.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * coalesce(g, 0) AS score FROM nodes CROSS JOIN n LEFT JOIN (SELECT dst, sum(score / deg) AS g FROM l JOIN s{i - 1} ON src = id GROUP BY 1) ON dst = nodes.id)" for i in range(1, 5)
 )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, identifiers, operators, texts
+from . import extraction, identifiers, listings, operators, sources, texts
 
-MODULES = (operators, identifiers, texts, extraction)
+MODULES = (operators, identifiers, texts, extraction, sources, listings)
 
 
 def queries() -> dict:

@@ -42,7 +42,7 @@ def write_table(df: DataFrame, path: str, header: tuple[str, ...] = HEADER, name
     if tuple(df.columns) != names:
         raise ValueError(f"columns are {df.columns}, not {list(names)}")
     titles = [BOM + header[0], *header[1:]]
-    df.select(*[F.col(n).alias(t) for n, t in zip(names, titles, strict=True)]).write.csv(path, header=True, quote='"', escape='"', mode="overwrite")
+    df.select(*[F.col(n).alias(t) for n, t in zip(names, titles, strict=True)]).write.csv(path, header=True, quote='"', escape='"', mode="overwrite", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def pages(df: DataFrame, text: str = "text", key: str = "path") -> DataFrame:

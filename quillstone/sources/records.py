@@ -166,14 +166,27 @@ def register(name: str, reader: Callable[[DataFrame], DataFrame]) -> None:
     READERS[name] = reader
 
 
-def union(payloads: dict[str, DataFrame], enabled: set[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Citations of all enabled sources; ``limit`` keeps as many rows of each (the services' page size, a feature)."""
-    out = None
+def union(payloads: dict[str, DataFrame | Callable[[], DataFrame]], enabled: set[str] | None = None, limit: int | None = None, failed: list | None = None) -> DataFrame:
+    """Citations of all enabled sources; ``limit`` keeps as many rows of each (the services' page size, a feature).
+
+    A source may be given as a function that opens it. With ``failed``, a source that
+    cannot be opened or read is noted there, by name, and the others go on; if none is
+    left, the last fault is raised.
+    """
+    out, fault = None, ValueError("no source is enabled")
     for name in sorted(payloads):
         if enabled is None or name in enabled:
-            one = READERS[name](payloads[name])
+            try:
+                given = payloads[name]
+                one = READERS[name](given() if callable(given) else given)
+            except Exception as e:
+                if failed is None:
+                    raise
+                failed.append(name)
+                fault = e
+                continue
             one = one.limit(limit) if limit else one
             out = one if out is None else out.unionByName(one)
     if out is None:
-        raise ValueError("no source is enabled")
+        raise fault
     return out
