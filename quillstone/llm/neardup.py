@@ -192,11 +192,15 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
 BYTES = [f"b{w}" for w in range(WORDS8)]
 
 
-def _star(posted: DataFrame) -> DataFrame:
+# A side that a join looks up by a key with hot values is written first, not joined straight
+# from its aggregation: its size is known then, and the other side's hot key can be split.
+
+
+def _star(tables: Tables, posted: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of a class and the most central class of one of its lists."""
     postings = posted.select("c", "n", "weight", *BYTES, F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("weight", "c", "n", *BYTES)).alias("head")).where("m > 1")
-    heads = heads.select("token", *[F.col(f"head.{x}").alias(x) for x in ("c", "n", *BYTES)])
+    heads = tables.write(heads.select("token", *[F.col(f"head.{x}").alias(x) for x in ("c", "n", *BYTES)]))
     pairs = postings.alias("x").join(heads.alias("y"), "token").where(F.col("x.c") != F.col("y.c")).where(_close("x", "y"))
     return pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
@@ -211,7 +215,8 @@ def _main(lists: DataFrame, key: str) -> DataFrame:
 def _open_classes(tables: Tables, posted: DataFrame, comp: DataFrame) -> DataFrame:
     """(c, comp, n) of the classes that have a match in another component."""
     known = posted.join(comp, "c", "left").select("c", F.coalesce("comp", "c").alias("comp"), "n", *BYTES, F.explode("prefix").alias("token"))
-    mixed = tables.write(known.join(_main(known.select("token", "comp"), "token").drop("all"), "token"))
+    main = tables.write(_main(known.select("token", "comp"), "token").drop("all"))
+    mixed = tables.write(known.join(main, "token"))
     rest = mixed.where("comp <> main")
     apart = F.col("x.comp") != F.col("y.comp")
     one = mixed.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & _close("x", "y"), "left_semi")
@@ -231,16 +236,16 @@ def _shingle_batch(batch: pa.RecordBatch) -> Iterator[dict]:
 def _by_shingles(tables: Tables, open_: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) and their components (u, v), those different, that the prefixes and places of their shingles leave."""
     every = tables.write(map_batches(texts.join(open_.select("c"), "c").select("c", "text"), _shingle_batch, "c long, h long"))
-    shared = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tables.write(every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     own = every.join(shared, "h").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).join(open_, "c")
     # shingles of one class only come first in the order; they fill places of the prefix, but meet nothing
     length = F.floor(F.col("n") * (100 - SIMILARITY) / 100).cast("int") + 1
     left = F.greatest(length - (F.col("n") - F.size("own")), F.lit(0)).cast("int")
     rows = own.select("c", "comp", "n", F.size("own").alias("k"), F.posexplode(F.slice("own", F.lit(1), left)).alias("i", "t"))
     rows = tables.write(rows.select("c", "comp", "n", (F.col("n") - F.col("k") + F.col("i")).alias("i"), F.col("t.h").alias("h")))
-    tables.drop(every)
+    tables.drop(every, shared)
     # a shingle of many classes is dealt to several tasks: one side by class, the other to each
-    mixed = rows.join(_main(rows, "h"), "h").withColumn("deals", F.ceil(F.col("all") / DEALT).cast("int")).drop("all")
+    mixed = rows.join(tables.write(_main(rows, "h")), "h").withColumn("deals", F.ceil(F.col("all") / DEALT).cast("int")).drop("all")
     x = mixed.withColumn("deal", F.pmod(F.xxhash64("c"), F.col("deals")).cast("int")).alias("x")
     y = mixed.where("comp <> main").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).alias("y")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("x.main")) | (F.col("x.c") < F.col("y.c")))
@@ -261,12 +266,13 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     # of each class, the prefix of its pairs of coordinate and value, the rarest first, if enough of them are shared
     token = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     pairs = classes.select("c", F.posexplode("sig").alias("i", "v")).select("c", token.alias("token"))
-    shared = pairs.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tables.write(pairs.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     own = pairs.join(shared, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own")).where(F.size("own") >= MATCHES)
     prefix = F.transform(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1)), lambda t: t["token"])
     weight = F.floor(F.aggregate("own", F.lit(0.0), lambda s, x: s + F.log2(x["df"])))
     posted = own.select("c", weight.alias("weight"), prefix.alias("prefix")).join(classes.select("c", "n", "one", *BYTES), "c")
     posted = tables.write(posted)
+    tables.drop(shared)
 
     # texts of the posted classes, from one row of each; the ids only spread the copies of a text, so any key made of them does
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
@@ -275,7 +281,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     wanted = posted.select("c", F.col("one.th").alias("th"), F.col("one.id").alias("id")).select("c", "th", key.alias("key"))
     texts = tables.write(every.join(wanted, ["th", "key"]).groupBy("th", "key", "c").agg(F.first("text").alias("text")).select("c", "text"))
 
-    star = _star(posted).select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))
+    star = _star(tables, posted).select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))
     links = tables.write(confirm(star, texts))
     comp = components(tables, links)
     open_ = _open_classes(tables, posted, comp)
