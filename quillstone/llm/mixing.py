@@ -1,22 +1,24 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Every source's texts are laid end to end, in an order that a hash of the id
-fixes, and packed into blocks of ``BLOCK`` tokens. The output is a row of
-shards of ``SHARD_SLOTS`` block-sized slots. Each shard draws its source counts
-from the multinomial with the target shares as probabilities, by systematic
-sampling: one uniform start a shard, then equally spaced points on the line of
-cumulative shares, so that a count is the expected one, rounded down or up. The
-slots of one source, numbered through all shards, are mapped to its blocks by
-pseudorandom permutations of the block indices, a new one for each pass through
-the source, and a join by block index gives each text the tokens that are taken
-of it. No pass is begun beyond the third, so no text is taken more than three
-times.
+fixes, and packed into blocks of ``BLOCK`` tokens (of fewer where the table has
+less than ``SLOTS`` of them, as counts of few slots stray further from what is
+expected of them). The output is a row of shards of ``SHARD_SLOTS`` block-sized
+slots. Each slot draws its source with the target shares as probabilities, so the
+source counts of a shard are multinomial. The slots of one source, numbered
+through all shards, are mapped to its blocks by keyed pseudorandom permutations of
+the block indices, a new one for each pass through the source, and a join by block
+index gives each text the tokens that are taken of it. No pass is begun beyond the
+third, so no text is taken more than three times; slots beyond it stay empty.
 
 No step brings a source together in one task: offsets are sums over buckets of
-texts, then within a bucket, and slots and blocks are dealt by block index.
+texts, then within a bucket; slots are numbered by groups of shards, then within a
+group, and dealt out by source and shard; blocks are dealt by block index. The
+table of sources has one row a source; its size is known when it is joined.
 
 Defined cases: a null text has size 0, and null sources form one source, last in
 order; texts of size 0 take nothing; a table without words has targets of 0;
+further columns must not have the names of the results;
 repeated rows are rows of their own, each with its share of the tokens (only
 rows equal in id and size are interchangeable); an empty table gives an empty
 table; extra columns are ignored. Reruns agree, as every draw is a hash of
@@ -28,16 +30,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, load
+from .common import Tables, load
 
 BLOCK = 32  #: tokens of a block
+SLOTS = 1 << 19  #: slots that a table should have at least, as long as a block holds a token
 SHARD_SLOTS = 4096  #: slots of an output shard
+GROUP_SHARDS = 1024  #: shards whose slots of a source are numbered in one task
+CELLS = 1024  #: parts of the line of shares, by which slots meet their sources
 BUCKET_ROWS = 65536  #: texts of a bucket, all sources together, once there are more than LEAST_BUCKETS of them
 LEAST_BUCKETS = 64
 MOST_PASSES = 3
 SEED = 20240
-#: Primes near 2^20: a multiplier that does not divide the number of blocks gives a permutation of them, and products stay below 2^63 for up to 2^43 blocks.
-PRIMES = (1000003, 1000033, 1000037, 1000039)
+ROUNDS = 4  #: of the keyed permutation
+WALK = 64  #: steps of its walk back into the range: of n places fewer than sqrt(n) + 1 lie outside it
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,61 +84,100 @@ def _uniform(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def _slots(targets: DataFrame, shards: int, total: int) -> DataFrame:
-    """(sid, first, n): for each shard and source, the number of the first slot of the source there and how many it has."""
-    slots = -(-total // BLOCK)
-    line = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = targets.withColumn("hi", F.sum("target").over(line) / F.lit(float(max(total, 1)))).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0)))
-    shard = targets.sparkSession.range(shards).withColumnRenamed("id", "shard")
-    size = F.least(F.lit(SHARD_SLOTS), F.lit(slots) - F.col("shard") * SHARD_SLOTS)
-    start = _uniform(F.lit(SEED), F.lit("shard"), F.col("shard"))
-    points = lambda c: F.ceil(F.col(c) * size - start)  # noqa: E731  points start, start + 1, ... below c * size
-    grid = shard.join(F.broadcast(shares), F.col("target") > 0)
-    return grid.select("shard", "sid", (points("hi") - points("lo")).cast("long").alias("n")).where("n > 0")
+def drawn(targets: DataFrame, slots: int, total: int) -> DataFrame:
+    """(shard, sid, n): the multinomial source counts of each shard, a hash of its number drawing each slot's source."""
+    line = Window.orderBy("sid")
+    ends = F.sum("target").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.lit(float(max(total, 1)))
+    shares = targets.where("target > 0").select("sid", ends.alias("hi")).select("sid", F.coalesce(F.lag("hi").over(line), F.lit(0.0)).alias("lo"), "hi", F.lead("hi").over(line).isNull().alias("last"))
+    shares = shares.withColumn("hi", F.when(F.col("last"), F.lit(2.0)).otherwise(F.col("hi")))  # whatever rounding leaves belongs to the last
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
+    shares = shares.select("sid", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    slot = targets.sparkSession.range(slots).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), _uniform(F.lit(SEED), F.lit("slot"), F.col("id")).alias("u"))
+    slot = slot.withColumn("cell", F.floor(F.col("u") * CELLS))
+    return slot.join(shares, "cell").where("u >= lo AND u < hi").groupBy("shard", "sid").agg(F.count("*").alias("n"))
+
+
+def grid(n: Column) -> tuple[Column, Column]:
+    """(ceil(sqrt(n)), ceil(n / that)): the sides of the least such grid with room for n places."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    return a, F.ceil(n / a).cast("long")
+
+
+def _round(k: int, left: Column, right: Column, a: Column, b: Column, key: tuple[Column, ...]) -> tuple[Column, Column]:
+    """One Feistel round on a row and a column of the grid."""
+    if k % 2 == 0:
+        return (left + F.pmod(F.xxhash64(F.lit(SEED), F.lit(k), right, *key), a)) % a, right
+    return left, (right + F.pmod(F.xxhash64(F.lit(SEED), F.lit(k), left, *key), b)) % b
+
+
+def permuted(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """``df`` (x, n, a, b, key ...), a and b the grid of n, with ``place``: that of x in a pseudorandom permutation of 0 ... n - 1 that the key fixes.
+
+    Feistel rounds on the row and column of x in the grid permute a range a little
+    larger than n; a place outside n is permuted again until it lies inside.
+    """
+    n, a, b, by = F.col("n"), F.col("a"), F.col("b"), tuple(F.col(k) for k in key)
+
+    def again(y: Column) -> Column:
+        left, right = F.floor(y / b), y % b
+        for k in range(ROUNDS):
+            left, right = _round(k, left, right, a, b, by)
+        return (left * b + right).cast("long")
+
+    out = df.withColumns({"_l": F.floor(F.col("x") / b), "_r": F.col("x") % b})
+    for k in range(ROUNDS):  # a projection a round, so that each value is worked out once
+        left, right = _round(k, F.col("_l"), F.col("_r"), a, b, by)
+        out = out.withColumns({"_l": left, "_r": right})
+    out = out.withColumn("_y", (F.col("_l") * b + F.col("_r")).cast("long"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col("_y"), lambda s, _: F.when(s < n, s).otherwise(again(s)))
+    return out.withColumn("place", F.when(F.col("_y") < n, F.col("_y")).otherwise(walk)).drop("_l", "_r", "_y")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", columns: tuple[str, ...] = ()) -> DataFrame:
     """(id, size, source_size, target, taken, further ``columns``) for each row of ``df``.
 
     The numbers are made from ids, sources and sizes alone; with ``columns``,
-    these travel along from the first read, cut to the checkpoint folder.
+    these travel along from the first read, written to the checkpoint folder.
     """
-    rows = cut(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("src"), n_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_x{k}") for k, c in enumerate(columns)]))
+    if clash := {id_col, "size", "source_size", "target", "taken"} & set(columns):
+        raise ValueError(f"further columns have names of the result: {sorted(clash)}")
     spark = df.sparkSession
-    targets = source_targets(rows)
-    targets = cut(targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())).cast("int")))
+    tables = Tables(spark)
+    rows = tables.write(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("src"), n_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_x{k}") for k, c in enumerate(columns)]))
+    targets = tables.write(source_targets(rows).withColumn("sid", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())).cast("int")))
     total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    block = max(1, min(BLOCK, total // SLOTS))
     buckets = max(LEAST_BUCKETS, -(-n_rows // BUCKET_ROWS))
 
-    known = rows.join(F.broadcast(targets), rows["src"].eqNullSafe(targets["src"])).drop(targets["src"])
+    known = rows.join(targets.withColumnRenamed("src", "_src"), F.col("src").eqNullSafe(F.col("_src"))).drop("src", "_src")
     known = known.withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "_id", "size"), F.lit(buckets)).cast("int"))
     # offsets of the buckets within their source, then of the rows within their bucket
     packed = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = known.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size")).select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(packed), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "bucket").orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = known.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["sid", "bucket"]).withColumn("start", F.col("base") + F.col("within"))
-    placed = cut(placed.withColumn("row", F.monotonically_increasing_id()).drop("base", "within", "bucket", "weight"))
+    placed = tables.write(placed.withColumn("row", F.monotonically_increasing_id()).drop("base", "within", "bucket", "weight"))
 
     # slots of each source, numbered through the shards, and the blocks that they take
-    shards = max(1, -(-(-(-total // BLOCK)) // SHARD_SLOTS))
-    draws = _slots(targets, shards, total)
-    numbered = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    slots = draws.withColumn("first", F.coalesce(F.sum("n").over(numbered), F.lit(0))).select("sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    blocks = F.ceil(F.col("source_size") / BLOCK).cast("long")
-    turns = slots.join(F.broadcast(targets.select("sid", blocks.alias("blocks"))), "sid").where(F.col("slot") < F.col("blocks") * MOST_PASSES)
-    turn = F.floor(F.col("slot") / F.col("blocks"))
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (F.pmod(F.xxhash64(F.lit(SEED), "sid", turn), F.lit(len(PRIMES))) + 1).cast("int"))
-    prime = F.when(F.col("blocks") % prime == 0, F.lit(1000081).cast("long")).otherwise(prime)
-    shift = F.pmod(F.xxhash64(F.lit(SEED), F.lit("shift"), "sid", turn), F.col("blocks"))
-    taken = turns.select("sid", ((((F.col("slot") % F.col("blocks")) * prime) % F.col("blocks") + shift) % F.col("blocks")).alias("block")).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    draws = tables.write(drawn(targets, -(-total // block), total).withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS)))
+    group = Window.partitionBy("sid").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = draws.groupBy("sid", "group").agg(F.sum("n").alias("m")).select("sid", "group", F.coalesce(F.sum("m").over(group), F.lit(0)).alias("base"))
+    shard = Window.partitionBy("sid", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = draws.withColumn("before", F.coalesce(F.sum("n").over(shard), F.lit(0))).join(groups, ["sid", "group"])
+    blocks = targets.select("sid", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
+    blocks = blocks.select("sid", "blocks", *[side.alias(name) for side, name in zip(grid(F.col("blocks")), ("a", "b"), strict=True)])
+    numbered = numbered.select("sid", "shard", (F.col("base") + F.col("before")).alias("first"), "n").join(blocks, "sid").repartition("sid", "shard")
+    turns = numbered.select("sid", "blocks", "a", "b", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")).where(F.col("slot") < F.col("blocks") * MOST_PASSES)
+    turns = turns.select("sid", F.col("blocks").alias("n"), "a", "b", F.floor(F.col("slot") / F.col("blocks")).alias("turn"), (F.col("slot") % F.col("blocks")).alias("x"))
+    taken = permuted(turns, ("sid", "turn")).select("sid", F.col("place").alias("block")).groupBy("sid", "block").agg(F.count("*").alias("times"))
 
     # the join by block index
-    first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").select("row", "sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
+    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     got = parts.select("row", "sid", "block", overlap.alias("overlap")).join(taken, ["sid", "block"]).groupBy("row").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     out = placed.join(got, "row", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"_x{k}").alias(c) for k, c in enumerate(columns) if c not in (id_col, "size", "source_size", "target", "taken")])
+    return out.select(F.col("_id").alias(id_col), F.col("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *[F.col(f"_x{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
