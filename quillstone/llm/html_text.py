@@ -10,7 +10,10 @@ because ``labelled_pages`` builds them.
 
 Defined cases: null or empty html gives the empty text; a page without content
 gives the empty text; broken markup (tags never closed, a page that ends in the
-middle of a tag) is read as a browser would; repeated rows stay repeated; an
+middle of a tag) is read as a browser would, but that elements shown in other ways
+(frames, drawings) are passed over, and their content too where they are closed;
+a page without a wrapper around its content, or without markup, is read like any
+other; repeated rows stay repeated; an
 empty table gives an empty table; only the named columns are read. A page of any
 length is read whole.
 """
@@ -21,6 +24,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,11 @@ from .common import load, map_batches, row_slices, text_buffers
 
 # Fixed values of HTML: what closes what, what holds raw text, what stays in a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg canvas object xmp noframes math".split())
+RAW = frozenset("script style noscript template iframe textarea title svg xmp noframes math".split())
+#: Never closed, these take the rest of the page; the other ones of RAW are then passed over.
+TO_THE_END = frozenset("script style textarea title xmp noframes".split())
+#: Elements of other vocabularies may close themselves.
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -55,9 +63,11 @@ WORDS = {
 }
 GROUP = {w: g for g, ws in WORDS.items() for w in ws.split()}
 LENGTHS = (1, 20, 60, 150, 400)
+#: A page is plain where neither these elements nor any of WORDS part it.
+PARTS = frozenset("article main nav header footer aside form".split())
 
 _names = [f"tag:{t}" for t in [*TAGS, "other"]] + [f"word:{g}" for g in WORDS] + [f"links:{i}" for i in range(4)] + [f"size:{i}" for i in range(6)]
-_names += [f"leaf:{t}" for t in [*TAGS, "other"]] + [f"length:{i}" for i in range(6)] + ["leaf", "in link", "stops", "no stop", "first word capital", "element"]
+_names += [f"leaf:{t}" for t in [*TAGS, "other"]] + [f"length:{i}" for i in range(6)] + ["leaf", "in link", "stops", "no stop", "first word capital", "element", "plain whole"]
 FEATURE = {n: i for i, n in enumerate(_names)}
 EDGES = {t: i for i, t in enumerate([*TAGS, "other", "#text"])}
 
@@ -90,6 +100,8 @@ class Page:
     def _read(self, source: str) -> None:
         stack, block, at, links = [0], [], 0, 0
         tags = self.tags
+        open_tags: Counter[str] = Counter()
+        raw_ends: dict[str, int] = {}  # of elements whose end tag is not found any more, from where on
         size = len(source)
 
         def flush() -> None:
@@ -102,6 +114,7 @@ class Page:
             nonlocal links
             for n in stack[k:]:
                 links -= tags[n] == "a"
+                open_tags[tags[n]] -= 1
                 if tags[n] not in INLINE:
                     flush()
             del stack[k:]
@@ -125,7 +138,7 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                if tag in VOID:
+                if tag in VOID or not open_tags[tag]:
                     continue
                 for k in range(len(stack) - 1, 0, -1):
                     if tags[stack[k]] == tag:
@@ -136,14 +149,22 @@ class Page:
                 if block:
                     self.texts[block[-1]] += " "
                 continue
+            attrs = m[3] if m[2] else m[6]
             if tag in RAW:
-                if end := re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at):
-                    at = end.end()
-                else:
-                    at = size if tag != "svg" else at
                 if tag not in INLINE:
                     flush()
+                if tag in FOREIGN and attrs.endswith("/"):
+                    continue
+                end = None
+                if tag not in raw_ends and not (end := re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)):
+                    raw_ends[tag] = at
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = size
                 continue
+            if tag == "html" and "data-label" in attrs:
+                self.marks[0] = attrs.partition("data-label=")[2].strip("\"' ")[:1]
             if tag in ("html", "head"):
                 continue
             if tag in CLOSES_P:
@@ -162,7 +183,7 @@ class Page:
                         break
             if tag not in INLINE:
                 flush()
-            attrs, words, mark = m[3] if m[2] else m[6], (), ""
+            words, mark = (), ""
             if attrs and not attrs.isspace() and tag != "a":
                 found = {GROUP.get(w) for v in ATTRIBUTE.findall(attrs) for w in SPLIT.split(v.lower())} - {None}
                 if HIDDEN.search(attrs):
@@ -173,6 +194,7 @@ class Page:
             node = self._add(stack[-1], tag, words, mark=mark)
             if tag not in VOID:
                 stack.append(node)
+                open_tags[tag] += 1
                 links += tag == "a"
         pop_to(0)
 
@@ -187,6 +209,7 @@ def _features(page: Page) -> list[list[int]]:
         if i:
             total[page.parents[i]] += total[i]
             linked[page.parents[i]] += linked[i]
+    parted = any(page.tags[i] in PARTS or page.words[i] for i in range(n))
     out, f = [], FEATURE
     for i in range(n):
         size = sum(total[i] >= x for x in LENGTHS)
@@ -194,6 +217,8 @@ def _features(page: Page) -> list[list[int]]:
             share = linked[i] / total[i] if total[i] else 0
             row = [f.get(f"tag:{page.tags[i]}", f["tag:other"]), f[f"links:{min(3, int(share * 4))}"], f[f"size:{size}"], f["element"]]
             row += [f[f"word:{w}"] for w in page.words[i]]
+            if not parted and page.tags[i] in ("html", "body"):
+                row.append(f["plain whole"])
         else:
             t = page.texts[i].strip()
             row = [f.get(f"leaf:{page.tags[page.parents[i]]}", f["leaf:other"]), f[f"length:{size}"], f["leaf"], f["stops" if t[-1:] in ".!?…:;\"" else "no stop"]]
@@ -216,9 +241,14 @@ class Forest:
         self.node = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         self.kinds = np.array([EDGES.get(t, EDGES["other"]) for p in pages for t in p.tags])
         depth = np.zeros(len(rows), np.int64)
+        # like siblings say the same thing many times over: together they weigh as much as one
+        alike = [(p, t, w) for page, at in zip(pages, self.starts.tolist(), strict=False) for p, t, w in zip((x + at for x in page.parents), page.tags, page.words, strict=True)]
+        count = Counter(alike)
+        self.weight = np.ones(len(rows))
         for i, p in enumerate(self.parents.tolist()):
             if p >= 0:
                 depth[i] = depth[p] + 1
+                self.weight[i] = self.weight[p] / count[alike[i]]
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
 
@@ -226,7 +256,8 @@ class Forest:
         """P(content) of each node; with ``edges``, also the joint 2 x 2 of each node with its parent."""
         n = len(self.parents)
         up = np.zeros((n, 2))
-        up[:, 1] = np.bincount(self.node, weights=unary[self.flat], minlength=n)
+        up[:, 1] = np.bincount(self.node, weights=unary[self.flat], minlength=n) * self.weight
+        pair = normal(pair)
         message = np.zeros((n, 2))
         for level in self.levels[:0:-1]:
             x = pair[self.kinds[level]] + up[level][:, None, :]
@@ -249,6 +280,11 @@ class Forest:
         return (content, joint) if edges else content
 
 
+def normal(pair: np.ndarray) -> np.ndarray:
+    """Pair tables as log-probabilities of the child's state given the parent's, so that a child without evidence of its own says nothing about its parent."""
+    return pair - np.logaddexp(pair[:, :, :1], pair[:, :, 1:])
+
+
 def _words(rng: random.Random, lo: int, hi: int, stop: bool = True) -> str:
     letters = "aeiounrstlmdhc"
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(lo, hi))]
@@ -289,6 +325,8 @@ def labelled_page(rng: random.Random) -> str:
             return f"<table><tr><td>{_words(rng, 1, 6, False)}</td><td>{_words(rng, 1, 8)}</td></tr></table>"
         if kind < 0.38:
             return f"<pre>{t}</pre>"
+        if kind < 0.41:
+            return f"<{(o := rng.choice(['object', 'canvas', 'figure', 'center']))}><p>{t}</p></{o}>"
         return f"<p>{t}</p>"
 
     def clutter(inside: bool = False) -> str:
@@ -313,11 +351,32 @@ def labelled_page(rng: random.Random) -> str:
             return off("aside", "", rng.choice([f"<p>{text}</p>", f"<ul>{item()}{item()}</ul>", text]))
         return off("div", name("hidden") if rng.random() < 0.5 else "hidden", text)
 
+    def alone() -> str:
+        """Nothing but content, right in the body, in plain elements or without any markup, at times with one piece of clutter."""
+        head = f"<h1>{_words(rng, 2, 12, rng.random() < 0.5)}</h1>" if rng.random() < 0.4 else ""
+        kind = rng.random()
+        if kind < 0.12:
+            return f"<html data-label=1>{' '.join(_words(rng, 5, 60) for _ in range(rng.randint(1, 4)))}"
+        elif kind < 0.42:
+            inner = head + "".join(f"<div>{_words(rng, 12, 120)}</div>" for _ in range(rng.choice([1, 1, 2, 3, 5])))
+        elif kind < 0.55:
+            inner = head + f"<div>{''.join(paragraph() for _ in range(rng.randint(1, 6)))}</div>"
+        elif kind < 0.63:
+            inner = head + "<br>".join(_words(rng, 10, 80) for _ in range(rng.randint(1, 6)))
+        else:
+            inner = head + "".join(paragraph() for _ in range(rng.randint(1, 8)))
+        if rng.random() < 0.2:
+            inner += clutter()
+        return rng.choice([f"<html data-label=1>{inner}", f"<html data-label=1><body data-label=1>{inner}</body></html>", f"<!DOCTYPE html><html data-label=1><head><title>t</title></head><body data-label=1>{inner}</body></html>"])
+
+    if rng.random() < 0.3:
+        return alone()
     title = f"<h1>{_words(rng, 2, 12, rng.random() < 0.5)}</h1>"
     body = [title] if rng.random() < 0.7 else []
-    for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 9])):
+    long = rng.random() < 0.08  # as long pages are, each of their paragraphs must speak for the content
+    for _ in range(rng.randint(20, 60) if long else rng.choice([1, 1, 1, 2, 3, 5, 9])):
         body.append(paragraph())
-        if rng.random() < 0.12:
+        if rng.random() < (0.02 if long else 0.12):
             body.append(clutter(True))
     inner = "".join(body)
     layout = rng.random()
@@ -326,13 +385,12 @@ def labelled_page(rng: random.Random) -> str:
     elif layout < 0.55:
         inner = f"<main data-label=1>{inner}</main>"
     elif layout < 0.65:
-        inner = f"<main><article data-label=1>{inner}</article>" + (clutter() if rng.random() < 0.4 else "") + "</main>"
-    elif layout < 0.85:
+        inner = f"<main data-label=1><article>{inner}</article>" + (clutter() if rng.random() < 0.4 else "") + "</main>"
+    elif layout < 0.78:
         inner = f"<{(t := rng.choice(['div', 'section']))} {name('body')} data-label=1>{inner}</{t}>"
-    elif layout < 0.93:
+    elif layout < 0.86:
         inner = f"<div data-label=1>{inner}</div>"
-    else:
-        inner = re.sub(r"<(h1|h2|p|ul|table|blockquote|pre)>", r"<\1 data-label=1>", inner)
+    loose = layout >= 0.86  # right in the body, which is then content but for what is marked as none
     parts = []
     bare = rng.random() < 0.15  # nothing but the content, and perhaps one piece of clutter
     if not bare and rng.random() < 0.8:
@@ -351,19 +409,20 @@ def labelled_page(rng: random.Random) -> str:
     whole = "".join(parts)
     if rng.random() < 0.25:
         whole = f"<div {rng.choice(['', 'class=page', 'id=wrapper', 'class=container'])}>{whole}</div>"
-    page = f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body>{whole}</body></html>"
+    label = " data-label=1" if loose else ""
+    page = f"<!DOCTYPE html><html{label}><head><title>t</title><style>p{{}}</style></head><body{label}>{whole}</body></html>"
     return page[: int(len(page) * rng.uniform(0.6, 1))] if rng.random() < 0.08 else page
 
 
 def page_labels(page: Page) -> list[int]:
-    out = [0] * len(page.tags)
+    out = [int(page.marks[0] == "1")] + [0] * (len(page.tags) - 1)
     for i in range(1, len(out)):
         out[i] = int(page.marks[i]) if page.marks[i] in ("0", "1") else out[page.parents[i]]
     return out
 
 
 @functools.cache
-def train(n_pages: int = 900, rounds: int = 120, rate: float = 0.15, decay: float = 0.02, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(n_pages: int = 900, rounds: int = 200, rate: float = 0.15, decay: float = 0.002, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(unary weights, pair tables) of greatest penalised conditional likelihood on the labelled pages (Adam, full batch)."""
     rng = random.Random(seed)
     pages = [Page(labelled_page(rng)) for _ in range(n_pages)]
@@ -378,8 +437,9 @@ def train(n_pages: int = 900, rounds: int = 120, rate: float = 0.15, decay: floa
         content, joint = forest.marginals(unary, pair, edges=True)
         expected = np.zeros_like(pair)
         np.add.at(expected, forest.kinds[below], joint[below])
-        g_unary = np.bincount(forest.flat, weights=(truth - content)[forest.node], minlength=len(unary)) - decay * n_pages * unary / 10
-        g_pair = seen - expected - decay * n_pages * pair / 10
+        g_unary = np.bincount(forest.flat, weights=((truth - content) * forest.weight)[forest.node], minlength=len(unary)) - decay * n_pages * unary / 10
+        g_pair = seen - expected
+        g_pair = g_pair - np.exp(normal(pair)) * g_pair.sum(2, keepdims=True) - decay * n_pages * pair / 10
         for x, g, a, b in ((unary, g_unary, 0, 1), (pair, g_pair, 2, 3)):
             moments[a] = 0.9 * moments[a] + 0.1 * g
             moments[b] = 0.99 * moments[b] + 0.01 * g * g
