@@ -119,7 +119,7 @@ def test_quality_gradient():
     texts = [(words(rng, 60) if i % 2 else "zz zz zz " * 40).encode() for i in range(40)]
     import numpy as np
 
-    w = quality.train(texts, [i % 2 for i in range(40)], 0.5, epochs=10)
+    w = quality.train(texts, [i % 2 for i in range(40)], 0.5, steps=120)
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     s = quality.score(w, data, ends)
     assert s[1::2].min() > 0.8 and s[::2].max() < 0.2
@@ -165,12 +165,39 @@ def pairs_of_rows(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-def test_mixing_permutes():
-    """Affine maps by the listed primes are permutations of the block indices."""
-    for n in (1, 2, 7, 1000, 1000003):
-        for p in mixing.PRIMES:
-            q = 1000081 if n % p == 0 else p
-            assert len({x * q % n for x in range(min(n, 3000))}) == min(n, 3000)
+def test_mixing_permutes(spark):
+    """Every key gives a permutation of the block indices, and the first part of it is no range."""
+    from pyspark.sql import functions as F
+
+    sides = [c.alias(k) for c, k in zip(mixing.grid(F.col("n")), "ab", strict=True)]
+    x = spark.createDataFrame([(n, k) for n in (1, 2, 3, 5, 7, 97, 1000, 3334) for k in (1, 2)], "n long, k int").select("n", "k", *sides, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"))
+    got = {}
+    for r in mixing.permuted(x, ("k",)).collect():
+        got.setdefault((r["n"], r["k"]), {})[r["x"]] = r["place"]
+    for (n, k), places in got.items():
+        assert sorted(places.values()) == list(range(n)), (n, k)
+    for n in (1000, 3334):
+        first = [got[n, 1][i] for i in range(n // 4)]
+        assert max(first) - min(first) > 0.9 * n and len({b - a for a, b in zip(first, first[1:])}) > n / 10
+        assert got[n, 1] != got[n, 2]
+
+
+def test_mixing_draws(spark):
+    """Source counts of shards against a draw of each slot from the same hashes."""
+    from bisect import bisect_right
+    from itertools import accumulate
+
+    from pyspark.sql import functions as F
+
+    slots, shares = 3 * mixing.SHARD_SLOTS // 2, [50.0, 0.0, 5.0, 145.0, 0.5]
+    targets = spark.createDataFrame(list(enumerate(shares, 1)), "sid int, target double")
+    got = {(r["shard"], r["sid"]): r["n"] for r in mixing.drawn(targets, slots, round(sum(shares))).collect()}
+    draws = spark.range(slots).select("id", mixing._uniform(F.lit(mixing.SEED), F.lit("slot"), F.col("id")).alias("u")).collect()
+    ends, want = [x / 200 for x in accumulate(shares)], {}
+    for r in draws:
+        k = (r["id"] // mixing.SHARD_SLOTS, min(bisect_right(ends[:-1], r["u"]) + 1, 5))
+        want[k] = want.get(k, 0) + 1
+    assert got == want and sum(got.values()) == slots and not any(sid == 2 for _, sid in got)
 
 
 # 4
@@ -324,10 +351,11 @@ def test_html_marginals_are_exact():
     f = html_text.Forest([page])
     unary, pair = html_text.train()
     n = len(page.tags)
-    u = np.bincount(f.node, weights=unary[f.flat], minlength=n)
+    u = np.bincount(f.node, weights=unary[f.flat], minlength=n) * f.weight
+    table = html_text.normal(pair)
     total, mass = 0.0, np.zeros(n)
     for states in itertools.product((0, 1), repeat=n):
-        e = sum(u[i] * states[i] for i in range(n)) + sum(pair[f.kinds[i]][states[f.parents[i]], states[i]] for i in range(1, n))
+        e = sum(u[i] * states[i] for i in range(n)) + sum(table[f.kinds[i]][states[f.parents[i]], states[i]] for i in range(1, n))
         total += np.exp(e)
         mass += np.exp(e) * np.array(states)
     assert np.allclose(f.marginals(unary, pair), mass / total)
