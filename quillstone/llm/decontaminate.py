@@ -11,9 +11,11 @@ themselves confirms the occurrence.
 Many texts are scanned at once: each is cut into lanes of window ends, and one
 numpy step moves all lanes on by their shifts.
 
-The test strings travel to the executors with the task. They come in groups of
-at most about ``GROUP_BYTES`` of benchmark text; beyond one group, the groups
-are searched one after the other, each adding to the hits found so far.
+The test strings travel to the executors with the task, as arrays of about ten times
+the size of their text. They come in groups of at most about ``GROUP_BYTES`` of
+benchmark text (an item longer than that is a group with others of its hash); beyond
+one group, the groups are searched one after the other, each adding to the hits found
+so far.
 
 Defined cases: null and wordless texts have no words and no hits; items without
 words have no windows; equal windows of several items count for each item; a
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import PrefixHash, cut, load, map_batches, mix64, row_slices, text_buffers
 
 WINDOW = 10  #: words of a test string
-GROUP_BYTES = 32 << 20  #: benchmark text whose test strings are searched, and sent to executors, at once
+GROUP_BYTES = 4 << 20  #: benchmark text whose test strings are searched, and sent to executors, at once
+PAIRS = 1 << 20  #: of a window and a test string of its bucket, looked at at once
 LANE = 512  #: window ends that one lane scans
 
 #: Upper-case ASCII letters fall to lower case; digits, letters and all bytes of non-ASCII characters make words.
@@ -78,31 +81,59 @@ def _block_keys(h: np.ndarray, size: int, ends: np.ndarray) -> np.ndarray:
         return mix64(h[ends] if size == 1 else h[ends - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[ends])
 
 
+def _bytes_at(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all bytes of the words that begin at ``starts``."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
+class Words:
+    """Lower-cased texts with the places and hashes of their words."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        self.low, a, b, self.first = words_of(data, ends)
+        small = np.int32 if len(data) < 1 << 31 else np.int64
+        self.at, self.size = a.astype(small), (b - a).astype(small)
+        self.h = PrefixHash(self.low).at(a, b)
+
+    def same(self, mine: np.ndarray, other: Words, theirs: np.ndarray, m: int) -> np.ndarray:
+        """Whether the ``m`` words that end with word ``mine`` are those of ``other`` that end with ``theirs``, byte by byte."""
+        good = np.ones(len(mine), bool)
+        for j in range(m):
+            k = np.flatnonzero(good)
+            x, y = mine[k] - j, theirs[k] - j
+            even = self.size[x] == other.size[y]
+            good[k[~even]] = False
+            k, x, y = k[even], x[even], y[even]
+            sizes = self.size[x].astype(np.int64)
+            if len(k):
+                equal = self.low[_bytes_at(self.at[x].astype(np.int64), sizes)] == other.low[_bytes_at(other.at[y].astype(np.int64), sizes)]
+                good[k] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        return good
+
+
 class Patterns:
-    """Test strings of one length: shift table, suffix buckets, words and items."""
-
-    def __init__(self, m: int, windows: dict[bytes, set]):
-        self.m, self.block = m, min(2, m)
-        strings = list(windows)
-        data = np.frombuffer(b"\n".join(strings), np.uint8)
-        ends = np.array([0, *np.cumsum([len(s) + 1 for s in strings])])
-        ends[-1] -= 1
-        low, a, b, first = words_of(data, ends)
-        h = PrefixHash(low).at(a, b)
-        last = first[1:] - 1  # every string has m words
-        bits = max(10, int(8 * len(strings) * m).bit_length())
+    """Test strings of one length: shift table, suffix buckets, last words and items' numbers."""
+
+    def __init__(self, m: int, words: Words, last: np.ndarray, item: np.ndarray):
+        self.m, self.block, self.words = m, min(2, m), words
+        h = words.h
+        suffix, key = _block_keys(h, self.block, last), _window_keys(h, m, last)
+        order = np.lexsort((item, key, suffix))
+        suffix, key, last, item = suffix[order], key[order], last[order], item[order]
+        # a window that an item holds several times counts once
+        again = np.flatnonzero((suffix[1:] == suffix[:-1]) & (key[1:] == key[:-1]) & (item[1:] == item[:-1])) + 1
+        again = again[words.same(last[again], words, last[again - 1], m)]
+        suffix, key, last, item = (np.delete(x, again) for x in (suffix, key, last, item))
+        bits = max(10, int(8 * min(len(last) * m, len(h))).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.shift = np.full(1 << bits, m - self.block + 1, np.uint8)
         for j in range(m - self.block, -1, -1):
             at = (_block_keys(h, self.block, last - j) & self.mask).astype(np.int64)
             self.shift[at] = np.minimum(self.shift[at], j)
-        suffix, key = _block_keys(h, self.block, last), _window_keys(h, m, last)
-        order = np.lexsort((key, suffix))
-        self.suffix, self.key = suffix[order], key[order]
-        self.buckets, at = np.unique(self.suffix, return_index=True)
-        self.bucket_at = np.append(at, len(self.suffix))
-        self.strings = [strings[i] for i in order]
-        self.items = [tuple(sorted(windows[s])) for s in self.strings]
+        self.key, self.last, self.item = key, last.astype(np.int32), item.astype(np.int32)
+        self.buckets, at = np.unique(suffix, return_index=True)
+        self.bucket_at = np.append(at, len(suffix)).astype(np.int32)
 
     def scan(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Window ends where the shift is 0, in texts that begin at words ``first``."""
@@ -121,53 +152,70 @@ class Patterns:
             at, stop = at[live], stop[live]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    def confirm(self, h: np.ndarray, at: np.ndarray, word) -> list[tuple[int, int]]:
-        """(window end, test string) of the true occurrences; ``word(i)`` gives the bytes of word i."""
-        if not len(at):
-            return []
-        suffix = _block_keys(h, self.block, at)
+    def confirm(self, texts: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window ends, numbers of items) of the true occurrences."""
+        none = np.zeros(0, np.int64)
+        if not len(at) or not len(self.buckets):
+            return none, none
+        suffix = _block_keys(texts.h, self.block, at)
         k = np.minimum(np.searchsorted(self.buckets, suffix), len(self.buckets) - 1)
         good = self.buckets[k] == suffix
         at, k = at[good], k[good]
-        keys = _window_keys(h, self.m, at)
+        keys = _window_keys(texts.h, self.m, at)
+        ends, items = [none], [none]
         sizes = self.bucket_at[k + 1] - self.bucket_at[k]
-        who = np.repeat(np.arange(len(at)), sizes)
-        test = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.bucket_at[k], sizes)
-        same = self.key[test] == keys[who]
-        out = []
-        for e, t in zip(at[who[same]].tolist(), test[same].tolist(), strict=True):
-            if b" ".join(word(i) for i in range(e - self.m + 1, e + 1)) == self.strings[t]:
-                out.append((e, t))
-        return out
-
-
-def compile_patterns(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Patterns]:
-    """Tables for the windows of (item id, text) rows, one for each length that occurs."""
-    by_length: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-    for item, text in rows:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        low, a, b, _ = words_of(data, np.array([0, len(data)]))
-        words = [low[i:j].tobytes() for i, j in zip(a, b, strict=True)]
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length[m][b" ".join(words[i : i + m])].update(() if item is None else (item,))
-    return [Patterns(m, w) for m, w in sorted(by_length.items())]
-
-
-def search(tables: list[Patterns], data: np.ndarray, ends: np.ndarray):
+        for lo, hi in row_slices(np.concatenate([[0], np.cumsum(sizes)]), PAIRS):
+            n = sizes[lo:hi]
+            who = lo + np.repeat(np.arange(hi - lo), n)
+            test = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bucket_at[k[lo:hi]], n)
+            equal = self.key[test] == keys[who]
+            who, test = who[equal], test[equal]
+            equal = texts.same(at[who], self.words, self.last[test], self.m)
+            ends.append(at[who[equal]])
+            items.append(self.item[test[equal]])
+        return np.concatenate(ends), np.concatenate(items)
+
+
+class Tables:
+    """Test strings of all lengths that occur, and the names of their items."""
+
+    def __init__(self, patterns: list[Patterns], names: pa.Array):
+        self.patterns, self.names = patterns, names
+
+
+def compile_patterns(rows: pa.Table, window: int = WINDOW) -> Tables:
+    """Tables for the windows of (item, test) rows: string ids and texts."""
+    rows = rows.combine_chunks()
+    names, tests = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], pa.string()) for c in ("item", "test"))
+    words = Words(*text_buffers(tests))
+    n = np.diff(words.first)
+    length = np.minimum(n, window)
+    out = []
+    for m in np.unique(length[length > 0]).tolist():
+        mine = np.flatnonzero(length == m)
+        count = n[mine] - m + 1
+        item = np.repeat(mine, count)
+        last = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + words.first[item] + m - 1
+        out.append(Patterns(m, words, last, item))
+    return Tables(out, names)
+
+
+def search(tables: Tables, data: np.ndarray, ends: np.ndarray):
     """For texts laid end to end: (words of each text, hit flags of all words, first word of each text, items of each text that has some)."""
-    low, a, b, first = words_of(data, ends)
-    flags = np.zeros(len(a) + 1, np.int32)
+    texts = Words(data, ends)
+    flags = np.zeros(len(texts.at) + 1, np.int32)
     items: dict[int, set] = defaultdict(set)
-    if len(a):
-        h = PrefixHash(low).at(a, b)
-        word = lambda i: low[a[i] : b[i]].tobytes()
-        for p in tables:
-            for e, t in p.confirm(h, p.scan(h, first), word):
-                flags[e - p.m + 1] += 1
-                flags[e + 1] -= 1
-                items[int(np.searchsorted(first, e, "right")) - 1].update(p.items[t])
-    return np.diff(first), np.cumsum(flags[:-1]) > 0, first, items
+    if len(texts.at):
+        for p in tables.patterns:
+            e, item = p.confirm(texts, p.scan(texts.h, texts.first))
+            np.add.at(flags, e - p.m + 1, 1)
+            np.add.at(flags, e + 1, -1)
+            if len(e):
+                text = np.searchsorted(texts.first, e, "right") - 1
+                found = np.unique(np.stack([text, item]), axis=1)
+                for t, name in zip(found[0].tolist(), tables.names.take(pa.array(found[1])).to_pylist(), strict=True):
+                    items[t].update(() if name is None else (name,))
+    return np.diff(texts.first), np.cumsum(flags[:-1]) > 0, texts.first, items
 
 
 def _runs(hit: np.ndarray) -> list[int]:
@@ -175,7 +223,7 @@ def _runs(hit: np.ndarray) -> list[int]:
     return edge.astype(int).tolist()
 
 
-def _one_pass(rows: DataFrame, tables: list[Patterns], kept: str) -> DataFrame:
+def _one_pass(rows: DataFrame, tables: Tables, kept: str) -> DataFrame:
     names = rows.columns
 
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -214,7 +262,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "tex
     rows = rows.select(*[f"c{i}" for i, c in enumerate(given) if c != text_col], "_text", "_n", "_hits", "_items")
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_n", "_hits", "_items"))
     for g in range(groups):
-        mine = tests.where(F.pmod(F.xxhash64("item", "test"), F.lit(groups)) == g).collect()  # bounded: about group_bytes of text
+        mine = tests.where(F.pmod(F.xxhash64("item", "test"), F.lit(groups)) == g).toArrow()  # bounded: about group_bytes of text
         rows = _one_pass(rows, compile_patterns(mine, window), kept)
         if g + 1 < groups:
             rows = cut(rows)
