@@ -31,7 +31,6 @@ from .common import load
 
 KINDS = ("email", "ip", "card", "phone")
 CHUNK = 512  #: matches whose lengths are added up at once
-NEAR = 8  #: neighbours in order of start with which a proposal is compared
 CONTEXT = 24  #: characters before a proposal that its features see
 FALSE_SHARE = 0.01
 
@@ -341,25 +340,32 @@ def fit(spark: SparkSession, n: int = 3000) -> Scorer:
     return _scorers[key]
 
 
-def _better(a: Column, b: Column) -> Column:
-    """Whether b goes before a: base matches, then the higher score, the earlier start, the longer."""
-    rank = lambda s: F.struct((~s["base"]).cast("int"), -s["score"], s["start"], -s["stop"], s["kind"])
-    return rank(b) < rank(a)
-
-
 def select(spans: Column) -> Column:
-    """Base matches, and the proposals that no better neighbour overlaps."""
-    spans = F.array_sort(spans, lambda a, b: F.when(F.struct(a["start"], a["stop"], a["kind"]) < F.struct(b["start"], b["stop"], b["kind"]), -1).when(F.struct(a["start"], a["stop"], a["kind"]) > F.struct(b["start"], b["stop"], b["kind"]), 1).otherwise(0))
+    """Of scored proposals the best one, then the best that does not overlap it, and so on.
+
+    Better is a higher score, then the earlier start, the longer span, the kind
+    listed first. In order of start, overlapping proposals follow one another, so
+    the choice is made within each unbroken chain of them.
+    """
+    kind = "array<struct<start:int,stop:int,kind:int,base:boolean,val:string,score:double>>"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(*[s[k].alias(k) for k in ("start", "stop", "kind", "base", "val", "score")])))
+    none = F.array().cast(kind)
     clash = lambda s, o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])
 
-    def best(ordered: Column) -> Column:
-        def keep(s: Column, i: Column) -> Column:
-            lo = F.greatest(i - NEAR, F.lit(0))
-            return s["base"] | ~F.exists(F.slice(ordered, lo + 1, F.lit(2 * NEAR + 1)), lambda o: clash(s, o) & _better(s, o))
+    def greedy(chain: Column) -> Column:
+        ranked = F.array_sort(F.transform(chain, lambda s: F.struct((-s["score"]).alias("a"), s["start"].alias("b"), (-s["stop"]).alias("c"), s["kind"].alias("d"), s.alias("s"))))
+        return F.aggregate(F.transform(ranked, lambda r: r["s"]), none, lambda kept, s: F.when(F.exists(kept, lambda o: clash(s, o)), kept).otherwise(F.concat(kept, F.array(s))))
 
-        return F.filter(ordered, keep)
+    def step(state: Column, s: Column) -> Column:
+        joins = s["start"] < state["reach"]
+        return F.struct(
+            F.when(joins, state["kept"]).otherwise(F.concat(state["kept"], greedy(state["chain"]))).alias("kept"),
+            F.when(joins, F.concat(state["chain"], F.array(s))).otherwise(F.array(s)).alias("chain"),
+            F.when(joins, F.greatest(state["reach"], s["stop"])).otherwise(s["stop"]).alias("reach"),
+        )
 
-    return let(spans, best)
+    start = F.struct(none.alias("kept"), none.alias("chain"), F.lit(0).alias("reach"))
+    return F.aggregate(ordered, start, step, lambda state: F.concat(state["kept"], greedy(state["chain"])))
 
 
 def find_pii(df: DataFrame, text_col: str = "text", scorer: Scorer | None = None) -> DataFrame:
@@ -375,11 +381,12 @@ def find_pii(df: DataFrame, text_col: str = "text", scorer: Scorer | None = None
     described = F.transform("_pii_new", lambda s: F.struct(s.alias("s"), *[c.cast("double").alias(f"f{k}") for k, c in enumerate(features(text, s).values())]))
     rows = rows.withColumn("_pii_new", F.when(F.size("_pii_new") > 0, described))
     fields = ("kind", "start", "stop", "base", "val")
+    named = lambda s: F.struct(*[s[k].alias(k) for k in fields])
     scored = F.transform("_pii_new", lambda d: F.struct(*[d["s"][k].alias(k) for k in fields], scorer.logit({n: d[f"f{k}"] for k, n in enumerate(scorer.names)}).alias("score")))
     rows = rows.withColumn("_pii_new", F.filter(scored, lambda s: s["score"] >= scorer.threshold(s["kind"])))
     flat = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["val"].alias("val"))))
-    known = F.transform("base", lambda s: F.struct(*[s[k].alias(k) for k in fields], F.lit(0.0).alias("score")))
-    every = F.when(F.size("_pii_new") > 0, select(F.concat(known, "_pii_new"))).otherwise(known)
+    # none of them touches a base match, so the choice is among themselves
+    every = F.when(F.size("_pii_new") > 0, F.concat("base", F.transform(select(F.col("_pii_new")), named))).otherwise(F.col("base"))
     return rows.withColumn("spans", flat(every)).withColumn("base", flat("base")).drop("_pii_text", "_pii_digit", "_pii_new")
 
 
