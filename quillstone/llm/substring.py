@@ -58,10 +58,33 @@ SLICE = 1 << 20
 
 SEVERAL = -1  #: instead of a least document: the anchor has several segments
 
+PLACE_BITS = 26  #: low bits of an anchor's key that hold its place in a stretch
+STRETCH = 1 << 25  #: windows whose anchors are looked for at once
 MESSAGE = "bucket int, split int, step int, body binary"
 ANSWER = "split int, step int, body binary"
 
 
+def _anchors(h: np.ndarray, n: int) -> np.ndarray:
+    """Of each of the first ``n`` windows of SPREAD pieces, the one of least hash, the first of them: minima from the left and right of blocks.
+
+    Places stand in the low bits of the keys, counted from the start of a stretch of windows, so that texts of any length have room.
+    """
+    out = np.empty(n, np.int64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    for lo in range(0, n, STRETCH):
+        hi = min(n, lo + STRETCH)
+        mine = h[lo : hi + SPREAD - 1]
+        key = (mine & ~low) | np.arange(len(mine), dtype=np.uint64)
+        grid = np.full(-(-len(key) // SPREAD) * SPREAD, np.uint64(2**64 - 1))
+        grid[: len(key)] = key
+        grid = grid.reshape(-1, SPREAD)
+        left = np.minimum.accumulate(grid, 1).reshape(-1)
+        right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].reshape(-1)
+        starts = np.arange(hi - lo)
+        out[lo:hi] = lo + (np.minimum(right[starts], left[starts + SPREAD - 1]) & low).astype(np.int64)
+    return out
+
+
 def segments(ph: PrefixHash, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first string, last string, anchor hash, segment hash) of all segments of texts laid end to end."""
     n = int(ends[-1])
@@ -69,16 +92,7 @@ def segments(ph: PrefixHash, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     h = ph.rolling(GRAM)
-    # the least hash, then the first place, in each window of SPREAD pieces: minima from the left and right of blocks
-    key = (h & ~np.uint64((1 << 26) - 1)) | np.arange(len(h), dtype=np.uint64)
-    blocks = -(-len(key) // SPREAD)
-    grid = np.full(blocks * SPREAD, np.uint64(2**64 - 1))
-    grid[: len(key)] = key
-    grid = grid.reshape(blocks, SPREAD)
-    left = np.minimum.accumulate(grid, 1).reshape(-1)
-    right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].reshape(-1)
-    starts = np.arange(n - LENGTH + 1)
-    anchor = (np.minimum(right[starts], left[starts + SPREAD - 1]) & np.uint64((1 << 26) - 1)).astype(np.int64)
+    anchor = _anchors(h, n - LENGTH + 1)
     size = np.maximum(np.diff(ends) - LENGTH + 1, 0)
     text = np.repeat(np.arange(len(size)), size)
     inside = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + ends[:-1][text]
