@@ -9,7 +9,9 @@ the frames between them) with the frame at which it starts.
 
 Defined cases: a null text is the empty text; the empty text is one block of
 zero bytes and has no peaks; equal texts give equal files and fingerprints;
-repeated rows stay repeated; an empty table gives an empty table; other columns
+repeated rows stay repeated; of equally strong bins of a frame the lowest is its
+peak, and equally strong frames side by side are all peaks; a text of any length is
+taken whole, its frames in pieces; an empty table gives an empty table; other columns
 are dropped unless named in ``keep``, so clashing names cannot arise.
 """
 
@@ -32,6 +34,7 @@ FRAME = 256  #: samples of a Fourier frame
 HOP = 128  #: samples between two frames
 FAN = 3  #: later peaks that a peak is paired with
 REACH = 32  #: frames that may lie between the two
+PIECE = 2048  #: frames transformed at once
 SPREAD = 2  #: a peak is the strongest of as many frames on either side
 
 _WINDOW = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
@@ -56,20 +59,29 @@ def pad(text: bytes) -> bytes:
     return text + bytes(-len(text) % BLOCK or (BLOCK if not text else 0))
 
 
-def spectrum(samples: np.ndarray) -> np.ndarray:
-    """Magnitudes, a row for each frame, without the frame's mean level; the tail is silence."""
+def strongest(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(strongest bin, its rounded magnitude) of each frame, without the frame's mean level; the tail is silence.
+
+    Frames are transformed PIECE at a time, so that a text of any length takes bounded memory.
+    """
     n = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
-    x = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    x[: len(samples)] = samples - np.float32(samples.mean())
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    return np.abs(np.fft.rfft((frames - frames.mean(1, keepdims=True)) * _WINDOW, axis=1))
+    level = np.float32(samples.mean())
+    bins, tops = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for lo in range(0, n, PIECE):
+        hi = min(n, lo + PIECE)
+        mine = samples[lo * HOP : (hi - 1) * HOP + FRAME]
+        x = np.zeros((hi - lo - 1) * HOP + FRAME, np.float32)
+        x[: len(mine)] = mine - level
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+        mags = np.abs(np.fft.rfft((frames - frames.mean(1, keepdims=True)) * _WINDOW, axis=1))[:, 1:-1]
+        bins[lo:hi] = mags.argmax(1)
+        tops[lo:hi] = np.rint(mags[np.arange(hi - lo), bins[lo:hi]])
+    return bins, tops
 
 
 def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(times, codes) of the spectral-peak pairs, in order of time, then of the partner."""
-    mags = spectrum(samples)[:, 1:-1]
-    bins = mags.argmax(1)
-    tops = np.rint(mags[np.arange(len(mags)), bins]).astype(np.int64)
+    bins, tops = strongest(samples)
     best = tops.copy()
     for d in range(1, SPREAD + 1):
         best[d:] = np.maximum(best[d:], tops[:-d])
