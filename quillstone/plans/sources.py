@@ -134,7 +134,7 @@ def packages(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    _reader("openalex_rows", records.openalex, OPENALEX), _reader("s2_rows", records.semantic_scholar, S2), _reader("crossref_rows", records.crossref, CROSSREF), _reader("registry_rows", records.clinical_trials, REGISTRY), _reader("pubmed_rows", records.pubmed, PUBMED),
+    _reader("rows_of_openalex", records.openalex, OPENALEX), _reader("s2_rows", records.semantic_scholar, S2), _reader("crossref_rows", records.crossref, CROSSREF), _reader("registry_rows", records.clinical_trials, REGISTRY), _reader("pubmed_rows", records.pubmed, PUBMED),
     _reader("listing_rows", records.listing, LISTING), _reader("scholar_rows", records.scholar, SCHOLAR), citations_of_sources, answer_pages, cell_rows, slide_shapes, adverse_events, correction_examples, registry_numbers, cell_links, paper_links, pdf_validity, fallback_needed, csv_rows, log_progress, log_done, packages,
 )}
 
@@ -149,7 +149,7 @@ _PDF_REASON = "CASE k % 5 WHEN 0 THEN 'valid PDF, ~1 page(s), 0 streams' WHEN 1
 _DOI = f"({_CANON})"
 
 ORACLES = {
-    "openalex_rows": _row("openalex", "'W' || ord", pmid="pmid", doi="trim(doi)", abstract="concat('w', ord % 7, ' x w', ord % 7)", cited_by="cited_by", fwci="fwci"),
+    "rows_of_openalex": _row("openalex", "'W' || ord", pmid="pmid", doi="trim(doi)", abstract="concat('w', ord % 7, ' x w', ord % 7)", cited_by="cited_by", fwci="fwci"),
     "s2_rows": _S2_ROW,
     "crossref_rows": _CROSSREF_ROW,
     "registry_rows": _row("registry", "'NCT' || lpad(CAST(ord AS VARCHAR), 8, '0')", authors="''", journal="''", abstract="origin"),
