@@ -171,10 +171,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: a bijection of 64-bit words that spreads every input bit."""
     with np.errstate(over="ignore"):
         x = x ^ (x >> np.uint64(30))
-        x = x * MIX_1
-        x = x ^ (x >> np.uint64(27))
-        x = x * MIX_2
-        return x ^ (x >> np.uint64(31))
+        x *= MIX_1
+        x ^= x >> np.uint64(27)
+        x *= MIX_2
+        x ^= x >> np.uint64(31)
+    return x
 
 
 class PrefixHash:
@@ -215,6 +216,15 @@ class PrefixHash:
         with np.errstate(over="ignore"):
             return mix64((self.sums[j] - self.sums[i]) * self.down[i])
 
+    def parts(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``equal`` needs of starts."""
+        return i, self.sums[i], self.down[i]
+
+    def equal(self, a: tuple, b: tuple, n: np.ndarray | int) -> np.ndarray:
+        """Whether the pieces of ``n`` bytes from two ``parts`` have one hash; the last mixing, a bijection, is left out."""
+        with np.errstate(over="ignore"):
+            return (self.sums[a[0] + n] - a[1]) * a[2] == (self.sums[b[0] + n] - b[1]) * b[2]
+
     def rolling(self, size: int) -> np.ndarray:
         """Hashes of all pieces of ``size`` bytes, in order of their starts."""
         n = len(self.sums) - size

@@ -49,6 +49,7 @@ from .common import PrefixHash, load, mix64, row_slices, text_buffers
 LENGTH = 50
 GRAM = 22
 SPREAD = LENGTH - GRAM + 1  #: pieces of a string
+HEAD = 16  #: bytes of a string that are sorted as two numbers
 MANY = 16
 SPLIT_BYTES = 4 << 20  #: text of a split, about
 LEAST_SPLITS = 256
@@ -65,7 +66,7 @@ ANSWER = "split int, step int, body binary"
 
 
 def _anchors(h: np.ndarray, n: int) -> np.ndarray:
-    """Of each of the first ``n`` windows of SPREAD pieces, the one of least hash, the first of them: minima from the left and right of blocks.
+    """Of each of the first ``n`` windows of SPREAD pieces, the one of least hash, the first of them: minima over spans of doubling width.
 
     Places stand in the low bits of the keys, counted from the start of a stretch of windows, so that texts of any length have room.
     """
@@ -73,15 +74,16 @@ def _anchors(h: np.ndarray, n: int) -> np.ndarray:
     low = np.uint64((1 << PLACE_BITS) - 1)
     for lo in range(0, n, STRETCH):
         hi = min(n, lo + STRETCH)
-        mine = h[lo : hi + SPREAD - 1]
-        key = (mine & ~low) | np.arange(len(mine), dtype=np.uint64)
-        grid = np.full(-(-len(key) // SPREAD) * SPREAD, np.uint64(2**64 - 1))
-        grid[: len(key)] = key
-        grid = grid.reshape(-1, SPREAD)
-        left = np.minimum.accumulate(grid, 1).reshape(-1)
-        right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].reshape(-1)
-        starts = np.arange(hi - lo)
-        out[lo:hi] = lo + (np.minimum(right[starts], left[starts + SPREAD - 1]) & low).astype(np.int64)
+        key = h[lo : hi + SPREAD - 1] & ~low
+        key |= np.arange(len(key), dtype=np.uint64)
+        width = 1
+        while 2 * width <= SPREAD:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        rest = SPREAD - width
+        least = np.minimum(key[: hi - lo], key[rest : rest + hi - lo])
+        least &= low
+        np.add(least.view(np.int64), lo, out=out[lo:hi])
     return out
 
 
@@ -92,36 +94,42 @@ def segments(ph: PrefixHash, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     h = ph.rolling(GRAM)
-    anchor = _anchors(h, n - LENGTH + 1)
-    size = np.maximum(np.diff(ends) - LENGTH + 1, 0)
-    text = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + ends[:-1][text]
-    anchor = anchor[inside]
-    new = np.ones(len(text), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-    i = np.flatnonzero(new)
-    first, last = inside[i], inside[np.append(i[1:], len(inside)) - 1]
-    return text[i], first, last, h[anchor[i]], mix64(ph.at(first, last + LENGTH) + (last - first).astype(np.uint64)) >> np.uint64(16)
+    places = n - LENGTH + 1
+    anchor = _anchors(h, places)
+    new = np.ones(places, bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+    # a text's strings begin with it and end LENGTH bytes before it does
+    edges = np.concatenate([ends[:-1], np.maximum(ends[1:] - LENGTH + 1, ends[:-1])])
+    new[edges[edges < places]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], places) - 1
+    text = np.searchsorted(ends, first, "right") - 1
+    inside = first + LENGTH <= ends[text + 1]
+    text, first, last = text[inside], first[inside], last[inside]
+    return text, first, last, h[anchor[first]], mix64(ph.at(first, last + LENGTH) + (last - first).astype(np.uint64)) >> np.uint64(16)
 
 
 # The suffix sort.
 
 
-def common(ph: PrefixHash, a: np.ndarray, b: np.ndarray, most: int = LENGTH) -> np.ndarray:
-    """Length of the common extension of the suffixes at a and b, up to ``most``: binary search over prefix hashes."""
-    lo, hi = np.zeros(len(a), np.int64), np.full(len(a), most)
-    while True:
-        open_ = lo < hi
-        if not open_.any():
-            return lo
+def common(ph: PrefixHash, a: np.ndarray, b: np.ndarray, most: int = LENGTH, least: int = 0) -> np.ndarray:
+    """Length of the common extension of the suffixes at a and b, up to ``most``, where ``least`` bytes are known to be equal: the whole first, then binary search over prefix hashes."""
+    a, b = ph.parts(a), ph.parts(b)
+    out = np.where(ph.equal(a, b, most), most, least)
+    open_ = np.flatnonzero(out < most)
+    a, b = tuple(x[open_] for x in a), tuple(x[open_] for x in b)
+    lo, hi = out[open_], np.full(len(open_), most - 1)
+    while (lo < hi).any():
         mid = (lo + hi + 1) >> 1
-        same = ph.at(a, a + mid) == ph.at(b, b + mid)
-        lo, hi = np.where(open_ & same, mid, lo), np.where(open_ & ~same, mid - 1, hi)
+        same = ph.equal(a, b, mid)
+        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+    out[open_] = lo
+    return out
 
 
 def _before(ph: PrefixHash, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the string at a sorts before the one at b."""
-    n = common(ph, a, b)
+    """Whether the string at a sorts before the one at b; their first HEAD bytes are equal."""
+    n = common(ph, a, b, least=HEAD)
     k = np.minimum(n, LENGTH - 1)
     return (n < LENGTH) & (data[a + k] < data[b + k])
 
@@ -129,7 +137,7 @@ def _before(ph: PrefixHash, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 def suffix_sort(ph: PrefixHash, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The places ``at`` in order of the strings of LENGTH bytes there (a stable mergesort).
 
-    The first sixteen bytes, as two numbers, part the suffixes into runs; within
+    The first HEAD bytes, as two numbers, part the suffixes into runs; within
     the runs, sorted pieces of doubling size are merged: each suffix finds its rank
     in the other piece by binary search, every comparison finds the common
     extension by binary search over prefix hashes.
@@ -185,7 +193,7 @@ def string_classes(ph: PrefixHash, data: np.ndarray, at: np.ndarray) -> tuple[np
     new = np.ones(len(at), bool)
     if len(at) > 1:
         a, b = at[:-1], at[1:]
-        new[1:] = common(ph, a, b) < LENGTH
+        new[1:] = ~ph.equal(ph.parts(a), ph.parts(b), LENGTH)
         # equal hashes are no proof: the bytes decide
         same = np.flatnonzero(~new[1:])
         for lo in range(0, len(same), 1 << 16):
