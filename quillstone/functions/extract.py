@@ -138,6 +138,25 @@ def search_clause(authors: Column, journal: Column, year: Column, title: Column)
     return F.array_join(F.concat(parts, fragment), " AND ")
 
 
+def wider_searches(authors: Column, journal: Column, year: Column) -> Column:
+    """(name, query) of the searches that follow where a clause finds nothing, in the order in which they are tried: journal and year, surname, journal."""
+    name = F.trim(F.regexp_replace(F.trim(F.substring_index(s(authors), ",", 1)), r"\s*et al.*$", ""))
+    surname = F.regexp_replace(F.substring_index(name, " ", 1), r"[.,;:]+$", "")
+    meeting = rx(F.lower(s(journal)), "abstract|congress|conference|meeting|symposium|annual|presented|poster|asco|esmo")
+    where = F.when((s(journal) != "") & ~meeting, F.concat(F.lit('"'), journal, F.lit('"[Journal]')))
+    when = F.when(year.between(1990, 2030), F.concat(year.cast("string"), F.lit("[Date - Publication - Year]")))
+    both = F.concat(where, F.lit(" AND "), when)
+    who = F.when((F.octet_length(surname) >= 3) & ~T.mostly_chinese(surname), F.concat(F.lit('"'), surname, F.lit('"[Author]')))
+    tried = (("relaxed", both), ("author", who), ("journal", F.coalesce(both, where)))
+    return F.filter(F.array(*[F.struct(F.lit(n).alias("name"), q.alias("query")) for n, q in tried]), lambda t: t["query"].isNotNull())
+
+
+def main_score(has_main: Column, measured: Column, hits: Column, terms: Column, triggered: Column) -> Column:
+    """How far a main file bears out a slide: what was measured, else the share of terms that were found (1 at most), else 0.4 where a fallback was called for; null where nothing is known."""
+    share = F.round(F.least(F.coalesce(hits, F.lit(0)) / terms, F.lit(1.0)), 2)
+    return F.when(~F.coalesce(has_main, F.lit(False)), 0.0).when(measured.isNotNull(), measured).when(terms > 0, share).when(triggered, 0.4)
+
+
 LINK = r"\[([^\]]+)\]\((https?://[^)\s]+)\)"
 
 

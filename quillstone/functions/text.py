@@ -227,6 +227,11 @@ def mostly_chinese(text: Column) -> Column:
     return n > F.floor(F.length(s(text)) / 2)
 
 
+def from_latin(text: Column) -> Column:
+    """A text from its first Latin letter, comma or full stop on, trimmed; empty without one."""
+    return F.trim(F.regexp_extract(s(text), r"(?s)[A-Za-z,.].*", 0))
+
+
 #: Journal names in full and their abbreviations.
 ABBREVIATIONS = {
     "lancet oncology": "Lancet Oncol",

@@ -76,6 +76,12 @@ def outline(sections: DataFrame, tree: str) -> DataFrame:
         out = out.unionByName(level)
 
 
+def last_sections(walked: DataFrame, tree: str, by: str) -> DataFrame:
+    """(tree, by, id, path): of the sections of a walked outline that share a value of ``by``, the last in pre-order."""
+    place = F.transform(F.split("path", r"\."), lambda n: n.cast("int"))
+    return walked.groupBy(tree, by).agg(F.max_by(F.struct("id", "path"), place).alias("s")).select(tree, by, "s.id", "s.path")
+
+
 def full_text(sections: DataFrame, walked: DataFrame, tree: str) -> DataFrame:
     """(tree, n, chars): sections of each tree that its outline reaches, and the length of their text."""
     x = walked.join(sections.select(tree, "id", "title", "body"), [tree, "id"])

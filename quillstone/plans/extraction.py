@@ -62,6 +62,20 @@ def markdown_cells(spark, sf):
     return n.select("k", F.size("n").alias("n"), (X.markdown_of(F.col("n")) == F.col("t")).alias("same"))
 
 
+def wider_searches(spark, sf):
+    c = view(spark, sf, "citations_v")
+    authors = F.when(F.col("ord") % 3 == 0, "Abou-Alfa GK, et al").when(F.col("ord") % 3 == 1, "X").otherwise("李明, 王")
+    journal = F.when(F.col("ord") % 4 == 0, "ASCO Annual Meeting").when(F.col("ord") % 4 == 1, "").otherwise(F.col("journal"))
+    year = F.when(F.col("ord") % 5 > 0, F.col("year"))
+    return c.select("ord", F.explode(X.wider_searches(authors, journal, year)).alias("t")).select("ord", "t.name", "t.query")
+
+
+def main_scores(spark, sf):
+    k = F.col("k")
+    measured = F.when(k % 7 == 0, (k % 90).cast("double") / 100)
+    return view(spark, sf, "refs_v").select("k", X.main_score(k % 5 > 0, measured, k % 9, k % 4, k % 2 == 0).alias("score"))
+
+
 def fallback_scores(spark, sf):
     r = view(spark, sf, "refs_v")
     name = F.concat("journal", F.when(F.col("k") % 5 == 0, "_Appendix").when(F.col("k") % 5 == 1, "_review").when(F.col("k") % 5 == 2, "_2024_China").otherwise(""), F.lit(".pdf"))
@@ -146,7 +160,7 @@ def prompt_cache(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        citation_windows, line_scores, note_routes, keyword_terms, term_variants, claims, search_clauses, markdown_cells, fallback_scores, page_verdicts, located,
+        citation_windows, line_scores, note_routes, keyword_terms, term_variants, claims, search_clauses, wider_searches, main_scores, markdown_cells, fallback_scores, page_verdicts, located,
         query_matrix, numbered_items, section_evidence, outline_changes, coverage, step_matrix, source_priority, first_rows, generated_tests, prompt_cache,
     )
 }
@@ -176,6 +190,9 @@ ORACLES = {
       CASE WHEN k % 3 = 0 THEN 'below_all' ELSE 'above_all' END AS conclusion FROM (SELECT *, CAST(y AS VARCHAR) AS v FROM table_rows_v)""",
     "search_clauses": """SELECT ord, array_to_string(list_concat(p, CASE WHEN len(p) <= 1 AND len(w) >= 3 THEN ['"' || array_to_string(w[1:3], ' ') || '"[Title/Abstract]'] ELSE [] END), ' AND ') AS clause FROM (SELECT ord, list_filter([CASE WHEN ord % 3 = 0 THEN '"Abou-Alfa"[Author]' END,
       CASE WHEN ord % 4 >= 2 THEN '"' || journal || '"[Journal]' END, year || '[Date - Publication - Year]'], lambda x: x IS NOT NULL) AS p, list_filter(regexp_split_to_array(title, '\\s+'), lambda x: x <> '') AS w FROM citations_v)""",
+    "wider_searches": """WITH c AS (SELECT ord, CASE WHEN ord % 4 >= 2 THEN '"' || journal || '"[Journal]' END AS j, CASE WHEN ord % 5 > 0 AND year BETWEEN 1990 AND 2030 THEN year || '[Date - Publication - Year]' END AS y FROM citations_v)
+      SELECT ord, 'relaxed' AS name, j || ' AND ' || y AS query FROM c WHERE j IS NOT NULL AND y IS NOT NULL UNION ALL SELECT ord, 'author', '"Abou-Alfa"[Author]' FROM c WHERE ord % 3 = 0 UNION ALL SELECT ord, 'journal', concat_ws(' AND ', j, y) FROM c WHERE j IS NOT NULL""",
+    "main_scores": "SELECT k, CASE WHEN k % 5 = 0 THEN 0.0::DOUBLE WHEN k % 7 = 0 THEN (k % 90)::DOUBLE / 100 WHEN k % 4 > 0 THEN round(least((k % 9)::DOUBLE / (k % 4), 1.0::DOUBLE), 2) WHEN k % 2 = 0 THEN 0.4::DOUBLE END AS score FROM refs_v",
     "markdown_cells": "SELECT k, CAST(CASE WHEN url LIKE 'http%' OR url = '' THEN 3 ELSE 1 END AS INT) AS n, true AS same FROM refs_v",
     "fallback_scores": f"SELECT CAST({_FB} AS DOUBLE) AS score, count(*) AS n FROM (SELECT k, lower(journal || CASE k % 5 WHEN 0 THEN '_Appendix' WHEN 1 THEN '_review' WHEN 2 THEN '_2024_China' ELSE '' END || '.pdf') AS n FROM refs_v) GROUP BY 1",
     "query_matrix": """WITH b AS (SELECT p_partkey AS project, CASE WHEN p_partkey % 5 > 0 THEN trim(p_name) ELSE '' END AS n, CASE WHEN p_partkey % 4 > 0 THEN trim(p_type) ELSE '' END AS i, p_partkey AS k, p_brand FROM part),

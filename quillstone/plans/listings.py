@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.reference import parse_reference
 from ..operators import listing as L
 from ..sources.views import view, with_views
@@ -75,6 +76,11 @@ def trial_queries(spark, sf):
     return L.trial_lookup(view(spark, sf, "refs_v").select("k", names.alias("name")), "name").select("k", "name", "trial_pmid", "trial_journal", "trial_query")
 
 
+def author_parts(spark, sf):
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("一线治疗 ", "肝癌，", "", "注：")]), (F.col("k") % 4 + 1).cast("int"))
+    return view(spark, sf, "refs_v").select("k", T.from_latin(F.concat(lead, "journal", F.lit(" "))).alias("part"), T.from_latin(lead).alias("none"))
+
+
 def _slides(spark, sf):
     return view(spark, sf, "cite_lines_v").select("k", F.concat("line", F.lit(" rate 14."), F.col("k") % 10, F.lit("% of 9 TACE")).alias("t"))
 
@@ -93,7 +99,7 @@ def reference_fields(spark, sf):
     return r.select("k", parse_reference(F.expr(_LINES)).alias("r")).select("k", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (authority_top, mirrors_by_health, findings_in_order, boxes_in_order, items_by_dimension, item_dimensions, position_diff, mark_rows, pending_corrections, correction_steps, year_modes, trial_queries, slide_points, reference_fields)}
+QUERIES = {f.__name__: f for f in (authority_top, mirrors_by_health, findings_in_order, boxes_in_order, items_by_dimension, item_dimensions, position_diff, mark_rows, pending_corrections, correction_steps, year_modes, trial_queries, author_parts, slide_points, reference_fields)}
 
 _RANK = "CASE {0} " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate(DIMENSIONS)) + f" ELSE {len(DIMENSIONS)} END"
 _LOG = "SELECT job AS id, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'fixed' ELSE 'verified' END AS status FROM outcomes_v"
@@ -114,6 +120,7 @@ ORACLES = {
     "year_modes": """SELECT k, CAST(arg_max(y, n * 100 - place) AS VARCHAR) AS year, '' AS none FROM (SELECT k, y, count(*) AS n, min(i) AS place FROM (SELECT k, unnest([year, 1990 + k % 20, 1990 + k % 3, CASE WHEN k % 4 = 0 THEN year END]) AS y, unnest([1, 2, 3, 4]) AS i FROM refs_v) WHERE y IS NOT NULL GROUP BY ALL) GROUP BY k""",
     "trial_queries": f"""SELECT k, name, t.pmid AS trial_pmid, t.journal AS trial_journal, t.q AS trial_query FROM (SELECT k, CASE k % 7 WHEN 0 THEN 'himalaya' WHEN 1 THEN ' IMbrave150 ' WHEN 2 THEN 'reach-2' WHEN 3 THEN 'CARES-310' WHEN 4 THEN 'unknown' WHEN 5 THEN 'checkmate 9dw' ELSE '' END AS name FROM refs_v) r
       LEFT JOIN (VALUES {_TRIALS}) t(name_, pmid, journal, q) ON upper(trim(name)) = name_""",
+    "author_parts": "SELECT k, trim(journal) AS part, '' AS none FROM refs_v",
     "reference_fields": """SELECT k, CASE k % 6 WHEN 0 THEN 'Finn R, et al' WHEN 1 THEN 'Qin S' WHEN 2 THEN 'Li X' WHEN 3 THEN 'Sun D, et al' WHEN 4 THEN 'Wu A' ELSE '' END AS authors, CASE WHEN k % 6 = 4 THEN 'A title' ELSE '' END AS title,
       CASE WHEN k % 6 IN (0, 1, 4) THEN replace(journal, ' 2022', '') WHEN k % 6 = 2 THEN 'Nature' ELSE '' END AS journal, CAST(year AS VARCHAR) AS year, CASE WHEN k % 6 IN (0, 1, 2, 4) THEN CAST(k % 90 + 1 AS VARCHAR) ELSE '' END AS volume,
       CASE WHEN k % 6 IN (0, 4) THEN CAST(k % 12 + 1 AS VARCHAR) ELSE '' END AS issue, CASE k % 6 WHEN 0 THEN concat(k % 800 + 1, '-', k % 800 + 9) WHEN 1 THEN concat('e', k % 800 + 1) WHEN 2 THEN concat(k % 800 + 1, '-', k % 800 + 9) WHEN 4 THEN CAST(k % 800 + 1 AS VARCHAR) ELSE '' END AS pages,

@@ -273,6 +273,10 @@ def outline(spark, sf):
     return G.outline(view(spark, sf, "sections_v").select("conv_id", "id", "parent", "turn"), "conv_id")
 
 
+def last_sections(spark, sf):
+    return G.last_sections(outline(spark, sf), "conv_id", "depth")
+
+
 def outline_text(spark, sf):
     x = view(spark, sf, "sections_v")
     return G.full_text(x, G.outline(x.select("conv_id", "id", "parent", "turn"), "conv_id"), "conv_id")
@@ -325,7 +329,7 @@ QUERIES = {
         set_conclusion, claim_scores, authenticity, paper_match, coalesce_sources, enrich_citations, verify_cascade, point_alignment,
         rule_scan, presence_rules, rule_verdicts, rule_notes, intents,
         row_diff, three_way, resume, set_relations, neighbours, reconcile, context_lines, nearest_pairs, inventory,
-        pagerank, pagerank_converged, graph_stats, chain_ends, outline, outline_text,
+        pagerank, pagerank_converged, graph_stats, chain_ends, outline, last_sections, outline_text,
         success_rates, health, request_rate, token_bucket, lru_survivors, run_intervals, last_status, window_counts, session_counts,
     )
 }
@@ -398,6 +402,7 @@ ORACLES = {
     "graph_stats": "SELECT coalesce(a.id, b.id) AS id, coalesce(o, 0) AS out_edges, coalesce(i, 0) AS in_edges, coalesce(d, 0) AS in_sources FROM (SELECT src AS id, count(*) AS o FROM edges_v GROUP BY 1) a FULL JOIN (SELECT dst AS id, count(*) AS i, count(DISTINCT src) AS d FROM edges_v GROUP BY 1) b ON a.id = b.id",
     "chain_ends": "WITH RECURSIVE r AS (SELECT o_orderkey AS old, o_orderkey + 1 AS new FROM orders WHERE o_orderkey % 16 <> 0), w AS (SELECT old, new FROM r UNION ALL SELECT w.old, r.new FROM w JOIN r ON w.new = r.old) SELECT old, max(new) AS final FROM w GROUP BY 1",
     "outline": f"WITH RECURSIVE {_OUT} SELECT conv_id, id, CAST(depth AS INT) AS depth, path FROM w",
+    "last_sections": f"WITH RECURSIVE {_OUT} SELECT conv_id, CAST(depth AS INT) AS depth, id, path FROM w QUALIFY row_number() OVER (PARTITION BY conv_id, depth ORDER BY list_transform(string_split(path, '.'), lambda x: CAST(x AS INT)) DESC) = 1",
     "outline_text": f"WITH RECURSIVE {_OUT} SELECT conv_id, count(*) AS n, CAST(sum(length(title) + length(body) + 1) AS BIGINT) AS chars, CAST(max(depth) AS INT) AS depth FROM w JOIN sections_v USING (conv_id, id) GROUP BY 1",
     "success_rates": "SELECT job, a AS alpha, b AS beta, round(a / CAST(a + b AS DOUBLE), 6) AS expected, a / CAST(a + b AS DOUBLE) >= 0.5 AS run FROM (SELECT job, count(*) FILTER (ok) + 1 AS a, count(*) FILTER (NOT ok) + 1 AS b FROM outcomes_v GROUP BY 1)",
     "health": f"""SELECT job, n_ok, n_fail, latency, round(n_ok / CAST(n AS DOUBLE) / (1 + latency / 1000.0::DOUBLE), 6) AS score, CASE WHEN n < 5 THEN 1000 ELSE least(greatest(CAST(trunc(latency * 2.5::DOUBLE) AS BIGINT) * 2, 1000), 5000) END AS timeout_ms FROM (SELECT job, len(es) AS n, len(list_filter(es, lambda e: e.ok)) AS n_ok, len(list_filter(es, lambda e: NOT e.ok)) AS n_fail,
