@@ -124,15 +124,20 @@ def claim(text: Column) -> Column:
     )
 
 
-def search_clause(authors: Column, journal: Column, year: Column, title: Column) -> Column:
-    """Clauses for a bibliographic search, joined by AND: surname, journal, year, and three words of the title where there is at most one other."""
+def _clauses(authors: Column, journal: Column, year: Column) -> tuple[Column, Column, Column]:
+    """(first surname, clause of the journal, clause of the year); clauses are null where there is nothing to search for."""
     name = F.trim(F.regexp_replace(F.trim(F.substring_index(s(authors), ",", 1)), r"\s*et al.*$", ""))
     surname = F.regexp_replace(F.substring_index(name, " ", 1), r"[.,;:]+$", "")
-    author = F.when((F.octet_length(surname) >= 2) & ~T.mostly_chinese(surname), F.concat(F.lit('"'), surname, F.lit('"[Author]')))
     meeting = rx(F.lower(s(journal)), "abstract|congress|conference|meeting|symposium|annual|presented|poster|asco|esmo")
-    in_journal = F.when((s(journal) != "") & ~meeting, F.concat(F.lit('"'), journal, F.lit('"[Journal]')))
-    in_year = F.when(year.between(1990, 2030), F.concat(year.cast("string"), F.lit("[Date - Publication - Year]")))
-    parts = F.filter(F.array(author, in_journal, in_year), lambda p: p.isNotNull())
+    where = F.when((s(journal) != "") & ~meeting, F.concat(F.lit('"'), journal, F.lit('"[Journal]')))
+    return surname, where, F.when(year.between(1990, 2030), F.concat(year.cast("string"), F.lit("[Date - Publication - Year]")))
+
+
+def search_clause(authors: Column, journal: Column, year: Column, title: Column) -> Column:
+    """Clauses for a bibliographic search, joined by AND: surname, journal, year, and three words of the title where there is at most one other."""
+    surname, where, when = _clauses(authors, journal, year)
+    author = F.when((F.octet_length(surname) >= 2) & ~T.mostly_chinese(surname), F.concat(F.lit('"'), surname, F.lit('"[Author]')))
+    parts = F.filter(F.array(author, where, when), lambda p: p.isNotNull())
     words = F.filter(F.split(s(title), r"\s+"), lambda w: w != "")
     fragment = F.when((F.size(parts) <= 1) & (F.size(words) >= 3), F.array(F.concat(F.lit('"'), F.array_join(F.slice(words, 1, 3), " "), F.lit('"[Title/Abstract]')))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(parts, fragment), " AND ")
@@ -140,11 +145,7 @@ def search_clause(authors: Column, journal: Column, year: Column, title: Column)
 
 def wider_searches(authors: Column, journal: Column, year: Column) -> Column:
     """(name, query) of the searches that follow where a clause finds nothing, in the order in which they are tried: journal and year, surname, journal."""
-    name = F.trim(F.regexp_replace(F.trim(F.substring_index(s(authors), ",", 1)), r"\s*et al.*$", ""))
-    surname = F.regexp_replace(F.substring_index(name, " ", 1), r"[.,;:]+$", "")
-    meeting = rx(F.lower(s(journal)), "abstract|congress|conference|meeting|symposium|annual|presented|poster|asco|esmo")
-    where = F.when((s(journal) != "") & ~meeting, F.concat(F.lit('"'), journal, F.lit('"[Journal]')))
-    when = F.when(year.between(1990, 2030), F.concat(year.cast("string"), F.lit("[Date - Publication - Year]")))
+    surname, where, when = _clauses(authors, journal, year)
     both = F.concat(where, F.lit(" AND "), when)
     who = F.when((F.octet_length(surname) >= 3) & ~T.mostly_chinese(surname), F.concat(F.lit('"'), surname, F.lit('"[Author]')))
     tried = (("relaxed", both), ("author", who), ("journal", F.coalesce(both, where)))
