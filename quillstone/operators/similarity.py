@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,12 +94,14 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 QUERY_BYTES = 64 << 20  #: bytes of the query vectors that are searched at once
+SCORES = 8 << 20  #: scores that are worked out at once
 
 
 def nearest(items: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query, id, score, rank): the k best items (id, vec) of each query (query, vec), exact; ties go to the lower id.
 
-    Queries travel in blocks of at most ``query_bytes``; a block's pass over the
+    An item without a vector of the queries' length scores 0 by cosine and has no
+    distance. Queries travel in blocks of at most ``query_bytes``; a block's pass over the
     items is one job stage, and more queries only mean more blocks.
     """
     first = queries.select(F.size("vec").alias("n")).where("n > 0").first()
@@ -122,18 +125,20 @@ def _block(items: DataFrame, queries: pa.Table, k: int, metric: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
-        for batch in batches:
-            flat = np.asarray(batch.column(1).flatten()).astype(np.float64)
-            if not batch.num_rows or len(flat) != batch.num_rows * q.shape[1]:
-                continue
-            x = flat.reshape(batch.num_rows, -1)
+        each = max(1, SCORES // max(1, len(q)))
+        for batch in (whole.slice(i, each) for whole in batches for i in range(0, whole.num_rows, each)):
+            mine, vec = np.asarray(batch.column(0)), batch.column(1)
+            fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(vec), q.shape[1]), False))
+            x = np.zeros((batch.num_rows, q.shape[1]))
+            x[fits] = np.asarray(vec.filter(pa.array(fits)).flatten()).reshape(-1, q.shape[1])
             if metric == "cosine":
                 n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
                 s_ = np.divide(q @ x.T, n, out=np.zeros((len(q), len(x))), where=n > 0)
             else:
+                mine, x = mine[fits], x[fits]
                 s_ = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
             score = np.concatenate([score, s_], 1)
-            ids = np.concatenate([ids, np.broadcast_to(np.asarray(batch.column(0)), s_.shape)], 1)
+            ids = np.concatenate([ids, np.broadcast_to(mine, s_.shape)], 1)
             keep = np.lexsort((ids, -score), axis=1)[:, :k]
             score, ids = np.take_along_axis(score, keep, 1), np.take_along_axis(ids, keep, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, score.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], names=["query", "id", "score"])

@@ -58,3 +58,12 @@ def test_rules_and_grades_read_whole_texts(spark, tmp_path):
     assert {r["kind"]: r["n"] for r in run("ref_types")}["RCT 试验"] == 2
     ratio = {r["conv_id"]: r["rct_ratio"] for r in run("fuse_citations")}
     assert ratio[2] == 1 and ratio[3] == 0
+
+
+def test_nearest_of_uneven_vectors(spark):
+    from quillstone.operators import similarity
+
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [-1.0, 0.0])], "id long, vec array<double>").coalesce(1)
+    queries = spark.createDataFrame([(9, [2.0, 0.0])], "query long, vec array<double>")
+    got = {m: [(r["id"], r["score"]) for r in similarity.nearest(items, queries, 4, m).orderBy("rank").collect()] for m in ("cosine", "euclid")}
+    assert got == {"cosine": [(1, 1.0), (2, 0.0), (3, 0.0), (4, -1.0)], "euclid": [(1, -1.0), (4, -3.0)]}
