@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, media, mixing, neardup, pii, quality, secrets, substring
+from . import decontaminate, html_text, language, media, mixing, neardup, pii, quality, secrets, simhash, substring
 
-MODULES = (substring, pii, decontaminate, quality, neardup, language, mixing, html_text, secrets, media)
+MODULES = (substring, pii, decontaminate, quality, neardup, language, mixing, html_text, secrets, media, simhash)
 
 
 def queries() -> dict:
