@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, media, mixing, neardup, pii, quality, secrets, simhash, substring
+from . import alignment, decontaminate, html_text, language, media, mixing, neardup, pii, quality, secrets, simhash, spelling, substring
 
-MODULES = (substring, pii, decontaminate, quality, neardup, language, mixing, html_text, secrets, media, simhash)
+MODULES = (substring, pii, decontaminate, quality, neardup, language, mixing, html_text, secrets, media, simhash, spelling, alignment)
 
 
 def queries() -> dict:
