@@ -1,0 +1,83 @@
+"""Queries over slides, pages, boxes and lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import marks as M
+from ..operators import placed as P
+from ..sources.views import view, with_views
+
+
+def citation_marks(spark, sf):
+    """Marks of slides made of orders' text shapes and tables of their items."""
+    rows = view(spark, sf, "slide_rows_v").select("slide", "shape", "name", "row", F.array("c0", "c1", "c2").alias("cells"))
+    return M.citation_marks(view(spark, sf, "slide_texts_v"), rows)
+
+
+def _lines(spark, sf):
+    """(doc, i, line) of the lines of documents."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
+
+
+def _box(i, width, left=F.lit(50)):
+    top = (i % 40) * 20
+    return F.struct(left.cast("double").alias("l"), top.cast("double").alias("t"), (left + width).cast("double").alias("r"), (top + 15).cast("double").alias("b"))
+
+
+def _page_json(spark, sf):
+    """Documents as the JSON of a page reader: lines with bars are table rows, the others texts; 40 lines a page."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("w"))
+    lines = F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    prov = lambda y, left, width: F.array(F.struct((F.floor(y["i"] / 40).cast("int") + 1).alias("page_no"), _box(y["i"], width, left).alias("bbox")))
+    texts = F.transform(F.filter(lines, lambda y: ~F.contains(y["x"], F.lit("|"))), lambda y: F.struct(y["x"].alias("text"), prov(y, F.lit(50), F.length(y["x"]) * 5).alias("prov")))
+    cell = lambda y: F.transform(F.split(y["x"], "\\|"), lambda c, j: F.struct(c.alias("text"), _box(y["i"], F.lit(90), j * 100).alias("bbox"), y["i"].alias("start_row_offset_idx"), j.alias("start_col_offset_idx")))
+    tables = F.transform(F.filter(lines, lambda y: F.contains(y["x"], F.lit("|"))), lambda y: F.struct(prov(y, F.lit(0), F.lit(600)).alias("prov"), F.struct(cell(y).alias("table_cells")).alias("data")))
+    return d.select("doc", F.to_json(F.struct(tables.alias("tables"), texts.alias("texts"))).alias("json"))
+
+
+def point_places(spark, sf):
+    """Where the first number and two words of each document stand in it, in any writing."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("x"))
+    points = d.select("doc", F.explode(F.array(F.regexp_extract("x", "[1-9][0-9]{1,3}", 0), F.upper(F.regexp_extract("x", "[a-z]{6,}", 0)), F.regexp_extract("x", "[A-Z][a-z]", 0))).alias("point"))
+    x = P.find_points(P.places(_page_json(spark, sf)), points)
+    return x.select("doc", "point", "variant", "equivalent", "page", "kind", "row", "col", F.col("box.l").alias("left"), F.col("box.t").alias("top"), "text")
+
+
+QUERIES = {"citation_marks": citation_marks, "point_places": point_places}
+
+_EXCLUDED = " OR ".join(f"regexp_matches(line, '{p}')" for p in M.EXCLUDED)
+_CELL = "list_concat({})".format(", ".join(f"regexp_extract_all(context, '{p}', 1)" for p in M.CELL_MARKS))
+
+_ORACLES = {
+    "citation_marks": f"""
+WITH cell AS (SELECT slide, shape, name, row, col, CASE col WHEN 1 THEN '{M.COLUMNS[0][1]}' ELSE '{M.COLUMNS[1][1]}' END AS "column", trim(CASE col WHEN 1 THEN c1 ELSE c2 END) AS context, concat(trim(c0), ' | ', trim(c1), ' | ', trim(c2)) AS row_context
+  FROM slide_rows_v, (VALUES (1), (2)) AS t(col) WHERE row > 0),
+run AS (SELECT *, unnest({_CELL}) AS r FROM cell),
+num AS (SELECT *, CAST(unnest(regexp_extract_all(r, '[0-9]+')) AS BIGINT) AS mark FROM run),
+piece AS (SELECT slide, shape, name, unnest(range(len(string_split(text, chr(10))))) AS place, trim(unnest(string_split(text, chr(10)))) AS line FROM slide_texts_v),
+kept AS (SELECT *, TRY_CAST(regexp_extract(line, '{M.RANGE_END}', 1) AS BIGINT) AS a, TRY_CAST(regexp_extract(line, '{M.RANGE_END}', 2) AS BIGINT) AS b FROM piece
+  WHERE NOT regexp_matches(line, '{M.NUMBER_LINE}') AND NOT ({_EXCLUDED})
+    AND NOT (regexp_matches(line, '{M.TERM_LINE}') AND (len(string_split(line, 'PD-L1')) >= 3 OR contains(line, 'PD-L1') AND contains(line, 'CTLA-4') OR contains(line, '{M.LIGAND}') OR contains(line, '{M.LYMPHOCYTE}') OR regexp_matches(line, '{M.TERM_END}')))),
+tagged AS (SELECT *, coalesce(a <= b AND b <= {M.LARGEST} AND b - a <= {M.WIDEST}, false) AS span FROM kept),
+marked AS (SELECT *, unnest(CASE WHEN span THEN range(a, b + 1) ELSE list_filter(list_transform(regexp_extract_all(regexp_extract(line, '{M.LIST_END}', 1), '[0-9]+'), lambda x: CAST(x AS BIGINT)), lambda x: x <= {M.LARGEST}) END) AS mark FROM tagged),
+both_ AS (SELECT slide, mark, 'table' AS kind, shape, name, row, "column", context, row_context, 0 AS o1, -shape AS o2, row AS o3, col AS o4 FROM num
+  UNION ALL SELECT slide, mark, CASE WHEN span THEN 'text_range' ELSE 'text' END, shape, name, NULL, NULL, line, NULL, 1, shape, place, 0 FROM marked)
+SELECT slide, mark, kind, shape, name, row, "column", context, row_context FROM both_ QUALIFY row_number() OVER (PARTITION BY slide, mark ORDER BY o1, o2, o3, o4, name, context, row_context) = 1
+""",
+    "point_places": """
+WITH line AS (SELECT doc_id AS doc, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents),
+cell AS (SELECT doc, i, unnest(range(len(string_split(x, '|')))) AS j, unnest(string_split(x, '|')) AS text FROM line WHERE contains(x, '|')),
+place AS (SELECT doc, 'table_cell' AS kind, CAST(i // 40 + 1 AS INT) AS page, CAST(i AS INT) AS row, CAST(j AS INT) AS col, CAST(j * 100 AS DOUBLE) AS "left", CAST(i % 40 * 20 AS DOUBLE) AS top, text, 0 AS o1, i AS o2, j AS o3 FROM cell
+  UNION ALL SELECT doc, 'text', i // 40 + 1, NULL, NULL, 50, i % 40 * 20, x, 1, i, 0 FROM line WHERE NOT contains(x, '|')),
+point AS (SELECT DISTINCT doc_id AS doc, unnest([regexp_extract(text, '[1-9][0-9]{1,3}'), upper(regexp_extract(text, '[a-z]{6,}')), regexp_extract(text, '[A-Z][a-z]')]) AS point FROM documents),
+writing AS (SELECT *, CASE WHEN NOT regexp_matches(point, '^[0-9]+$') THEN [point] WHEN CAST(point AS INT) > 100 THEN [point, point || '.0', point || '.00', point || '.000']
+  ELSE [point, point || '.0', point || '.00', point || '.000', point || '%', point || '.0%', point || '.00%', point || '.000%'] END AS w FROM point WHERE point <> ''),
+variant AS (SELECT doc, point, unnest(range(len(w))) AS v, unnest(w) AS variant FROM writing),
+hit AS (SELECT * FROM variant JOIN place USING (doc) WHERE contains(lower(text), lower(variant)))
+SELECT doc, point, variant, v > 0 AS equivalent, page, kind, row, col, "left", top, text FROM hit
+QUALIFY row_number() OVER (PARTITION BY doc, point, page, kind, substring(text, 1, 30) ORDER BY v, o1, o2, o3) = 1
+""",
+}
+ORACLES = {k: with_views(v) for k, v in _ORACLES.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, identifiers, listings, operators, sources, texts
+from . import extraction, identifiers, listings, operators, pages, sources, texts
 
-MODULES = (operators, identifiers, texts, extraction, sources, listings)
+MODULES = (operators, identifiers, texts, extraction, sources, listings, pages)
 
 
 def queries() -> dict:

@@ -84,6 +84,18 @@ FROM {events}""",
 SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN concat('Aspirin vs placebo in patients with ', lower(c_mktsegment)) WHEN 1 THEN 'Does statin therapy reduce mortality in adults?' WHEN 2 THEN concat('Metformin compared to insulin, in ', lower(c_mktsegment), ' children')
        WHEN 3 THEN concat('Vaccine safety for ', lower(c_mktsegment)) WHEN 4 THEN '阿司匹林 与 安慰剂 治疗 糖尿病 的 心血管死亡' ELSE concat(c_mktsegment, ' only') END AS question
 FROM {{customer}}""",
+    # slides: text shapes with lines of many kinds, and tables of items whose cells carry marks
+    "slide_texts_v": f"""
+SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS slide, CAST(o_orderkey % 40 AS INT) AS shape, concat('Text ', o_orderkey) AS name,
+       concat({_pick("o_orderkey", ["中国肝癌新发和死亡病例占全球近半数", "其他癌种", "Ann Oncol. 17(1): ", "PD-L1: 程序性死亡配体 ", "ORIENT-", "N=", "JCO 20", "  总体生存率 "])}, 1 + o_orderkey % 27, CASE WHEN o_orderkey % 3 = 0 THEN concat(',', 1 + o_orderkey % 31) ELSE '' END, chr(10),
+              {_pick("CAST(floor(o_orderkey / 8) AS BIGINT)", ["肿瘤负荷大", "Lancet. 20", "Zhang, Huajun et al 20", "", "anti CTLA-", "see ", "HR ", "《行动》"])}, 1 + o_orderkey % 12, CASE WHEN o_orderkey % 2 = 0 THEN concat('-', 1 + o_orderkey % 14) ELSE '' END, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE '' END, chr(10),
+              CASE o_orderkey % 6 WHEN 0 THEN 'end of text' WHEN 1 THEN '' WHEN 2 THEN concat(o_orderkey % 90, '.5') ELSE concat(o_orderpriority, ' ', o_orderkey % 30) END) AS text
+FROM {{orders}}""",
+    "slide_rows_v": """
+SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS slide, CAST(40 + l_orderkey % 40 AS INT) AS shape, concat('Table ', l_orderkey) AS name, CAST(l_linenumber - 1 AS INT) AS row, concat('line ', l_linenumber) AS c0,
+       concat(CASE l_partkey % 5 WHEN 0 THEN '仑伐替尼' WHEN 1 THEN 'T+A方案' WHEN 2 THEN 'O+Y' WHEN 3 THEN 'plan ' ELSE '' END, l_suppkey % 40, CASE WHEN l_partkey % 3 = 0 THEN concat(',', l_partkey % 45) ELSE '' END) AS c1,
+       CASE WHEN l_partkey % 4 = 0 THEN concat(' 亚叶酸钙', l_partkey % 50, ' ') WHEN l_partkey % 4 = 1 THEN l_returnflag ELSE '' END AS c2
+FROM {lineitem}""",
     "vectors_v": "SELECT vec_id AS id, embedding AS vec, label FROM {embeddings}",
 }
 
