@@ -18,7 +18,9 @@ def s(c: Column) -> Column:
 def cases(pairs: list[tuple[Column, object]], default) -> Column:
     """The value of the first condition that holds."""
     col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return reduce(lambda rest, p: F.when(p[0], col(p[1])).otherwise(rest), reversed(pairs), col(default))
+    if not pairs:
+        return col(default)
+    return reduce(lambda chain, p: chain.when(p[0], col(p[1])), pairs[1:], F.when(pairs[0][0], col(pairs[0][1]))).otherwise(col(default))
 
 
 def let(value: Column, body) -> Column:

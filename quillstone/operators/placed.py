@@ -38,9 +38,9 @@ def places(docs: DataFrame, key: str = "doc", json: str = "json") -> DataFrame:
 
 
 def _grams(text: Column, sizes: Column) -> Column:
-    """The distinct pieces of ``text`` of each of the sizes."""
-    of = lambda k: F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+    """The distinct pieces of ``text`` of each of the sizes, in one pass a size."""
+    of = lambda k: F.when(F.array_contains(sizes, k), F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, GRAM + 1)]))
 
 
 def find_points(found: DataFrame, points: DataFrame, key: str = "doc") -> DataFrame:

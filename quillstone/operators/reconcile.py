@@ -63,8 +63,14 @@ def reconcile(online: DataFrame, local: DataFrame, key: str, text: str) -> DataF
 
 
 def context_lines(tables: DataFrame, texts: DataFrame, page: str = "page", above: float = 200, below: float = 100, most: int = 3) -> DataFrame:
-    """(page, table, lines): of each table (y), the first ``most`` texts (y, line) at most so far above or below, top to bottom."""
-    x = tables.select(page, "table", F.col("y").alias("ty")).join(texts.select(page, F.col("y").alias("ly"), "line"), page)
+    """(page, table, lines): of each table (y), the first ``most`` texts (y, line) at most so far above or below, top to bottom.
+
+    Pages are cut into bands as high as the reach of a table, which looks into two of them: no page's lines meet all of its tables.
+    """
+    high = above + below
+    band = lambda y: F.floor(y / high)
+    looked = F.explode(F.sequence(band(F.col("y") - above), band(F.col("y") + below)))
+    x = tables.select(page, "table", F.col("y").alias("ty"), looked.alias("_band")).join(texts.select(page, F.col("y").alias("ly"), "line", band(F.col("y")).alias("_band")), [page, "_band"])
     near = x.where(F.col("ly").between(F.col("ty") - above, F.col("ty") + below))
     order = Window.partitionBy(page, "table").orderBy("ly", "line")
     first = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import marks as M
 from ..operators import placed as P
+from ..operators import zones as Z
 from ..sources.views import view, with_views
 
 
@@ -45,8 +46,94 @@ def point_places(spark, sf):
     return x.select("doc", "point", "variant", "equivalent", "page", "kind", "row", "col", F.col("box.l").alias("left"), F.col("box.t").alias("top"), "text")
 
 
-QUERIES = {"citation_marks": citation_marks, "point_places": point_places}
+#: Wordings that are put before the lines of documents, in turn.
+WORDINGS = (
+    "", "Received: ", "Fig. 3 ", "Smith J, MD; ", "References", "1. Smith J, et al. Lancet 2020; 12: 3-4 ", "Competing interests: ", "University of Ulm, Department of Medicine ", "a@b.org ", "[1] [2] [3] ", "Downloaded from x.org ", "关键词: 肝癌 ",
+    "FUNDING ", "Copyright © 2020 ", "12", "Qin S and Lee J. Ann Oncol 2019 ", "MASLD: fatty liver ", "Abstract", "Journal of Care ", "Vol. 3 ",
+)
+WIDTH, HEIGHT = 600.0, 800.0
 
+
+def _page_lines(spark, sf):
+    """(doc, i, page, text, x1, y1, x2, y2): lines of documents behind wordings, laid out 40 a page, some of them tall."""
+    x = _lines(spark, sf).withColumn("text", F.concat(F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), ((F.col("doc") + F.col("i")) % len(WORDINGS) + 1).cast("int")), "line"))
+    top = (F.col("i") % 40 * 20).cast("double")
+    tall = F.when(F.col("i") % 16 == 3, 220.0).when(F.col("i") % 16 == 5, 430.0).otherwise(15.0)
+    x = x.select("doc", "i", F.floor(F.col("i") / 40).cast("int").alias("page"), "text", F.lit(50.0).alias("x1"), top.alias("y1"), (50.0 + F.least(F.length("text") * 6, F.lit(540)).cast("double")).alias("x2"), (top + tall).alias("y2"))
+    return x
+
+
+_BOX = ("x1", "y1", "x2", "y2")
+
+
+def forbidden_lines(spark, sf):
+    """Lines that are not to be marked, by wording and by place, and those that may hold findings."""
+    x, kind = _page_lines(spark, sf), F.when(F.col("i") % 50 == 7, "header").otherwise("text")
+    place = Z.forbidden_place(*[F.col(c) for c in _BOX], F.col("page"), F.lit(WIDTH), F.lit(HEIGHT))
+    return x.select("doc", "i", Z.forbidden_text(F.col("text"), kind).alias("wording"), place.alias("place"), Z.is_body(F.col("text"), F.col("y1"), F.col("y2"), F.col("page"), F.lit(HEIGHT)).alias("body"))
+
+
+def forbidden_overlaps(spark, sf):
+    """Boxes below each line, as wide as its first word's letters, that share an area with a line that is not to be marked."""
+    x = _page_lines(spark, sf)
+    marked = x.select("doc", "page", "i", (F.col("x1") + F.col("i") % 9 * 60).alias("x1"), (F.col("y1") + 8).alias("y1"), (F.col("x1") + F.col("i") % 9 * 60 + F.col("doc") % 5 * 20).alias("x2"), (F.col("y1") + 35).alias("y2"))
+    bad = x.withColumn("why", Z.forbidden_text(F.col("text"), F.lit("text"))).where("why IS NOT NULL").select("doc", "page", "i", "why", *_BOX)
+    return Z.overlaps(marked, bad, ("doc", "page")).select("doc", "page", F.col("left_i").alias("mark"), F.col("right_i").alias("line"), F.col("right_why").alias("why"))
+
+
+def highlight_audit(spark, sf):
+    """What speaks against each line as a highlight."""
+    x = _page_lines(spark, sf).join(_lines(spark, sf).groupBy("doc").agg((F.floor(F.max("i") / 40) + 1).cast("int").alias("pages")), "doc")
+    found = Z.violations(F.col("text"), *[F.col(c) for c in _BOX], F.col("page"), F.col("pages"), F.lit(WIDTH), F.lit(HEIGHT))
+    return x.select("doc", "i", F.explode(found).alias("v")).select("doc", "i", "v.violation", "v.detail")
+
+
+def line_zones(spark, sf):
+    """The zone that each line tells itself, and the zone that holds there: from a statement or heading to the next."""
+    x = _page_lines(spark, sf)
+    own = Z.zone_of(F.col("text"), F.col("y1"), F.col("y2"), F.lit(HEIGHT), 10.0 + F.col("i") % 6)
+    x = x.select("doc", "i", own.alias("own"), F.when(own.isin("RULE_12_STATEMENT", "RULE_5_ABSTRACT_HEADER"), F.concat(own, F.lit(" "), F.col("i").cast("string"))).alias("marker"))
+    return Z.zones(x, "marker").select("doc", "i", "own", "zone")
+
+
+QUERIES = {"citation_marks": citation_marks, "point_places": point_places, "forbidden_lines": forbidden_lines, "forbidden_overlaps": forbidden_overlaps, "highlight_audit": highlight_audit, "line_zones": line_zones}
+
+
+def _q(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _has(pattern, column="text"):
+    return f"regexp_matches({column}, {_q(pattern)})"
+
+
+def _any(patterns, flags="", column="text"):
+    return "(" + " OR ".join(_has(flags + p, column) for p in patterns) + ")"
+
+
+def _first(patterns, flags, column="text"):
+    return "CASE " + " ".join(f"WHEN {_has(flags + p, column)} THEN {_q(p)}" for p in patterns) + " END"
+
+
+_WORDED = " ".join(f"WHEN {i} THEN {_q(w)}" for i, w in enumerate(WORDINGS))
+_PAGE_LINES = f"""line AS (SELECT doc_id AS doc, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+worded AS (SELECT doc, i, concat(CASE (doc + i) % {len(WORDINGS)} {_WORDED} END, line) AS text FROM line),
+laid AS (SELECT doc, CAST(i AS INT) AS i, CAST(i // 40 AS INT) AS page, text, 50.0::DOUBLE AS x1, (i % 40 * 20)::DOUBLE AS y1, 50.0::DOUBLE + least(length(text) * 6, 540) AS x2, (i % 40 * 20)::DOUBLE + CASE i % 16 WHEN 3 THEN 220 WHEN 5 THEN 430 ELSE 15 END AS y2, {WIDTH}::DOUBLE AS w, {HEIGHT}::DOUBLE AS h FROM worded)"""
+_COUNTED = " + ".join(f"{_has('(?m)' + p)}::INT" for p in Z.AUTHOR_WORDING)
+_BRACKETS = f"len(regexp_extract_all(text, {_q(Z.BRACKETS)}))"
+_STATED = " ".join(f"WHEN {_has('(?im)' + p)} THEN {_q('text_pattern=declaration_' + p[:20])}" for p in Z.STATEMENTS)
+
+
+def _wording(kind):
+    return f"""CASE WHEN {kind} IN ({", ".join(map(_q, Z.FORBIDDEN_KINDS))}) THEN 'sensenova_type=' || {kind} WHEN {_COUNTED} >= 2 THEN 'text_pattern=author_pattern_hits_' || ({_COUNTED}) WHEN {_has(Z.EMAIL)} THEN 'text_pattern=email'
+  WHEN {_has(Z.DEPARTMENT)} AND {_has(Z.UNIVERSITY)} THEN 'text_pattern=affiliation_keywords' WHEN {_has(Z.LETTER)} THEN 'text_pattern=correspondence_header' WHEN {_BRACKETS} >= 3 THEN 'text_pattern=bracket_refs_' || {_BRACKETS}
+  WHEN {_has(Z.REFERENCES)} THEN 'text_pattern=references_header' WHEN {_has(Z.DOI)} AND {_has(Z.VOLUME)} THEN 'text_pattern=doi_journal_format' {_STATED} WHEN {_has(Z.JOURNAL)} OR {_has(Z.SITE)} THEN 'text_pattern=journal_header'
+  WHEN {_has(Z.DOWNLOADED)} THEN 'text_pattern=downloaded_from' END"""
+
+
+_TRIMMED = "trim(text, ' ' || chr(9) || chr(13) || chr(10) || chr(12) || chr(11))"
+_BROKEN = " UNION ALL ".join(f"SELECT doc, i, '{name}', concat('pat=', {_first(ps, '(?im)', 't')}, ', text=', substring(t, 1, 80)) FROM a WHERE {_any(ps, '(?im)', 't')}" for name, ps in Z.BROKEN.items())
+_HEADED = " OR ".join(f"starts_with(bare, {_q(h)}) AND length(bare) < {len(h) + 5}" for h in Z.HEADINGS)
 _EXCLUDED = " OR ".join(f"regexp_matches(line, '{p}')" for p in M.EXCLUDED)
 _CELL = "list_concat({})".format(", ".join(f"regexp_extract_all(context, '{p}', 1)" for p in M.CELL_MARKS))
 
@@ -78,6 +165,47 @@ variant AS (SELECT doc, point, unnest(range(len(w))) AS v, unnest(w) AS variant
 hit AS (SELECT * FROM variant JOIN place USING (doc) WHERE contains(lower(text), lower(variant)))
 SELECT doc, point, variant, v > 0 AS equivalent, page, kind, row, col, "left", top, text FROM hit
 QUALIFY row_number() OVER (PARTITION BY doc, point, page, kind, substring(text, 1, 30) ORDER BY v, o1, o2, o3) = 1
+""",
+    "forbidden_lines": f"""
+WITH {_PAGE_LINES}
+SELECT doc, i, {_wording("CASE WHEN i % 50 = 7 THEN 'header' ELSE 'text' END")} AS wording,
+  CASE WHEN y1 > h * 0.92::DOUBLE THEN 'geometry=page_bottom_8%' WHEN y2 < h * 0.05::DOUBLE THEN 'geometry=page_top_5%' WHEN page = 0 AND y2 < h * 0.22::DOUBLE THEN 'geometry=page0_top_22%'
+    WHEN (x2 - x1) / w > 0.7::DOUBLE AND (y2 - y1) / h > 0.3::DOUBLE THEN concat('geometry=too_large_', printf('%.0f', (x2 - x1) / w * 100), '%x', printf('%.0f', (y2 - y1) / h * 100), '%') WHEN (y2 - y1) / h > 0.5::DOUBLE THEN concat('geometry=height_too_large_', printf('%.0f', (y2 - y1) / h * 100), '%') END AS place,
+  length(trim(text)) >= 3 AND y1 >= h * CASE WHEN page = 0 THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END AND y2 <= h * 0.92::DOUBLE AND NOT {_has(Z.DEGREES, "trim(text)")} AND NOT {_has(Z.OTHERS)} AND NOT {_has(Z.VOLUME)} AND NOT contains(text, '{Z.QUARTER}') AND NOT {_has(Z.ABBREVIATION, "trim(text)")} AS body
+FROM laid
+""",
+    "forbidden_overlaps": f"""
+WITH {_PAGE_LINES},
+marked AS (SELECT doc, page, i, x1 + i % 9 * 60 AS x1, y1 + 8 AS y1, x1 + i % 9 * 60 + doc % 5 * 20 AS x2, y1 + 35 AS y2 FROM laid),
+bad AS (SELECT *, {_wording("'text'")} AS why FROM laid)
+SELECT m.doc, m.page, m.i AS mark, b.i AS line, why FROM marked m JOIN bad b ON m.doc = b.doc AND m.page = b.page AND m.x1 < b.x2 AND b.x1 < m.x2 AND m.y1 < b.y2 AND b.y1 < m.y2
+WHERE why IS NOT NULL AND m.x1 < m.x2 AND b.x1 < b.x2
+""",
+    "highlight_audit": rf"""
+WITH {_PAGE_LINES},
+a AS (SELECT *, {_TRIMMED} AS t, max(page) OVER (PARTITION BY doc) + 1 AS pages, concat('y0=', printf('%.0f', y1), '/', printf('%.0f', h), '=', printf('%.1f', y1 / h * 100), '%') AS spot, concat(printf('%.0f', (x2 - x1) / w * 100), '%') AS wide, concat(printf('%.0f', (y2 - y1) / h * 100), '%') AS tall FROM laid)
+SELECT doc, i, CASE WHEN y1 < h * 0.08::DOUBLE THEN 'page0_top_8%_title' WHEN y1 < h * 0.15::DOUBLE THEN 'page0_top_15%_title_or_author' ELSE 'page0_top_30%_CN_author' END AS violation, spot AS detail FROM a
+  WHERE page = 0 AND (y1 < h * 0.15::DOUBLE OR y1 < h * 0.30::DOUBLE AND regexp_matches(t, '[\x{{4e00}}-\x{{9fff}}]'))
+UNION ALL SELECT doc, i, 'bottom_8%_footer', printf('y0=%.0f', y1) FROM a WHERE y1 > h * 0.92::DOUBLE
+UNION ALL SELECT doc, i, 'top_5%_header', printf('y1=%.0f', y2) FROM a WHERE y2 < h * 0.05::DOUBLE
+UNION ALL SELECT doc, i, 'too_wide_and_tall', concat('w=', wide, ', h=', tall) FROM a WHERE (x2 - x1) / w > 0.85::DOUBLE AND (y2 - y1) / h > 0.25::DOUBLE
+UNION ALL SELECT doc, i, 'too_tall', concat('h=', tall) FROM a WHERE (y2 - y1) / h > 0.5::DOUBLE
+UNION ALL SELECT doc, i, 'too_narrow', printf('w=%.0fpx', x2 - x1) FROM a WHERE x2 - x1 < 8
+UNION ALL {_BROKEN}
+UNION ALL SELECT doc, i, 'ref_numbers_only', concat('text=', substring(t, 1, 80)) FROM a WHERE {_has(Z.NUMBERS_ONLY, "t")}
+UNION ALL SELECT doc, i, 'numbered_list_only', concat('text=', substring(t, 1, 80)) FROM a WHERE t <> '' AND {_has(Z.ITEMS_ONLY, "t")}
+UNION ALL SELECT doc, i, 'ref_section', concat('pno=', page, '/', pages - 1, ', y0=', printf('%.1f', y1 / h * 100), '%') FROM a WHERE page >= pages - 1 AND y1 > h * 0.3::DOUBLE AND {_any(Z.BROKEN["ref_text"], "(?im)", "t")}
+""",
+    "line_zones": rf"""
+WITH {_PAGE_LINES},
+n AS (SELECT doc, i, y1, y2, h, 10 + i % 6 AS letters, trim(regexp_replace(text, '[ \t\n\f\r\x0b]+', ' ', 'g')) AS t FROM laid),
+m AS (SELECT *, length(t) AS k, rtrim(t, ':') AS bare FROM n),
+o AS (SELECT doc, i, CASE WHEN k >= 3 AND {_any(Z.AUTHOR_LINES, column="t")} AND {_has("[A-Z][a-z]+", "t")} THEN 'RULE_2_AUTHOR'
+  WHEN k BETWEEN 15 AND 200 AND NOT {_has(Z.CITED_INSIDE, "t")} AND ({_any((Z.DOI_WORD, Z.AND_OTHERS, Z.YEAR_VOLUME), column="t")} OR {_has(Z.YEAR, "t")} AND {_has(Z.PAGES, "t")}) THEN 'RULE_13_REFERENCE'
+  WHEN k <= 60 AND {_has(Z.STATEMENT, "t")} THEN 'RULE_12_STATEMENT' WHEN k <= 120 AND {_has(Z.SUBMISSION, "t")} THEN 'RULE_10_SUBMISSION'
+  WHEN k <= 120 AND (contains(t, '©') OR contains(t, 'Copyright') OR {_has(Z.LICENCE, "t")} OR (y1 < h * 0.13::DOUBLE OR y2 > h * 0.90::DOUBLE) AND ({_has(Z.PAGE_NUMBER, "t")} OR {_has(Z.HEADER, "t")})) THEN 'RULE_11_HEADER_FOOTER'
+  WHEN k >= 10 AND y1 <= h * 0.4::DOUBLE AND letters >= 14 THEN 'RULE_3_TITLE' WHEN {_any(Z.PUBLISHERS, "(?i)", "t")} THEN 'RULE_4_PUBLISHER' WHEN {_HEADED} THEN 'RULE_5_ABSTRACT_HEADER' END AS own FROM m)
+SELECT doc, i, own, last_value(CASE WHEN own IN ('RULE_12_STATEMENT', 'RULE_5_ABSTRACT_HEADER') THEN concat(own, ' ', i) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING) AS zone FROM o
 """,
 }
 ORACLES = {k: with_views(v) for k, v in _ORACLES.items()}
