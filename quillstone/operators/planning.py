@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import cases, s
+from .store import cut
 
 #: Dimensions of research in order, the letters of their items, and the sections that take their evidence.
 DIMENSIONS = ("literature", "news", "report", "policy", "competitor")
@@ -49,17 +50,18 @@ def numbered(items: DataFrame, by: str = "project", order: str = "ord") -> DataF
     """``items`` (by, dimension, key, ...) with ids as ``L001``: the first row of each key, counted on within its dimension."""
     first = items.groupBy(by, "dimension", "key").agg(F.min_by(F.struct(*[c for c in items.columns if c not in (by, "dimension", "key")]), order).alias("r")).select(by, "dimension", "key", "r.*")
     prefix = cases([(F.col("dimension") == d, p) for d, p in PREFIX.items()], "X")
-    n = F.row_number().over(Window.partitionBy(by, "dimension").orderBy(order, "key"))
-    return first.withColumn("item", F.concat(prefix, F.lpad(n.cast("string"), 3, "0")))
+    n = F.col("_rank").cast("string")
+    return ranked(first, (by, "dimension"), (order, "key"), "_rank").withColumn("item", F.concat(prefix, F.lpad(n, F.greatest(F.length(n), F.lit(3)), F.lit("0")))).drop("_rank")
 
 
 def evidence_of(items: DataFrame, by: str = "project", most: int = MOST_EVIDENCE) -> DataFrame:
     """(by, section, n, items): the sections' evidence in order of dimension, then item, at most so many each."""
     pairs = [F.struct(F.lit(d).alias("d"), F.lit(x).alias("section")) for d, xs in SECTIONS.items() for x in xs]
     x = items.withColumn("t", F.explode(F.array(*pairs))).where(F.col("t.d") == F.col("dimension"))
-    order = Window.partitionBy(by, "t.section").orderBy(rank_of(F.col("dimension"), DIMENSIONS), "item")
-    top = x.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    g = top.groupBy(by, F.col("t.section").alias("section")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("r", "item"))).alias("i"))
+    # numbers of more than three figures come after the shorter ones
+    x = x.select(by, F.col("t.section").alias("section"), "item", rank_of(F.col("dimension"), DIMENSIONS).alias("_dim"), F.length("item").alias("_size"))
+    top = first_rows(x, f"{by},section", ["_dim", "_size", "item"], most, rank="r")
+    g = top.groupBy(by, "section").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("r", "item"))).alias("i"))
     return g.select(by, "section", "n", F.array_join(F.transform("i", lambda v: v["item"]), ",").alias("items"))
 
 
@@ -93,12 +95,39 @@ def step_matrix(checks: DataFrame, steps: list[str], by: str = "project") -> Dat
 
 def by_priority(df: DataFrame, kind: str, order: tuple[str, ...], by: str, place: str) -> DataFrame:
     """``df`` with ``rank`` in its group: known kinds in their order, unknown ones last, then by ``place``."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(rank_of(F.col(kind), order), place)))
+    return ranked(df.withColumn("_kind", rank_of(F.col(kind), order)), (by,), ("_kind", place), "rank").drop("_kind")
 
 
-def first_rows(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group: a source's page size."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+def ranked(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], name: str) -> DataFrame:
+    """``df`` with the place of each row in its group, from 1, in an order that should be total.
+
+    Rows are laid out in ranges of group and order, so that a large group lies in several; a row counts on from what its
+    group has in the ranges before. A range is a task's work, a group is not.
+    """
+    laid = cut(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    # a row a group and range
+    parts = laid.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    counted = laid.withColumn("_here", here).join(parts, [(F.col("_part") == F.col("_p")), *same])
+    return counted.withColumn(name, (F.col("_here") + F.col("_before")).cast("int")).drop("_here", "_before", "_part", "_p", *[f"_{i}" for i in range(len(by))])
+
+
+SPREAD = 64  #: parts of a group whose first rows are found apart
+
+
+def first_rows(df: DataFrame, by: str, order: list, n: int, rank: str = "_r") -> DataFrame:
+    """The first n rows of each group, as of a source's page; with their place if ``rank`` names a column. ``by`` may name several columns with commas.
+
+    Each group's first rows are found in SPREAD parts first, so that no task holds a large group.
+    """
+    keys = by.split(",")
+    part = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    some = part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_part")
+    out = some.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+    return out.drop(rank) if rank == "_r" else out
 
 
 def test_cases(corrections: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def query_matrix(spark, sf):
 def _items(spark, sf):
     c = view(spark, sf, "citations_v")
     dim = F.element_at(F.array(*[F.lit(d) for d in P.DIMENSIONS]), (F.col("ord") % 5 + 1).cast("int"))
-    return P.numbered(c.select(F.col("conv_id").alias("project"), dim.alias("dimension"), F.lower(F.substring("title", 1, 10)).alias("key"), "ord"))
+    return P.numbered(c.select(F.col("conv_id").alias("project"), dim.alias("dimension"), F.lower("title").alias("key"), "ord"))
 
 
 def numbered_items(spark, sf):
@@ -166,7 +166,7 @@ QUERIES = {
 }
 
 _DIM = "CASE ord % 5 WHEN 0 THEN 'literature' WHEN 1 THEN 'news' WHEN 2 THEN 'report' WHEN 3 THEN 'policy' ELSE 'competitor' END"
-_ITEMS = f"i AS (SELECT conv_id AS project, {_DIM} AS dimension, lower(left(title, 10)) AS key, min(ord) AS ord FROM citations_v GROUP BY ALL), j AS (SELECT *, upper(left(dimension, 1)) || lpad(CAST(row_number() OVER (PARTITION BY project, dimension ORDER BY ord, key) AS VARCHAR), 3, '0') AS item FROM i)"
+_ITEMS = f"i AS (SELECT conv_id AS project, {_DIM} AS dimension, lower(title) AS key, min(ord) AS ord FROM citations_v GROUP BY ALL), c AS (SELECT *, CAST(row_number() OVER (PARTITION BY project, dimension ORDER BY ord, key) AS VARCHAR) AS n FROM i), j AS (SELECT * EXCLUDE (n), upper(left(dimension, 1)) || lpad(n, greatest(3, length(n))::INT, '0') AS item FROM c)"
 _FB = "CASE WHEN contains(n, 'review') THEN 0.65 WHEN contains(n, 'appendix') THEN 0.5 WHEN contains(n, 'globocan') OR (contains(n, '2024') AND contains(n, 'china')) THEN 0.65 WHEN contains(n, 'lancet') THEN 0.7 WHEN k % 2 = 0 THEN 0.6 ELSE 0.5 END"
 
 _B = lambda p: p.replace(T.NO_BEFORE, r"\b").replace(T.NO_AFTER, r"\b")
@@ -203,7 +203,7 @@ ORACLES = {
       SELECT DISTINCT project, x.d AS dimension, x.q AS query FROM q WHERE x.q IS NOT NULL""",
     "numbered_items": f"WITH {_ITEMS} SELECT * FROM j",
     "section_evidence": f"""WITH {_ITEMS}, s AS (SELECT *, unnest(CASE dimension WHEN 'literature' THEN ['4', '6'] WHEN 'competitor' THEN ['2'] WHEN 'policy' THEN ['1', '5'] ELSE ['1'] END) AS section, CASE dimension WHEN 'literature' THEN 0 WHEN 'news' THEN 1 WHEN 'report' THEN 2 WHEN 'policy' THEN 3 ELSE 4 END AS rk FROM j),
-      r AS (SELECT *, row_number() OVER (PARTITION BY project, section ORDER BY rk, item) AS r FROM s) SELECT project, section, count(*) AS n, string_agg(item, ',' ORDER BY r) AS items FROM r WHERE r <= 6 GROUP BY 1, 2""",
+      r AS (SELECT *, row_number() OVER (PARTITION BY project, section ORDER BY rk, length(item), item) AS r FROM s) SELECT project, section, count(*) AS n, string_agg(item, ',' ORDER BY r) AS items FROM r WHERE r <= 6 GROUP BY 1, 2""",
     "outline_changes": """WITH b AS (SELECT conv_id, lower(trim(title)) AS t, max(length(body)) AS p FROM sections_v WHERE turn % 3 <> 1 GROUP BY 1, 2), a AS (SELECT conv_id, lower(trim(title)) AS t, max(length(body) + turn % 2) AS p FROM sections_v WHERE turn % 4 <> 2 GROUP BY 1, 2)
       SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, count(b.p) AS n_before, count(a.p) AS n_after, count(*) FILTER (b.p IS NULL) AS added, count(*) FILTER (a.p IS NULL) AS removed, count(*) FILTER (a.p > b.p) AS expanded FROM b FULL JOIN a ON a.conv_id = b.conv_id AND a.t = b.t GROUP BY 1""",
     "step_matrix": "SELECT project, " + ", ".join(f'"{x}"' for x in STEPS) + ", concat_ws(',', " + ", ".join(f"CASE WHEN NOT \"{x}\" THEN '{x}' END" for x in STEPS) + ") AS failed FROM (SELECT user_id AS project, " + ", ".join(f"bool_and(event_id % 50 <> 0) FILTER (event_type = '{x}') AS \"{x}\"" for x in STEPS) + " FROM events GROUP BY 1)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import anchors as A
 from ..operators import marks as M
 from ..operators import placed as P
 from ..operators import zones as Z
@@ -96,7 +97,30 @@ def line_zones(spark, sf):
     return Z.zones(x, "marker").select("doc", "i", "own", "zone")
 
 
-QUERIES = {"citation_marks": citation_marks, "point_places": point_places, "forbidden_lines": forbidden_lines, "forbidden_overlaps": forbidden_overlaps, "highlight_audit": highlight_audit, "line_zones": line_zones}
+ANCHOR_WORDS = ("the", "tion", "que", "der", "ement", "TMA", "renal", "HUS", "und", "ing ", "le ", "que la")
+
+
+def slide_anchors(spark, sf):
+    """The lines of a source's documents that speak of what each turn of a conversation speaks of."""
+    talks = spark.read.parquet(f"{sf}/conversations.parquet")
+    slides = talks.select(F.concat_ws(".", "conv_id", "turn").alias("slide"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("file"), "text")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("doc"), F.col("source").alias("file"))
+    lines = _lines(spark, sf).join(docs, "doc").select("file", F.format_string("%012d.%06d", "doc", F.col("i").cast("long")).alias("i"), F.col("line").alias("text"))
+    return A.anchors(slides, lines, ANCHOR_WORDS)
+
+
+def file_mismatches(spark, sf):
+    """Rows whose main file's name holds no word of their reference."""
+    r, k = view(spark, sf, "refs_v"), F.col("k")
+    row = F.when(k % 11 == 0, F.concat(F.lit("P"), (k % 40).cast("string"), F.lit("-1_P2-2"))).when(k % 13 == 0, F.lit("P3-1")).otherwise(F.concat(F.lit("P"), (k % 50).cast("string"), F.lit("-"), (k % 7).cast("string")))
+    squeezed = F.concat(F.replace("journal", F.lit(" ")), F.lit(".pdf"))
+    main = F.when(k % 5 == 0, F.concat(F.lit("scan-"), k.cast("string"), F.lit(".pdf"))).when(k % 5 == 1, squeezed).when(k % 5 == 2, F.lit("GLOBOCAN.pdf")).when(k % 5 == 3, F.concat(F.lit("file_"), F.col("year").cast("string"), F.lit(".pdf")))
+    fields = {"journal": F.col("journal"), "year": F.col("year"), "abstract_id": F.when(k % 9 == 0, "Scan-")}
+    x = r.select("k", row.alias("row"), A.file_mismatch(row, k % 17 == 0, F.concat(F.lit("文献 "), F.col("title")), fields, main, F.when(k % 3 == 0, "ASCO").otherwise("")).alias("m"))
+    return x.where("m IS NOT NULL").select("k", "row", "m.kind", "m.expected", "m.actual")
+
+
+QUERIES = {"citation_marks": citation_marks, "point_places": point_places, "forbidden_lines": forbidden_lines, "forbidden_overlaps": forbidden_overlaps, "highlight_audit": highlight_audit, "line_zones": line_zones, "slide_anchors": slide_anchors, "file_mismatches": file_mismatches}
 
 
 def _q(text):
@@ -206,6 +230,25 @@ o AS (SELECT doc, i, CASE WHEN k >= 3 AND {_any(Z.AUTHOR_LINES, column="t")} AND
   WHEN k <= 120 AND (contains(t, '©') OR contains(t, 'Copyright') OR {_has(Z.LICENCE, "t")} OR (y1 < h * 0.13::DOUBLE OR y2 > h * 0.90::DOUBLE) AND ({_has(Z.PAGE_NUMBER, "t")} OR {_has(Z.HEADER, "t")})) THEN 'RULE_11_HEADER_FOOTER'
   WHEN k >= 10 AND y1 <= h * 0.4::DOUBLE AND letters >= 14 THEN 'RULE_3_TITLE' WHEN {_any(Z.PUBLISHERS, "(?i)", "t")} THEN 'RULE_4_PUBLISHER' WHEN {_HEADED} THEN 'RULE_5_ABSTRACT_HEADER' END AS own FROM m)
 SELECT doc, i, own, last_value(CASE WHEN own IN ('RULE_12_STATEMENT', 'RULE_5_ABSTRACT_HEADER') THEN concat(own, ' ', i) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING) AS zone FROM o
+""",
+    "slide_anchors": f"""
+WITH slide AS (SELECT concat_ws('.', conv_id, turn) AS slide, 'src' || conv_id % 20 AS file, text FROM conversations),
+line AS (SELECT source AS file, printf('%012d', doc_id) || '.' || printf('%06d', unnest(range(len(string_split(coalesce(text, ''), chr(10)))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
+word AS (SELECT slide, file, list_filter([{", ".join(map(_q, ANCHOR_WORDS))}], lambda w: contains(text, w))[1:{A.WORDS}] AS words FROM slide),
+score AS (SELECT slide, i, l.text, CAST(CASE WHEN length(l.text) BETWEEN 5 AND 100 THEN 5 WHEN length(l.text) BETWEEN 101 AND 200 THEN 3 WHEN length(l.text) > 300 THEN -5 ELSE 0 END + coalesce(list_sum(list_transform(list_filter(words, lambda w: contains(l.text, w)), lambda w: length(w))), 0) AS INT) AS score
+  FROM word JOIN line l USING (file)),
+single AS (SELECT * FROM score WHERE score >= {A.LEAST} QUALIFY row_number() OVER (PARTITION BY slide, lower(substring(text, 1, {A.HEAD})) ORDER BY score DESC, i) = 1)
+SELECT slide, CAST(row_number() OVER w AS INT) AS rank, i, score, text FROM single WINDOW w AS (PARTITION BY slide ORDER BY score DESC, i) QUALIFY row_number() OVER w <= {A.ANCHORS}
+""",
+    "file_mismatches": f"""
+WITH r AS (SELECT k, journal, year, title, CASE WHEN k % 11 = 0 THEN concat('P', k % 40, '-1_P2-2') WHEN k % 13 = 0 THEN 'P3-1' ELSE concat('P', k % 50, '-', k % 7) END AS row, k % 17 = 0 AS shared,
+  CASE k % 5 WHEN 0 THEN concat('scan-', k, '.pdf') WHEN 1 THEN replace(journal, ' ', '') || '.pdf' WHEN 2 THEN 'GLOBOCAN.pdf' WHEN 3 THEN concat('file_', year, '.pdf') END AS actual, CASE WHEN k % 9 = 0 THEN 'Scan-' END AS abstract_id FROM refs_v),
+t AS (SELECT *, concat('文献 ', title, ' ', journal, ' ', year, CASE WHEN abstract_id IS NULL THEN '' ELSE ' ' || abstract_id END) AS text, lower(actual) AS name FROM r WHERE NOT contains(substring(row, 3), '_') AND NOT shared AND actual <> ''),
+w AS (SELECT *, list_concat(regexp_extract_all(lower(text), '[a-z]{{3,}}'), regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}'), {", ".join(f"CASE WHEN contains(lower(text), {_q(n)}) THEN [{', '.join(map(_q, xs))}] ELSE [] END" for n, xs in A.SHORT_NAMES.items())},
+  CASE WHEN k % 3 = 0 THEN ['asco'] ELSE [] END, CASE WHEN abstract_id IS NULL THEN [] ELSE [lower(abstract_id)] END, [CAST(year AS VARCHAR)]) AS every FROM t),
+u AS (SELECT *, list_transform(list_filter(list_transform(every, lambda x, i: {{'x': x, 'i': i}}), lambda p: list_position(every, p.x) = p.i), lambda p: p.x) AS words FROM w),
+j AS (SELECT *, CASE WHEN row = '{A.DATABASE_ROW}' THEN contains(name, 'globocan') OR contains(name, 'gco.iarc') ELSE len(list_filter(words, lambda x: contains(name, x) OR contains(replace(name, '-', ''), x))) > 0 END AS held FROM u)
+SELECT k, row, CASE WHEN row = '{A.DATABASE_ROW}' THEN '{A.DATABASE_KIND}' ELSE '{A.NO_WORD}' END AS kind, CASE WHEN row = '{A.DATABASE_ROW}' THEN '{A.DATABASE_FILE}' ELSE array_to_string(words[1:5], ', ') END AS expected, actual FROM j WHERE NOT held
 """,
 }
 ORACLES = {k: with_views(v) for k, v in _ORACLES.items()}
