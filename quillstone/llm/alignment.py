@@ -32,6 +32,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Tables, bound_batches, load, text_buffers
+from .common import Tables, bound_batches, load, row_slices, text_buffers
 
 FOLDER = "/opt/tokenizers"  #: where the files of public tokenizers are
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -118,8 +119,13 @@ class Segments:
         self.numbers = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links
         self.starts, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
+    def split(self, text: str) -> list[str]:
+        return _SPACE.split(text) if self.tokenizers.parts else [text]
+
     def learn(self, segments: list[str]) -> None:
-        """Encode segments that aren't known yet; one whose bytes don't agree gets the number -1."""
+        """Encode segments that aren't known yet; one whose bytes don't agree gets the number -1. Forgets the others first if they are many."""
+        if len(self.at) > KEPT:
+            self.forget()
         new = list(dict.fromkeys(s for s in segments if s not in self.at))
         plain = [s for s in new if s and not s[0].isspace() and not s[-1].isspace()]
         self._together(plain)
@@ -207,21 +213,34 @@ class _Text:
 
 
 def _align_text(known: Segments, data: memoryview) -> _Text:
+    """A text by itself, piece by piece."""
     text = _Text()
-    if not len(data):
-        text.whole = False
-        return text
+    text.whole = len(data) > 0
     for piece in pieces(data, PIECE) if known.tokenizers.parts else [bytes(data)]:
-        segments = _SPACE.split(piece.decode()) if known.tokenizers.parts else [piece.decode()]
-        if len(known.at) > KEPT:
-            known.forget()
-        known.learn(segments)
-        text.add(known, segments)
         if not text.whole:
             break
+        segments = known.split(piece.decode())
+        known.learn(segments)
+        text.add(known, segments)
     return text
 
 
+def _align_texts(known: Segments, data: memoryview, ends: list[int]) -> Iterator[_Text]:
+    """Texts in order; short ones are encoded together, as many as a piece holds."""
+    for lo, hi in row_slices(np.array(ends), PIECE):
+        if ends[hi] - ends[lo] > PIECE:
+            yield from (_align_text(known, data[ends[k] : ends[k + 1]]) for k in range(lo, hi))
+            continue
+        split = [known.split(bytes(data[ends[k] : ends[k + 1]]).decode()) for k in range(lo, hi)]
+        known.learn(list(chain.from_iterable(split)))
+        for segments in split:
+            text = _Text()
+            text.whole = segments != [""]
+            if text.whole:
+                text.add(known, segments)
+            yield text
+
+
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 LINK = T.StructType([T.StructField("pair", T.LongType()), T.StructField("times", T.LongType())])
 
@@ -245,17 +264,18 @@ def _align(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, schema:
         data, ends = text_buffers(batch.column(2))
         view, ends = memoryview(data), ends.tolist()
         out: list[tuple] = []
-        for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-            text = _align_text(known, view[a:b])
+        size = 0
+        for i, text in enumerate(_align_texts(known, view, ends)):
             if not text.whole:
                 out.append((i, [0] * 4, "", text.pairs[:0], text.times[:0]))
                 continue
             for lo in range(0, len(text.pairs), ROW):
                 numbers, name = ([None] * 4, None) if lo else (text.numbers.tolist(), text.hash.hexdigest())
                 out.append((i, numbers, name, text.pairs[lo : lo + ROW], text.times[lo : lo + ROW]))
-            if sum(len(x[3]) for x in out) >= 8 * ROW:
+            size += len(text.pairs)
+            if size >= 8 * ROW:
                 yield _first_rows(batch, out, arrow)
-                out = []
+                out, size = [], 0
         if out:
             yield _first_rows(batch, out, arrow)
 
