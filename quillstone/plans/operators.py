@@ -13,6 +13,7 @@ from ..operators import reconcile as R
 from ..operators import rules as L
 from ..operators import similarity as M
 from ..operators import state as S
+from ..operators import vector_index as VI
 from ..sources.views import view, with_views
 
 YEAR = 2026  #: the year as of which recency is judged
@@ -96,6 +97,13 @@ def knn_cosine(spark, sf):
     return M.nearest(v, q, 5).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def knn_indexed(spark, sf):
+    """Neighbours through the index: a few lists first, then those that may hold a better vector."""
+    v = view(spark, sf, "vectors_v")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query"), "vec")
+    return VI.search(VI.build(v), q, 5, exact=True).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def knn_euclid(spark, sf):
     v = view(spark, sf, "vectors_v")
     q = v.where("id % 50 = 0").select(F.col("id").alias("query"), "vec")
@@ -325,7 +333,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fuse_citations, dedupe_ids, dedupe_full, fusion_score, source_counts, votes, vote_candidates, hash_dups, merge_groups, insights,
-        simhash64, hamming_near, knn_cosine, knn_euclid, unit_vectors, vector_upsert,
+        simhash64, hamming_near, knn_cosine, knn_indexed, knn_euclid, unit_vectors, vector_upsert,
         set_conclusion, claim_scores, authenticity, paper_match, coalesce_sources, enrich_citations, verify_cascade, point_alignment,
         rule_scan, presence_rules, rule_verdicts, rule_notes, intents,
         row_diff, three_way, resume, set_relations, neighbours, reconcile, context_lines, nearest_pairs, inventory,
@@ -370,6 +378,7 @@ ORACLES = {
     "simhash64": f"WITH {_HASH} SELECT c.ord, lpad(upper(printf('%x', h)), 16, '0') AS hash FROM citations_v c LEFT JOIN fp USING (ord)",
     "hamming_near": f"WITH {_HASH}, d AS (SELECT h, count(*) AS n FROM fp GROUP BY 1) SELECT lpad(upper(printf('%x', a.h)), 16, '0') AS hash, a.n, count(b.h) AS near FROM d a LEFT JOIN d b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 2 GROUP BY a.h, a.n",
     "knn_cosine": f"WITH {_VEC}, s AS (SELECT query, id, list_cosine_similarity(qv, vec) AS score, row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(qv, vec) DESC, id) AS r FROM q, v) SELECT query, id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM s WHERE r <= 5",
+    "knn_indexed": f"WITH {_VEC}, s AS (SELECT query, id, list_cosine_similarity(qv, vec) AS score, row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(qv, vec), 12) DESC, id) AS r FROM q, v) SELECT query, id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM s WHERE r <= 5",
     "knn_euclid": f"WITH {_VEC}, s AS (SELECT query, id, list_distance(qv, vec) AS d, row_number() OVER (PARTITION BY query ORDER BY list_distance(qv, vec), id) AS r FROM q, v) SELECT query, id, round(d, 4) AS dist, CAST(r AS INT) AS rank FROM s WHERE r <= 5",
     "unit_vectors": "SELECT id, round(n, 6) AS norm, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END AS unit, round(x[1] / n, 6) AS first, round(list_cosine_similarity(x, list_reverse(x)), 6) AS mirror FROM (SELECT id, CAST(vec AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))) AS n FROM vectors_v)",
     "vector_upsert": "SELECT label AS key, max(id) AS at, round(CAST(arg_max(vec[1], id) AS DOUBLE), 6) AS first FROM vectors_v GROUP BY 1",
