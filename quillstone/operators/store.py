@@ -1,8 +1,10 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and folders for what one run writes and reads again."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` from files in the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, for files of this run; it goes when the driver ends."""
+    path = f"{shared(spark)}/{kind}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+    atexit.register(remove)
+    return path

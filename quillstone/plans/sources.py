@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import evidence as E
-from ..operators.store import shared
+from ..operators.listing import positions
+from ..operators.store import scratch
+from ..sources import contract, stores
 from ..sources import extras, files, records
 from ..sources.views import view, with_views
 from .identifiers import _CANON, _PAY
@@ -105,14 +105,14 @@ def fallback_needed(spark, sf):
 def csv_rows(spark, sf):
     """Written with the header and a byte order mark, and read again."""
     rows = view(spark, sf, "refs_v").select(F.col("k").cast("string").alias("page"), (F.col("k") % 9).cast("string").alias("number"), F.concat(F.lit('say "'), "journal", F.lit('", twice')).alias("context"), "raw", F.lit("").alias("doi"), "producer", "creator", "url")
-    path = f"{shared(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch(spark, "csv")
     files.write_table(rows.toDF(*files.NAMES), path)
     return files.read_table(spark, path)
 
 
 def _log(spark, sf):
     o = view(spark, sf, "outcomes_v")
-    path = f"{shared(spark)}/log-{uuid.uuid4().hex}"
+    path = scratch(spark, "log")
     for part in (0, 1):
         files.append_log(o.where(F.col("event_id") % 2 == part).select(F.when(F.col("job") % 10 == 0, "").otherwise(F.concat(F.lit("d"), "job")).alias("doi"), F.when(F.col("ok"), "ok").otherwise("failed").alias("status")), path)
     return spark.read.schema("doi string, status string").json(path)
@@ -127,15 +127,57 @@ def log_done(spark, sf):
 
 
 def packages(spark, sf):
-    """The last version of every stored conversation, newest first."""
-    path = f"{shared(spark)}/store-{uuid.uuid4().hex}"
-    files.save_packages(view(spark, sf, "sections_v").select("conv_id", F.col("turn").alias("saved_at"), "id", "audience"), path)
-    return files.load_packages(spark, path).select(F.col("conv_id").cast("long").alias("conv_id"), "saved_at", "id", "audience")
+    """Conversations saved in two goes, some of them deleted and one of these saved again, compacted, listed newest first."""
+    rows = view(spark, sf, "sections_v").select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").alias("saved_at"), "id", "audience")
+    store = stores.packages(spark, scratch(spark, "packages"), "conv_id string, saved_at long, id string, audience string")
+    gone = F.col("conv_id").cast("long") % 7 == 3
+    store.save(rows.where("saved_at % 2 = 0"))
+    store.save(rows.where("saved_at % 2 = 1"))
+    store.delete(rows.where(gone).select("conv_id").distinct())
+    store.save(rows.where(gone & (F.col("conv_id").cast("long") % 2 == 0) & (F.col("saved_at") == 1)))
+    store.compact()
+    x = store.load().select(F.col("conv_id").cast("long").alias("conv_id"), "saved_at", "id", "audience")
+    return positions(x.withColumn("_newest", -F.col("saved_at")), "_newest", "conv_id").drop("_newest")
+
+
+def stored_projects(spark, sf):
+    """Projects that have a brief, by name, with the last version of it."""
+    c = view(spark, sf, "sections_v")
+    store = stores.projects(spark, scratch(spark, "projects"))
+    kind = F.when(F.col("turn") % 4 == 1, stores.artifact("brief")).when(F.col("turn") % 4 == 2, stores.artifact("insights")).otherwise(F.concat(F.lit("outline_"), F.col("audience")))
+    saved = c.select(F.concat(F.lit("p"), "conv_id").alias("project"), kind.alias("artifact"), F.timestamp_seconds(F.col("turn")).alias("saved_at"), F.to_json(F.struct("id", "title")).alias("body"))
+    store.save(saved)
+    store.delete(saved.where("artifact = 'brief' AND substring(project, -1) = '4'").select("project", "artifact").distinct())
+    names = stores.project_names(store)
+    return names.join(store.load().where("artifact = 'brief'"), "project").select("project", F.unix_timestamp("saved_at").alias("saved_at"), F.get_json_object("body", "$.id").alias("id"))
+
+
+def sheet_pull(spark, sf):
+    """A sheet of orders pulled over an earlier table: rows to the last whose first cell isn't blank, short ones filled."""
+    names = ["page", "number", "context", "raw", "producer"]
+    r, k = view(spark, sf, "refs_v"), F.col("k")
+    last = F.lit(r.agg(F.max("k")).first()[0])
+    values = F.array(F.when(k > last - 20, " ").otherwise(k.cast("string")), (k % 9).cast("string"), "journal", "raw", "producer", "url")
+    cells = r.select((k + 2).cast("int").alias("row"), F.slice(values, 1, (F.lit(3) + k % 4).cast("int")).alias("values"))
+    head = spark.createDataFrame([(1, ["\ufeffpage", *[f" {n} " for n in names[1:]]])], "row int, values array<string>")
+    store = stores.Store(spark, scratch(spark, "sheet"), "row int, page string, number string, context string, raw string, producer string", ("row",), "row")
+    store.save(r.select((k % 5).cast("int").alias("row"), *[F.lit("old").alias(n) for n in names]).distinct())
+    stores.pull(store, head.union(cells), names)
+    return store.load()
+
+
+def harvest_rows(spark, sf):
+    """Citations of two sources and some years with a word in the title, read through the contract of sources."""
+    c = view(spark, sf, "citations_v").select(F.col("origin").alias("source"), "year", "id", "title", "journal", "doi", "pmid", "cited_by")
+    path = scratch(spark, "harvest")
+    contract.save_harvest(c, path)
+    x = contract.search(spark, path, enabled=("pubmed", "s2", "none"), years=(2012, 2019), words=("the",))
+    return x.select("source", "year", "id", "title", "journal", "doi", "pmid", "cited_by")
 
 
 QUERIES = {f.__name__: f for f in (
     _reader("rows_of_openalex", records.openalex, OPENALEX), _reader("s2_rows", records.semantic_scholar, S2), _reader("crossref_rows", records.crossref, CROSSREF), _reader("registry_rows", records.clinical_trials, REGISTRY), _reader("pubmed_rows", records.pubmed, PUBMED),
-    _reader("listing_rows", records.listing, LISTING), _reader("scholar_rows", records.scholar, SCHOLAR), citations_of_sources, answer_pages, cell_rows, slide_shapes, adverse_events, correction_examples, registry_numbers, cell_links, paper_links, pdf_validity, fallback_needed, csv_rows, log_progress, log_done, packages,
+    _reader("listing_rows", records.listing, LISTING), _reader("scholar_rows", records.scholar, SCHOLAR), citations_of_sources, answer_pages, cell_rows, slide_shapes, adverse_events, correction_examples, registry_numbers, cell_links, paper_links, pdf_validity, fallback_needed, csv_rows, log_progress, log_done, packages, stored_projects, sheet_pull, harvest_rows,
 )}
 
 
@@ -172,6 +214,11 @@ ORACLES = {
     "csv_rows": "SELECT CAST(k AS VARCHAR) AS page, CAST(k % 9 AS VARCHAR) AS number, concat('say \"', journal, '\", twice') AS context, raw AS reference, '' AS doi, producer AS kind, creator AS pdf, url AS link FROM refs_v",
     "log_progress": "SELECT CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status, count(*) AS n FROM outcomes_v GROUP BY 1",
     "log_done": "SELECT DISTINCT concat('d', job) AS doi FROM outcomes_v WHERE ok AND job % 10 <> 0",
-    "packages": "SELECT conv_id, max(turn) AS saved_at, arg_max(id, turn) AS id, arg_max(audience, turn) AS audience FROM sections_v GROUP BY conv_id",
+    "packages": """WITH s AS (SELECT conv_id, max(turn) AS saved_at, arg_max(id, turn) AS id, arg_max(audience, turn) AS audience FROM (SELECT * FROM sections_v WHERE CASE WHEN conv_id % 7 = 3 THEN conv_id % 2 = 0 AND turn = 1 ELSE turn % 2 = 1 OR conv_id NOT IN (SELECT conv_id FROM sections_v WHERE turn % 2 = 1) END) GROUP BY conv_id)
+      SELECT *, row_number() OVER (ORDER BY saved_at DESC, conv_id) - 1 AS position FROM s""",
+    "stored_projects": "SELECT 'p' || conv_id AS project, max(turn) AS saved_at, arg_max(id, turn) AS id FROM sections_v WHERE turn % 4 = 1 AND conv_id % 10 <> 4 GROUP BY conv_id",
+    "sheet_pull": """SELECT CAST(k + 2 AS INT) AS row, CASE WHEN k > (SELECT max(k) FROM refs_v) - 20 THEN ' ' ELSE CAST(k AS VARCHAR) END AS page, CAST(k % 9 AS VARCHAR) AS number, journal AS context, CASE WHEN k % 4 >= 1 THEN raw ELSE '' END AS raw, CASE WHEN k % 4 >= 2 THEN producer ELSE '' END AS producer
+      FROM refs_v WHERE k <= (SELECT max(k) FROM refs_v WHERE k <= (SELECT max(k) FROM refs_v) - 20)""",
+    "harvest_rows": "SELECT origin AS source, year, id, title, journal, doi, pmid, cited_by FROM citations_v WHERE origin IN ('pubmed', 's2') AND year BETWEEN 2012 AND 2019 AND contains(title, 'the')",
 }
 ORACLES = {k: with_views(v) for k, v in ORACLES.items()}

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from html import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,18 +123,6 @@ def done(log: DataFrame, key: str = "doi") -> DataFrame:
     return log.where((F.col("status") == "ok") & (F.coalesce(F.col(key), F.lit("")) != "")).select(key).distinct()
 
 
-def save_packages(df: DataFrame, path: str) -> None:
-    """Answered questions (conv_id, saved_at, ...), a partition a conversation; saving again adds a version."""
-    df.write.partitionBy("conv_id").parquet(path, mode="append")
-
-
-def load_packages(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of every conversation, newest first."""
-    x = spark.read.parquet(path)
-    last = x.groupBy("conv_id").agg(F.max_by(F.struct(*[c for c in x.columns if c != "conv_id"]), "saved_at").alias("r")).select("conv_id", "r.*")
-    return last.orderBy(F.desc("saved_at"), "conv_id")
-
-
 def adverse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     """(term, arm1, arm2) of a trial's events that have figures for two arms at least."""
     schema = "events array<struct<term:string,stats:array<struct<groupId:string,numAffected:long>>>>"
@@ -141,9 +130,24 @@ def adverse_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     return x.select(F.col("e.term").alias("term"), F.col("e.stats")[0]["numAffected"].alias("arm1"), F.col("e.stats")[1]["numAffected"].alias("arm2"))
 
 
-def report(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A markdown table of the first ``most`` rows by the first column (a report: the limit is its length)."""
-    names = df.columns
-    rows = df.orderBy(names[0]).limit(most).collect()
-    lines = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows]) + "\n"
+def report(df: DataFrame, title: str, order: list[str], html: bool = False) -> DataFrame:
+    """(value) of the lines of a report, in order: a table of all rows of ``df``, in markdown or as a page. ``write.text`` puts it into files that follow one another.
+
+    Bars are escaped in markdown, markup in pages; line breaks within a value become spaces; nulls are empty.
+    """
+    spark, names = df.sparkSession, df.columns
+    plain = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
+    if html:
+        escaped = lambda c: F.replace(F.replace(F.replace(plain(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(F.col(f"`{n}`")), F.lit("</td>")) for n in names], F.lit("</tr>"))
+        e = escape
+        head = ["<!doctype html>", f'<html><head><meta charset="utf-8"><title>{e(title)}</title></head><body>', f"<h1>{e(title)}</h1>", "<table>", "<tr>" + "".join(f"<th>{e(n)}</th>" for n in names) + "</tr>"]
+        tail = ["</table>", "</body></html>"]
+    else:
+        row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.replace(plain(F.col(f"`{n}`")), F.lit("|"), F.lit("\\|")) for n in names]), F.lit(" |"))
+        head, tail = [f"# {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names)], []
+    fixed = [(0, i, x) for i, x in enumerate(head)] + [(2, i, x) for i, x in enumerate(tail)]
+    keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    body = df.select(F.lit(1).alias("_part"), F.lit(0).alias("_line"), *keys, row.alias("value"))
+    frame = spark.createDataFrame(fixed, "_part int, _line int, value string").select("_part", "_line", *[F.lit(None).cast(df.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)], "value")
+    return body.union(frame).orderBy("_part", "_line", *[f"_o{i}" for i in range(len(order))]).select("value")

@@ -78,18 +78,12 @@ def test_inventory(spark, tmp_path):
     assert {(r["pnx"], r["valid"]) for r in files.inventory(spark, str(tmp_path)).collect()} == {("P5-7", True), ("P1-2", False)}
 
 
-def test_logs_and_packages(spark, tmp_path):
+def test_logs(spark, tmp_path):
     log = str(tmp_path / "log")
     files.append_log(spark.createDataFrame([("a", "ok"), ("", "ok")], "doi string, status string"), log)
     files.append_log(spark.createDataFrame([("b", "failed")], "doi string, status string"), log)
     x = spark.read.json(log)
     assert {r["doi"] for r in files.done(x).collect()} == {"a"} and {r["status"]: r["n"] for r in files.progress(x).collect()} == {"ok": 2, "failed": 1}
-    store = str(tmp_path / "store")
-    for t, v in ((1, "old"), (2, "new")):
-        files.save_packages(spark.createDataFrame([("c1", t, v)], "conv_id string, saved_at int, summary string"), store)
-    files.save_packages(spark.createDataFrame([("c2", 9, "x")], "conv_id string, saved_at int, summary string"), store)
-    assert [(r["conv_id"], r["summary"]) for r in files.load_packages(spark, store).collect()] == [("c2", "x"), ("c1", "new")]
-    assert "| a |" in files.report(spark.createDataFrame([("a",)], "k string"), "R")
 
 
 def test_adverse_events(spark):
