@@ -2,14 +2,18 @@
 
 ``scan(text)`` finds the base kinds in a text, then unwraps what is nested in
 it: percent escapes, ``\\uXXXX`` and ``\\xXX`` escapes, base64 runs, and gzip or
-zlib streams (all members) inside base64, which may be wrapped over lines. A
+zlib streams (all members, one in another) inside base64, which may be wrapped over lines, also
+by written-out ``\\n``, and may begin behind up to three letters that are not part of it. A
 decoded layer is scanned if it is UTF-8, whatever its characters, or else if it
-holds ``LEAST_VALUE`` readable ASCII characters in a row. Each new layer goes on a worklist, is scanned again
+holds ``LEAST_VALUE`` readable ASCII characters in a row, as UTF-16 or among other bytes. Each new layer goes on a worklist, is scanned again
 and unwrapped again until nothing new appears; a set of the layers already seen
-ends cycles. Every layer carries, for each of its characters, the span of the
-original text that it came from, so that a find in any layer is reported as a
+ends cycles. Every layer knows from which places of the layer before its pieces come, so that a find in any layer is reported as a
 span of the original.
 
+Escapes are undone to the end in one pass: no escape overlaps another, so the order does not
+matter, and what a decoded character completes with those before it is decoded at once. Time is in proportion to the
+text however deep they are nested. Escaped bytes that are no UTF-8 become replacement characters.
+
 Defined cases: a null text is the empty text and has no finds; repeated rows
 stay repeated; an empty table gives an empty table; ties (several finds of one
 kind with the same span) count once; only the id and text columns are read. A
@@ -25,6 +29,8 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,12 +50,18 @@ HEX = re.compile(r"[0-9a-f]{16,}", re.A)
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+#: A percent escape; one of a percent sign's own escapes over and over counts as one.
+PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+BEGUN = re.compile(r"(?:%[0-9A-Fa-f]?|\\(?:x[0-9A-Fa-f]?|u[0-9A-Fa-f]{0,3})?)\Z")
+ENDED = re.compile(r"(?:%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4}))\Z")
+SIGN = re.compile(r"[%\\]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.A)
-WRAPPED = re.compile(r"""[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+(?:={1,2}|(?=[^A-Za-z0-9+/_-]|$))""", re.A)
-RUN = re.compile(r"[A-Za-z0-9+/_-]+", re.A)
+BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*", re.A)
+WRAPPED = re.compile(rf"""[A-Za-z0-9+/_-]{{16,}}(?:{BREAK.pattern}[A-Za-z0-9+/_-]+)+(?:={{1,2}}|(?=[^A-Za-z0-9+/_-]|$))""", re.A)
 STRETCH = re.compile(rb"[\x20-\x7e]{%d,}" % LEAST_VALUE)
+WIDE = re.compile(rb"(?:[\x20-\x7e]\x00){%d,}|(?:\x00[\x20-\x7e]){%d,}" % (LEAST_VALUE, LEAST_VALUE))
+SHIFTS = 4  #: places at which a run's base64 may begin, as letters before it may look like part of it
 LETTERS_ONLY = re.compile(r"[a-z]+|[A-Z]?[a-z]+|[0-9a-f]+", re.A)
 
 Span = tuple[int, int]
@@ -68,81 +80,142 @@ def base_finds(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A decoded text; ``starts[i]`` and ``ends[i]`` are the original's span of its i-th character, or all share one span."""
+    """A decoded text: all of it comes from the span ``whole`` of the original, or its pieces come from places of ``parent``.
 
-    __slots__ = ("text", "starts", "ends", "whole", "known")
+    Piece k begins at ``at[k]``. It is a copy of what begins at ``start[k]`` if ``end[k]`` is -1, else each of its characters comes from start[k] to end[k].
+    """
 
-    def __init__(self, text: str, starts=None, ends=None, whole: Span | None = None, known=frozenset()):
-        self.text, self.starts, self.ends, self.whole, self.known = text, starts, ends, whole, known
+    __slots__ = ("text", "parent", "at", "start", "end", "whole", "known")
 
-    def span(self, i: int, j: int) -> Span:
-        if self.whole:
-            return self.whole
-        return (i, j) if self.starts is None else (self.starts[i], self.ends[j - 1])
-
-
-def _unescape(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with each escape run decoded, the rest as it is; None if nothing changes."""
-    out, starts, ends, at = [], [], [], 0
-
-    def copy(i: int, j: int) -> None:
-        out.append(layer.text[i:j])
-        if not layer.whole:
-            for k in range(i, j):
-                s, e = layer.span(k, k + 1)
-                starts.append(s)
-                ends.append(e)
-
-    changed = False
-    for m in pattern.finditer(layer.text):
-        copy(at, m.start())
-        at = m.start()
-        got = decode(m[0])
-        if got is not None:
-            changed = True
-            for ch, i, j in got:
-                out.append(ch)
-                if not layer.whole:
-                    s, e = layer.span(at + i, at + j)
-                    starts.append(s)
-                    ends.append(e)
-            at = m.end()
-    if not changed:
-        return None
-    copy(at, len(layer.text))
-    return Layer("".join(out), starts, ends, layer.whole)
+    def __init__(self, text: str, parent: Layer | None = None, whole: Span | None = None, known=frozenset()):
+        self.text, self.parent, self.whole, self.known = text, parent, whole, known
+        self.at, self.start, self.end = array("q"), array("q"), array("q")
 
+    def _piece(self, i: int) -> Span:
+        k = bisect_right(self.at, i) - 1
+        if self.end[k] >= 0:
+            return self.start[k], self.end[k]
+        return self.start[k] + i - self.at[k], self.start[k] + i - self.at[k] + 1
 
-def _utf8(raw: bytes, step: int) -> list[tuple[str, int, int]] | None:
-    """Characters of the bytes with their places, ``step`` escaped characters a byte; None if it is no UTF-8."""
-    try:
-        chars = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for ch in chars:
-        n = len(ch.encode()) * step
-        out.append((ch, at, at + n))
-        at += n
+    def span(self, i: int, j: int) -> Span:
+        layer = self
+        while not layer.whole and layer.parent is not None:
+            i, j, layer = layer._piece(i)[0], layer._piece(j - 1)[1], layer.parent
+        return layer.whole or (i, j)
+
+
+class _Unescaping:
+    """The pieces of a text whose escapes are undone: copies, decoded characters, and bytes of 0x80 and more, which come together at the end."""
+
+    def __init__(self):
+        self.out: list[str] = []
+        self.start, self.end = array("q"), array("q")
+        self.tail = ""  #: the single characters at the end that may begin an escape
+        self.changed = False
+
+    def copy(self, text: str, i: int, j: int) -> None:
+        if i < j:
+            self.out.append(text[i:j])
+            self.start.append(i)
+            self.end.append(-1)
+            self.tail = ""
+
+    def push(self, ch: str, i: int, j: int) -> None:
+        """One character; while it ends an escape, this is decoded in turn."""
+        while True:
+            self.out.append(ch)
+            self.start.append(i)
+            self.end.append(j)
+            self.tail = (self.tail + ch)[-6:]
+            m = ENDED.search(self.tail)
+            if not m:
+                return
+            n = len(m[0])
+            i, j = self.start[-n], self.end[-1]
+            del self.out[-n:], self.start[-n:], self.end[-n:]
+            self.tail = self.tail[:-n]
+            if not BEGUN.search(self.tail):
+                self.tail = "".join(x if len(x) == 1 else " " for x in self.out[-6:])
+            ch = _character(m[1] or m[2] or m[3], m[1] is not None)
+            self.changed = True
+
+    def layer(self, parent: Layer) -> Layer:
+        made, parts, k, n = Layer("", parent), [], 0, 0
+        while k < len(self.out):
+            last = k + 1
+            if "\udc80" <= self.out[k] <= "\udcff" and len(self.out[k]) == 1:
+                while last < len(self.out) and len(self.out[last]) == 1 and "\udc80" <= self.out[last] <= "\udcff":
+                    last += 1
+                pieces = _characters([ord(x) - 0xDC00 for x in self.out[k:last]])
+            elif len(self.out[k]) == 1 and "\ud800" <= self.out[k] < "\udc00" and last < len(self.out) and len(self.out[last]) == 1 and "\udc00" <= self.out[last] <= "\udfff" and self.end[k] >= 0:
+                last += 1
+                pieces = [((self.out[k] + self.out[last - 1]).encode("utf-16", "surrogatepass").decode("utf-16"), 0, 2)]
+            else:
+                pieces = [(self.out[k] if len(self.out[k]) > 1 or not "\ud800" <= self.out[k] <= "\udfff" else "\ufffd", 0, 1)]
+            for text, i, j in pieces:
+                parts.append(text)
+                made.at.append(n)
+                made.start.append(self.start[k + i])
+                made.end.append(-1 if self.end[k + i] < 0 else self.end[k + j - 1])
+                n += len(text)
+            k = last
+        made.text = "".join(parts)
+        return made
+
+
+def _character(digits: str, is_byte: bool) -> str:
+    """What an escape stands for; a byte beyond ASCII is kept as a lone surrogate until its neighbours are known."""
+    code = int(digits, 16)
+    return chr(0xDC00 + code) if is_byte and code >= 0x80 else chr(code)
+
+
+def _characters(raw: list[int]) -> list[tuple[str, int, int]]:
+    """Characters of UTF-8 bytes and the places of these; a byte that fits nowhere becomes a replacement character."""
+    out, k = [], 0
+    data = bytes(raw)
+    while k < len(data):
+        for n in (2, 3, 4):
+            try:
+                out.append((data[k : k + n].decode(), k, k + n))
+            except UnicodeDecodeError:
+                continue
+            if k + n <= len(data):
+                k += n
+                break
+            out.pop()
+        else:
+            out.append(("\ufffd", k, k + 1))
+            k += 1
     return out
 
 
-def _percent(run: str):
-    return _utf8(bytes.fromhex(run.replace("%", "")), 3)
-
-
-def _escape(run: str):
-    out, at, units = [], 0, []
-    for m in re.finditer(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", run):
-        units.append((int(m[1] or m[2], 16), m.start(), m.end()))
-    while at < len(units):
-        code, i, j = units[at]
-        if 0xD800 <= code < 0xDC00 and at + 1 < len(units) and 0xDC00 <= units[at + 1][0] < 0xE000:
-            code, j = 0x10000 + ((code - 0xD800) << 10) + units[at + 1][0] - 0xDC00, units[at + 1][2]
-            at += 1
-        out.append(("�" if 0xD800 <= code < 0xE000 else chr(code), i, j))
-        at += 1
-    return out
+def unescape(layer: Layer) -> Layer | None:
+    """The layer with all escapes undone, those that others hid included; None if it has none."""
+    text, u, p = layer.text, _Unescaping(), 0
+    while p < len(text):
+        if u.tail and BEGUN.search(u.tail):
+            m = PERCENT.match(text, p) if text[p] == "%" else None
+            if not m:
+                u.push(text[p], p, p + 1)
+                p += 1
+                continue
+        q = SIGN.search(text, p)
+        if not q:
+            break
+        u.copy(text, p, q.start())
+        p = q.start()
+        m = PERCENT.match(text, p) or ESCAPED.match(text, p)
+        if m:
+            u.changed = True
+            u.push(_character(m[1] or m[2], m.re is PERCENT), p, m.end())
+            p = m.end()
+        else:
+            u.push(text[p], p, p + 1)
+            p += 1
+    if not u.changed:
+        return None
+    u.copy(text, p, len(text))
+    return u.layer(layer)
 
 
 def inflate(raw: bytes) -> bytes | None:
@@ -163,6 +236,9 @@ def inflate(raw: bytes) -> bytes | None:
 
 
 def _readable(raw: bytes) -> str | None:
+    if m := WIDE.search(raw):
+        first = m.start() % 2
+        return raw[first:].decode("utf-16-be" if raw[m.start()] == 0 else "utf-16-le", errors="replace")
     try:
         return raw.decode()
     except UnicodeDecodeError:
@@ -176,8 +252,8 @@ def _wrapped(t: str) -> Iterator[list[Span]]:
     the lines of one width with and without the shorter one that follows them.
     """
     for m in WRAPPED.finditer(t):
-        lines = [r.span() for r in RUN.finditer(t, *m.span())]
-        lines[-1] = (lines[-1][0], m.end())
+        breaks = [b.span() for b in BREAK.finditer(t, *m.span())]
+        lines = list(zip([m.start(), *(j for _, j in breaks)], [*(i for i, _ in breaks), m.end()], strict=True))
         width = [j - i for i, j in lines]
         seen = {(0, len(lines))}
         k = 0
@@ -196,16 +272,23 @@ def _wrapped(t: str) -> Iterator[list[Span]]:
 
 
 def _base64(run: str) -> str | None:
-    """The text inside a base64 run, unpacked if it is compressed."""
+    """The text inside a base64 run, unpacked as often as it is compressed; it may begin up to three letters into the run."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    unpacked = inflate(raw)
-    return _readable(raw if unpacked is None else unpacked)
+    for shift in range(SHIFTS):
+        part = body[shift:]
+        if len(part) % 4 == 1:
+            continue
+        try:
+            raw = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
+        except binascii.Error:
+            continue
+        packed, seen = inflate(raw), set()
+        while packed is not None and (name := hashlib.sha1(packed).digest()) not in seen:
+            seen.add(name)
+            raw, packed = packed, inflate(packed)
+        if (text := _readable(raw)) is not None:
+            return text
+    return None
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -218,9 +301,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         layer = work.pop()
         new: list[Layer] = []
         t = layer.text
-        if "%" in t and (x := _unescape(layer, PERCENT, _percent)):
-            new.append(x)
-        if "\\" in t and (x := _unescape(layer, ESCAPE, _escape)):
+        if ("%" in t or "\\" in t) and (x := unescape(layer)):
             new.append(x)
         for m in BASE64.finditer(t):
             if LETTERS_ONLY.fullmatch(m[0]):
@@ -233,7 +314,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                 continue
             if inner is not None:
                 new.append(Layer(inner, whole=span))
-        for lines in _wrapped(t) if "\n" in t else ():
+        for lines in _wrapped(t) if "\n" in t or "\\n" in t else ():
             span = layer.span(lines[0][0], lines[-1][1])
             try:
                 inner = _base64("".join(t[i:j] for i, j in lines))
