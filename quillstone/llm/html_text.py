@@ -72,11 +72,28 @@ FEATURE = {n: i for i, n in enumerate(_names)}
 EDGES = {t: i for i, t in enumerate([*TAGS, "other", "#text"])}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-HIDDEN = re.compile(r"""display\s*:\s*none|\bhidden\b(?!-)|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A class that begins so tells what a page has or lacks elsewhere, not what the element is.
+ELSEWHERE = frozenset("has have no with without not".split())
 SPLIT = re.compile(r"[^a-z]+")
 
 
+def element_words(tag: str, attrs: str) -> tuple[str, ...]:
+    """Groups of the words in an element's class, id and role, and ``hidden``; the classes of a body tell its site, not its part."""
+    found = set()
+    for name, value in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id", "role") and tag != "body":
+            for part in value.lower().split():
+                words = SPLIT.split(part)
+                if words[0] not in ELSEWHERE or len(words) == 1:
+                    found |= {GROUP.get(w) for w in words}
+        if (name == "hidden" and value.lower() != "until-found") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and UNSEEN.search(value)):
+            found.add("hidden")
+    return tuple(sorted(found - {None}))
+
+
 class Page:
     """Nodes in document order: parent, tag or text, words of class and id; blocks: lists of text nodes that share a line."""
 
@@ -185,10 +202,7 @@ class Page:
                 flush()
             words, mark = (), ""
             if attrs and not attrs.isspace() and tag != "a":
-                found = {GROUP.get(w) for v in ATTRIBUTE.findall(attrs) for w in SPLIT.split(v.lower())} - {None}
-                if HIDDEN.search(attrs):
-                    found.add("hidden")
-                words = tuple(sorted(found))
+                words = element_words(tag, attrs)
                 if "data-label" in attrs:
                     mark = attrs.partition("data-label=")[2].strip("\"' ")[:1]
             node = self._add(stack[-1], tag, words, mark=mark)
@@ -465,18 +479,22 @@ def main_texts(sources: list[str], unary: np.ndarray, pair: np.ndarray) -> list[
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, kept columns, text): the main text of each page; ``keep`` names further columns to carry along."""
+    """(id, kept columns, text): the main text of each page; ``keep`` names further columns to carry along. A kept column called ``text`` gives way to the main text."""
     unary, pair = train()
     names = [id_col, *keep]
+    # columns are carried under numbers: one of them may be called text
+    carried = [f"_{k}" for k in range(len(names))]
 
     def fn(batch: pa.RecordBatch) -> Iterator[dict]:
         data, ends = text_buffers(batch.column(len(names)))
         for lo, hi in row_slices(ends, 1 << 20):
             texts = main_texts([data[ends[i] : ends[i + 1]].tobytes().decode() for i in range(lo, hi)], unary, pair)
-            yield {n: batch.column(k).slice(lo, hi - lo) for k, n in enumerate(names)} | {"text": texts}
+            yield {c: batch.column(k).slice(lo, hi - lo) for k, c in enumerate(carried)} | {"text": texts}
 
-    types = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    return map_batches(df.select(*names, F.col(html_col).cast("string")), fn, f"{types}, text string")
+    types = ", ".join(f"{c} {df.schema[n].dataType.simpleString()}" for c, n in zip(carried, names, strict=True))
+    out = map_batches(df.select(*[F.col(n).alias(c) for c, n in zip(carried, names, strict=True)], F.col(html_col).cast("string")), fn, f"{types}, text string")
+    kept = [F.col(c).alias(n) for c, n in zip(carried, names, strict=True) if n != "text"]
+    return out.select(*kept, "text")
 
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ SIMILARITY = 75  #: per cent of the union that the intersection must reach
 COORDS, MATCHES = 64, 34
 DEALT = 2048  #: rows of a shingle's list that one task compares with the rest of the list
 WORDS8 = COORDS // 8
+LONG_WORD = 256  #: bytes from which a word is hashed by a function that no word's structure defeats
 
 #: Upper-case ASCII letters fall; tabs, line ends and spaces part the words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -77,6 +79,9 @@ def shingles(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = PrefixHash(low).at(starts, stops)
+    # words written to collide under a polynomial hash have 1,024 bytes at least: long words get another one
+    for k in np.flatnonzero(stops - starts >= LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(low[starts[k] : stops[k]].tobytes(), LONG_WORD)
     first = np.searchsorted(starts, ends)
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)

@@ -68,3 +68,37 @@ def test_query(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none" / "pages.parquet"))
     assert html_text.op7_html_text(spark, str(tmp_path / "none")).count() == 0
+
+
+LONG_LINE = "The council met on Tuesday evening and decided, after a long debate, to repair the old bridge over the river before winter comes."
+FRAME = '<html><body{0}><nav><a href="/">Home</a> <a href="/n">News</a></nav>{1}<footer>© 2020 The Paper. <a href="/i">Imprint</a></footer></body></html>'
+
+
+@pytest.mark.parametrize(
+    "body, article",
+    [
+        ("", '<div class="content has-comments">{}</div>'),
+        ("", '<article style="overflow:hidden">{}</article>'),
+        ("", '<article style="overflow: hidden; color: red" data-hidden="1">{}</article>'),
+        (' class="newsletter"', '<div class="article">{}</div>'),
+        (' class="single no-sidebar comments-open"', '<div class="main no-sidebar">{}</div>'),
+        ("", '<article class="with-sidebar without-footer">{}</article>'),
+        ("", '<div class="post-content" hidden="until-found">{}</div>'),
+    ],
+)
+def test_classes_that_tell_of_other_parts(body, article):
+    page = FRAME.format(body, article.format(f"<p>{LONG_LINE}</p><p>{LONG_LINE} Again.</p>"))
+    assert html_text.main_texts([page], *html_text.train()) == [f"{LONG_LINE}\n{LONG_LINE} Again."]
+
+
+@pytest.mark.parametrize("attrs", ['style="display:none"', "style='color:red; display : none'", "hidden", 'hidden=""', 'aria-hidden="true"', 'style="visibility:hidden"', 'class="is-hidden"'])
+def test_elements_that_are_not_seen(attrs):
+    page = FRAME.format("", f"<article><p>{LONG_LINE}</p><div {attrs}><p>{LONG_LINE} Unseen.</p></div><p>{LONG_LINE} Again.</p></article>")
+    assert "hidden" in html_text.element_words("div", " " + attrs)
+    assert "Unseen" not in html_text.main_texts([page], *html_text.train())[0]
+
+
+def test_kept_columns(spark):
+    d = spark.createDataFrame([(1, "u", "t", f"<article><p>{LONG_LINE}</p><p>{LONG_LINE}</p></article>")], "page_id long, url string, text string, html string")
+    got = html_text.extract(d, keep=("text", "url"))
+    assert got.columns == ["page_id", "url", "text"] and got.first()["text"] == f"{LONG_LINE}\n{LONG_LINE}"
