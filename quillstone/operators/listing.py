@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import cases, s
+from .planning import ranked
 from .store import cut
 
 SEVERITIES = ("fatal", "warn", "info")
@@ -56,8 +57,8 @@ def by_severity(findings: DataFrame, rule: str = "rule", where: tuple[str, ...]
 
 
 def from_the_top(boxes: DataFrame, page: str, y: str = "y", key: str = "k") -> DataFrame:
-    """Boxes of each page from its top down."""
-    return boxes.orderBy(page, y, key)
+    """Boxes of each page with ``place``, from 1 at its top down, in order."""
+    return ranked(boxes, (page,), (y, key), "place").orderBy(page, "place")
 
 
 def by_dimension(items: DataFrame, order: tuple[str, ...], column: str = "dimension", key: str = "id") -> DataFrame:
