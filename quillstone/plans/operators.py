@@ -176,7 +176,7 @@ def verify_cascade(spark, sf):
 def point_alignment(spark, sf):
     m = view(spark, sf, "marks_v")
     points = m.select("k", F.col("value").alias("point"))
-    texts = m.where("n <= 2").groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("context")), " ").alias("text"))
+    texts = m.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list("context")), " ").alias("text"))
     return E.alignment(points, texts, "k").select("k", "n", "found", F.round("ratio", 6).alias("ratio"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, identifiers, listings, operators, pages, sources, texts
+from . import extraction, identifiers, listings, operators, oracles, pages, sources, texts
 
-MODULES = (operators, identifiers, texts, extraction, sources, listings, pages)
+MODULES = (operators, identifiers, texts, extraction, sources, listings, pages, oracles)
 
 
 def queries() -> dict:
