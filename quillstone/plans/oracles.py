@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions import extract as X
+from ..functions import text as T
 from ..operators.evidence import PLACEHOLDERS
 from ..sources.views import with_views
-from .texts import _KF, _TOK
+from .extraction import JOURNALS, KNOWN
+from .operators import _HASH
+from .texts import _B, _KF, _TOK
 
 QUERIES: dict = {}
 
@@ -52,5 +56,35 @@ SELECT page, name, value, dist FROM r WHERE name IS NOT NULL""",
     "located": r"""WITH c AS (SELECT ord, title, list_filter(range(1, length(title) + 1), lambda i: substring(title, i, 1) <> ' ') AS pos, replace(title, ' ', '') AS folded, replace(left(title, 8), ' ', '') AS q FROM citations_v WHERE length(title) >= 8),
 f AS (SELECT ord, pos, CASE WHEN q = '' THEN [] ELSE list_filter(range(1, length(folded) - length(q) + 2), lambda i: substring(folded, i, length(q)) = q) END AS found FROM c)
 SELECT ord, CAST(len(found) AS INT) AS n, CAST(pos[found[1]] - 1 AS INT) AS start FROM f""",
+    "numbered_segments": r"""WITH p AS (SELECT page, CAST(floor(k / 4000) AS BIGINT) AS part, replace(string_agg(line, ' ' ORDER BY k, line), '  ', ' ') AS t FROM cite_lines_v WHERE k % 3 = 0 GROUP BY 1, 2),
+q AS (SELECT page, part, t, list_filter(list_transform(string_split(regexp_replace(t, '(^|[^0-9])([1-9][0-9]?\s*[.)]\s*[A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[1-9][0-9]?\s*[.)]\s*[A-Z]') AND strlen(x) >= 20) AS parts FROM p),
+s AS (SELECT page, part, unnest(CASE WHEN len(parts) >= 2 THEN parts ELSE [t] END) AS x FROM q) SELECT page, part, count(*) AS n, CAST(sum(length(x)) AS BIGINT) AS chars FROM s GROUP BY 1, 2""",
+    "citation_windows": f"""WITH t AS (SELECT slide, trim(regexp_replace(string_agg(line, '  ' ORDER BY k, line), '\\s+', ' ', 'g')) AS t FROM (SELECT CAST(floor(k / 40) AS BIGINT) AS slide, k, line FROM cite_lines_v) GROUP BY 1),
+f AS (SELECT slide, t, regexp_extract_all(t, '{_B(T.JOURNAL)}') AS found, regexp_split_to_array(t, '{_B(T.JOURNAL)}') AS gaps FROM t),
+b AS (SELECT slide, t, found, list_transform(range(1, len(found) + 1), lambda i: {{'m': found[i], 'at': coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)::BIGINT + CASE WHEN i = 1 THEN 0 ELSE coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0)::BIGINT END}}) AS spots FROM f),
+w AS (SELECT slide, list_transform(spots, lambda x: substring(t, greatest(x.at - {X.REACH}, 0) + 1, x.at - greatest(x.at - {X.REACH}, 0) + length(x.m) + {X.REACH})) AS w FROM b),
+g AS (SELECT slide, list_filter(w, lambda x: regexp_matches(x, '{_B(T.YEAR)}')::INT + regexp_matches(x, '{X.NAMED}')::INT + regexp_matches(x, '{X.VOLUME}')::INT + regexp_matches(x, '{X.DOI}')::INT >= 2 AND strlen(x) >= 10) AS w FROM w),
+k AS (SELECT slide, w, list_transform(w, lambda x: lower(regexp_replace(x, '\\s+', '', 'g'))) AS keys FROM g),
+u AS (SELECT slide, list_filter(w, lambda x, i: list_position(keys, keys[i]) = i) AS w FROM k)
+SELECT slide, CAST(len(w) AS INT) AS n, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS INT) AS chars FROM u""",
+    "keyword_terms": f"""WITH f AS (SELECT k, line, line || ' 肝癌 生存 肝癌 发表' AS t FROM cite_lines_v),
+i AS (SELECT k, unnest(list_concat([{{'t': '肝癌', 'c': 0.6::DOUBLE, 'k': 'cn_term'}}, {{'t': '生存', 'c': 0.4::DOUBLE, 'k': 'cn_term'}}, {{'t': '发表', 'c': 0.4::DOUBLE, 'k': 'cn_term'}}],
+  list_filter([{", ".join(f"CASE WHEN contains(t, '{w}') THEN {{'t': '{w}', 'c': {c}::DOUBLE, 'k': '{kind}'}} END" for words, c, kind in ((KNOWN, 0.85, "drug_or_trial"), (JOURNALS, 0.5, "journal")) for w in words)}], lambda x: x IS NOT NULL),
+  list_transform(list_distinct(regexp_extract_all(t, '{_B(T.YEAR)}')), lambda y: {{'t': y, 'c': 0.4::DOUBLE, 'k': 'year'}}),
+  list_transform(list_distinct(regexp_extract_all(t, '(\\d+\\.?\\d*)\\s*%', 1)), lambda y: {{'t': y || '%', 'c': 0.9::DOUBLE, 'k': 'percentage'}}),
+  CASE WHEN regexp_extract(line, '^\\s*([A-Z][a-zA-Z\\-]+)', 1) <> '' THEN [{{'t': regexp_extract(line, '^\\s*([A-Z][a-zA-Z\\-]+)', 1), 'c': 0.3::DOUBLE, 'k': 'author_surname'}}] ELSE [] END)) AS x FROM f)
+SELECT x.k AS kind, x.c AS confidence, count(*) AS n, count(DISTINCT x.t) AS terms FROM i GROUP BY 1, 2""",
+    "dedupe_full": f"""WITH RECURSIVE {_HASH},
+k AS (SELECT *, CASE WHEN pmid <> '' THEN 'pmid:' || pmid WHEN doi <> '' THEN 'doi:' || lower(trim(doi)) ELSE '' END AS key, h FROM citations_v LEFT JOIN fp USING (ord)),
+firsts AS (SELECT key, arg_min_null(h, ord) AS h FROM k WHERE key <> '' GROUP BY 1),
+cls AS (SELECT h, min(ord) AS first FROM k WHERE key = '' GROUP BY 1),
+joined AS (SELECT c.h, min(f.key) AS goes FROM cls c JOIN firsts f ON bit_count(xor(c.h, f.h)) <= 2 GROUP BY 1),
+rest AS (SELECT h, row_number() OVER (ORDER BY first) AS i FROM cls WHERE h IS NOT NULL AND h NOT IN (SELECT h FROM joined)),
+led AS (SELECT 0::BIGINT AS i, []::UBIGINT[] AS leaders, NULL::UBIGINT AS h, NULL::UBIGINT AS leader
+  UNION ALL SELECT i, CASE WHEN leader IS NULL THEN list_append(leaders, h) ELSE leaders END, h, coalesce(leader, h) FROM (SELECT r.i, l.leaders, r.h, list_filter(l.leaders, lambda x: bit_count(xor(x, r.h)) <= 2)[1] AS leader FROM led l JOIN rest r ON r.i = l.i + 1)),
+placed AS (SELECT k.*, coalesce(nullif(key, ''), j.goes, 'hash:' || coalesce(CAST(led.leader AS VARCHAR), '')) AS grp FROM k LEFT JOIN joined j ON j.h = k.h LEFT JOIN led ON led.h = k.h),
+n AS (SELECT grp, count(*) AS n_merged, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins, count(DISTINCT origin) AS n_origins FROM placed GROUP BY 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cited_by + 10 * fwci + 5 DESC, ord) AS r FROM placed)
+SELECT id, origins, n_merged, round(cited_by + 10 * fwci + 5 * n_origins, 6) AS richness FROM b JOIN n USING (grp) WHERE r = 1""",
 }
 ORACLES = {k: with_views(v) for k, v in _ORACLES.items()}
