@@ -86,3 +86,20 @@ def full_text(sections: DataFrame, walked: DataFrame, tree: str) -> DataFrame:
     """(tree, n, chars): sections of each tree that its outline reaches, and the length of their text."""
     x = walked.join(sections.select(tree, "id", "title", "body"), [tree, "id"])
     return x.groupBy(tree).agg(F.count("*").alias("n"), F.sum(F.length("title") + F.length("body") + 1).alias("chars"), F.max("depth").alias("depth"))
+
+
+def pruned(walked: DataFrame, wanted: DataFrame, tree: str) -> DataFrame:
+    """``walked`` (tree, id, depth, path) with ``match`` for the sections ``wanted`` (tree, id), without what lies below a match: a walk that stops there goes on beside it."""
+    x = walked.join(wanted.select(tree, "id").distinct().withColumn("match", F.lit(True)), [tree, "id"], "left").withColumn("match", F.coalesce("match", F.lit(False)))
+    steps = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "."))
+    # each section looks for the paths above it among the matches
+    up = x.where(F.size(steps) > 1).select(tree, "id", "path", F.explode(F.slice(above, F.lit(1), F.size(steps) - 1)).alias("up"))
+    below = up.join(x.where("match").select(tree, F.col("path").alias("up")), [tree, "up"], "left_semi").select(tree, "path").distinct()
+    return x.join(below, [tree, "path"], "left_anti").select(*walked.columns, "match")
+
+
+def find_section(walked: DataFrame, wanted: DataFrame, tree: str) -> DataFrame:
+    """(tree, id, path): of the sections of each tree that have a wanted id, the last that a walk which stops below matches comes to."""
+    place = F.transform(F.split("path", r"\."), lambda n: n.cast("int"))
+    return pruned(walked, wanted, tree).where("match").groupBy(tree).agg(F.max_by(F.struct("id", "path"), place).alias("s")).select(tree, "s.id", "s.path")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, identifiers, listings, operators, oracles, pages, sources, texts
+from . import answers, extraction, identifiers, listings, operators, oracles, pages, sources, texts
 
-MODULES = (operators, identifiers, texts, extraction, sources, listings, pages, oracles)
+MODULES = (operators, identifiers, texts, extraction, sources, listings, pages, oracles, answers)
 
 
 def queries() -> dict:
