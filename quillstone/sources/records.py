@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from ..operators.store import cut
 
 COLUMNS = ("id", "title", "authors", "journal", "year", "pmid", "doi", "abstract", "cited_by", "fwci", "source_origin")
 
@@ -169,9 +170,9 @@ def register(name: str, reader: Callable[[DataFrame], DataFrame]) -> None:
 def union(payloads: dict[str, DataFrame | Callable[[], DataFrame]], enabled: set[str] | None = None, limit: int | None = None, failed: list | None = None) -> DataFrame:
     """Citations of all enabled sources; ``limit`` keeps as many rows of each (the services' page size, a feature).
 
-    A source may be given as a function that opens it. With ``failed``, a source that
-    cannot be opened or read is noted there, by name, and the others go on; if none is
-    left, the last fault is raised.
+    A source may be given as a function that opens it. With ``failed``, each source is read
+    and its rows are put into the shared folder at once; one that cannot be opened or read to its end is noted
+    there, by name, and the others go on; if none is left, the last fault is raised.
     """
     out, fault = None, ValueError("no source is enabled")
     for name in sorted(payloads):
@@ -179,13 +180,14 @@ def union(payloads: dict[str, DataFrame | Callable[[], DataFrame]], enabled: set
             try:
                 given = payloads[name]
                 one = READERS[name](given() if callable(given) else given)
+                one = one.limit(limit) if limit else one
+                one = one if failed is None else cut(one)
             except Exception as e:
                 if failed is None:
                     raise
                 failed.append(name)
                 fault = e
                 continue
-            one = one.limit(limit) if limit else one
             out = one if out is None else out.unionByName(one)
     if out is None:
         raise fault

@@ -86,6 +86,17 @@ def test_logs(spark, tmp_path):
     assert {r["doi"] for r in files.done(x).collect()} == {"a"} and {r["status"]: r["n"] for r in files.progress(x).collect()} == {"ok": 2, "failed": 1}
 
 
+def test_sources_that_fail_while_read(spark):
+    """One that cannot be opened and one that breaks while it is read are noted; the others go on."""
+    good = payloads(spark, json.dumps({"paperId": "p", "title": "t", "year": 2020}))
+    broken = spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.lit("{}")).alias("payload"))
+    failed = []
+    got = records.union({"s2": good, "pubmed": broken, "openalex": lambda: 1 / 0}, failed=failed)
+    assert failed == ["openalex", "pubmed"] and [r["title"] for r in got.collect()] == ["t"]
+    with pytest.raises(Exception, match="broken"):
+        records.union({"pubmed": broken}, failed=[])
+
+
 def test_adverse_events(spark):
     p = json.dumps({"events": [{"term": "n", "stats": [{"groupId": "1", "numAffected": 3}, {"groupId": "2", "numAffected": 4}]}, {"term": "m", "stats": [{"groupId": "1", "numAffected": 1}]}]})
     assert [tuple(r) for r in files.adverse_events(payloads(spark, p)).collect()] == [("n", 3, 4)]
