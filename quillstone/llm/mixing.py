@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Every source's texts are laid end to end, in an order that a hash of the id
-fixes, and packed into blocks of ``BLOCK`` tokens (of fewer where the table has
-less than ``SLOTS`` of them, as counts of few slots stray further from what is
-expected of them). The output is a row of shards of ``SHARD_SLOTS`` block-sized
-slots. Each slot draws its source with the target shares as probabilities, so the
-source counts of a shard are multinomial. The slots of one source, numbered
+fixes, and packed into blocks of ``BLOCK`` tokens, whatever the table's size; a source's last
+block may be shorter. The output is a row of shards of ``SHARD_SLOTS`` block-sized
+slots. A source has the whole slots of its expected number in a shard for certain; the slots that the
+fractions leave are drawn, each with the fractions as probabilities, so that
+the source counts of a shard are multinomial about what is expected and no source strays from its target by more
+than a few blocks. The slots of one source, numbered
 through all shards, are mapped to its blocks by keyed pseudorandom permutations of
 the block indices, a new one for each pass through the source, and a join by block
 index gives each text the tokens that are taken of it. No pass is begun beyond the
@@ -18,7 +19,7 @@ table of sources has one row a source; its size is known when it is joined.
 
 Defined cases: a null text has size 0, and null sources form one source, last in
 order; texts of size 0 take nothing; a table without words has targets of 0;
-further columns must not have the names of the results;
+further columns that have the name of a result give way to it;
 repeated rows are rows of their own, each with its share of the tokens (only
 rows equal in id and size are interchangeable); an empty table gives an empty
 table; extra columns are ignored. Reruns agree, as every draw is a hash of
@@ -27,13 +28,14 @@ table; extra columns are ignored. Reruns agree, as every draw is a hash of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, load
 
 BLOCK = 32  #: tokens of a block
-SLOTS = 1 << 19  #: slots that a table should have at least, as long as a block holds a token
 SHARD_SLOTS = 4096  #: slots of an output shard
 GROUP_SHARDS = 1024  #: shards whose slots of a source are numbered in one task
 CELLS = 1024  #: parts of the line of shares, by which slots meet their sources
@@ -84,17 +86,33 @@ def _uniform(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def drawn(targets: DataFrame, slots: int, total: int) -> DataFrame:
-    """(shard, sid, n): the multinomial source counts of each shard, a hash of its number drawing each slot's source."""
+def drawn(shares: DataFrame, shards: int, slots: int, first: int = 0) -> DataFrame:
+    """(shard, sid, n): the source counts of ``shards`` shards of ``slots`` slots each, numbered from ``first``.
+
+    ``shares`` (sid, share) add up to 1. Each source has floor(slots * share) slots of a shard; a hash of its number draws the source of each
+    slot left over by what the floors have cut off.
+    """
+    empty = shares.sparkSession.createDataFrame([], "shard long, sid int, n long")
+    if not shards or not slots:
+        return empty
+    cut_ = shares.withColumn("sure", F.floor(F.col("share") * slots)).withColumn("part", F.col("share") * slots - F.col("sure"))
+    left = slots - (cut_.agg(F.sum("sure")).first()[0] or 0)
+    groups = -(-shards // GROUP_SHARDS)
+    # a row a source and shard, made in groups so that no array of shards is long
+    each = cut_.where("sure > 0").select("sid", "sure", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group")).repartition("sid", "group")
+    of = F.sequence((F.col("group") * GROUP_SHARDS).cast("long"), (F.least((F.col("group") + 1) * GROUP_SHARDS, F.lit(shards)) - 1).cast("long"))
+    sure = each.select(F.explode(of).alias("shard"), "sid", F.col("sure").cast("long").alias("n"))
+    if left <= 0:
+        return sure.withColumn("shard", F.col("shard") + first)
     line = Window.orderBy("sid")
-    ends = F.sum("target").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.lit(float(max(total, 1)))
-    shares = targets.where("target > 0").select("sid", ends.alias("hi")).select("sid", F.coalesce(F.lag("hi").over(line), F.lit(0.0)).alias("lo"), "hi", F.lead("hi").over(line).isNull().alias("last"))
-    shares = shares.withColumn("hi", F.when(F.col("last"), F.lit(2.0)).otherwise(F.col("hi")))  # whatever rounding leaves belongs to the last
+    ends = F.sum("part").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("part").over(Window.partitionBy())
+    lots = cut_.where("part > 0").select("sid", ends.alias("hi")).select("sid", F.coalesce(F.lag("hi").over(line), F.lit(0.0)).alias("lo"), "hi", F.lead("hi").over(line).isNull().alias("last"))
+    lots = lots.withColumn("hi", F.when(F.col("last"), F.lit(2.0)).otherwise(F.col("hi")))  # whatever rounding leaves belongs to the last
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
-    shares = shares.select("sid", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
-    slot = targets.sparkSession.range(slots).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), _uniform(F.lit(SEED), F.lit("slot"), F.col("id")).alias("u"))
-    slot = slot.withColumn("cell", F.floor(F.col("u") * CELLS))
-    return slot.join(shares, "cell").where("u >= lo AND u < hi").groupBy("shard", "sid").agg(F.count("*").alias("n"))
+    lots = lots.select("sid", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    slot = shares.sparkSession.range(shards * left).select(F.floor(F.col("id") / left).alias("shard"), _uniform(F.lit(SEED), F.lit("slot"), F.col("id"), F.lit(first)).alias("u"))
+    some = slot.withColumn("cell", F.floor(F.col("u") * CELLS)).join(lots, "cell").where("u >= lo AND u < hi").select("shard", "sid", F.lit(1).cast("long").alias("n"))
+    return sure.unionByName(some).groupBy("shard", "sid").agg(F.sum("n").alias("n")).withColumn("shard", F.col("shard") + first)
 
 
 def grid(n: Column) -> tuple[Column, Column]:
@@ -139,14 +157,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     The numbers are made from ids, sources and sizes alone; with ``columns``,
     these travel along from the first read, written to the checkpoint folder.
     """
-    if clash := {id_col, "size", "source_size", "target", "taken"} & set(columns):
-        raise ValueError(f"further columns have names of the result: {sorted(clash)}")
+    columns = tuple(c for c in columns if c not in (id_col, "size", "source_size", "target", "taken"))
     spark = df.sparkSession
     tables = Tables(spark)
     rows = tables.write(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("src"), n_words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_x{k}") for k, c in enumerate(columns)]))
     targets = tables.write(source_targets(rows).withColumn("sid", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())).cast("int")))
-    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    block = max(1, min(BLOCK, total // SLOTS))
+    n_rows, block = rows.count(), BLOCK
     buckets = max(LEAST_BUCKETS, -(-n_rows // BUCKET_ROWS))
 
     known = rows.join(targets.withColumnRenamed("src", "_src"), F.col("src").eqNullSafe(F.col("_src"))).drop("src", "_src")
@@ -159,12 +175,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = tables.write(placed.withColumn("row", F.monotonically_increasing_id()).drop("base", "within", "bucket", "weight"))
 
     # slots of each source, numbered through the shards, and the blocks that they take
-    draws = tables.write(drawn(targets, -(-total // block), total).withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS)))
+    blocks = targets.select("sid", "target", "source_size", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
+    wanted = blocks.where("target > 0").select("sid", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("slots"))
+    total = wanted.agg(F.coalesce(F.sum("slots"), F.lit(0.0))).first()[0]
+    slots = math.ceil(total)
+    shares = tables.write(wanted.select("sid", (F.col("slots") / F.lit(max(total, 1e-9))).alias("share")))
+    full, tail = divmod(slots, SHARD_SLOTS)
+    draws = drawn(shares, full, SHARD_SLOTS).unionByName(drawn(shares, 1 if tail else 0, tail, full))
+    draws = tables.write(draws.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS)))
     group = Window.partitionBy("sid").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = draws.groupBy("sid", "group").agg(F.sum("n").alias("m")).select("sid", "group", F.coalesce(F.sum("m").over(group), F.lit(0)).alias("base"))
     shard = Window.partitionBy("sid", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = draws.withColumn("before", F.coalesce(F.sum("n").over(shard), F.lit(0))).join(groups, ["sid", "group"])
-    blocks = targets.select("sid", F.ceil(F.col("source_size") / block).cast("long").alias("blocks"))
     blocks = blocks.select("sid", "blocks", *[side.alias(name) for side, name in zip(grid(F.col("blocks")), ("a", "b"), strict=True)])
     numbered = numbered.select("sid", "shard", (F.col("base") + F.col("before")).alias("first"), "n").join(blocks, "sid").repartition("sid", "shard")
     turns = numbered.select("sid", "blocks", "a", "b", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")).where(F.col("slot") < F.col("blocks") * MOST_PASSES)

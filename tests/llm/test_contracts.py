@@ -182,22 +182,42 @@ def test_mixing_permutes(spark):
         assert got[n, 1] != got[n, 2]
 
 
-def test_mixing_draws(spark):
-    """Source counts of shards against a draw of each slot from the same hashes."""
+def test_mixing_draws(spark, monkeypatch):
+    """Source counts of shards: the sure slots, and each slot left over drawn from the same hashes."""
+    import math
     from bisect import bisect_right
     from itertools import accumulate
 
     from pyspark.sql import functions as F
 
-    slots, shares = 3 * mixing.SHARD_SLOTS // 2, [50.0, 0.0, 5.0, 145.0, 0.5]
-    targets = spark.createDataFrame(list(enumerate(shares, 1)), "sid int, target double")
-    got = {(r["shard"], r["sid"]): r["n"] for r in mixing.drawn(targets, slots, round(sum(shares))).collect()}
-    draws = spark.range(slots).select("id", mixing._uniform(F.lit(mixing.SEED), F.lit("slot"), F.col("id")).alias("u")).collect()
-    ends, want = [x / 200 for x in accumulate(shares)], {}
-    for r in draws:
-        k = (r["id"] // mixing.SHARD_SLOTS, min(bisect_right(ends[:-1], r["u"]) + 1, 5))
+    share, slots, shards, first = [0.25, 0.0, 0.0255, 0.7231, 0.0014], 1000, 2500, 7
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 64)
+    frame = spark.createDataFrame(list(enumerate(share, 1)), "sid int, share double")
+    got = {(r["shard"], r["sid"]): r["n"] for r in mixing.drawn(frame, shards, slots, first).collect()}
+    sure = [math.floor(x * slots) for x in share]
+    part = [x * slots - n for x, n in zip(share, sure, strict=True)]
+    left = slots - sum(sure)
+    ends = [x / sum(part) for x in accumulate(part)]
+    want = {(k + first, sid): n for k in range(shards) for sid, n in enumerate(sure, 1) if n}
+    last = max(k for k, x in enumerate(part) if x > 0)
+    for r in spark.range(shards * left).select("id", mixing._uniform(F.lit(mixing.SEED), F.lit("slot"), F.col("id"), F.lit(first)).alias("u")).collect():
+        k = (r["id"] // left + first, min(bisect_right(ends, r["u"]), last) + 1)
         want[k] = want.get(k, 0) + 1
-    assert got == want and sum(got.values()) == slots and not any(sid == 2 for _, sid in got)
+    assert got == want and sum(got.values()) == shards * slots and not any(sid == 2 for _, sid in got)
+    means = {sid: sum(n for (_, k), n in got.items() if k == sid) / shards for sid in (1, 3, 4, 5)}
+    assert all(abs(means[k] - share[k - 1] * slots) < 0.1 for k in means)
+    assert mixing.drawn(frame, 0, 10).count() == mixing.drawn(frame, 5, 0).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sources_come_near_their_targets(spark, sf):
+    """Within a few blocks, on small tables too."""
+    d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got, want, sizes = {}, {}, {}
+    for r, (doc, src) in zip(mixing.mix(d.orderBy("doc_id")).orderBy("doc_id").collect(), [(r["doc_id"], r["source"]) for r in d.orderBy("doc_id").collect()], strict=True):
+        assert r["doc_id"] == doc and r["taken"] <= 3 * r["size"]
+        got[src], want[src], sizes[src] = got.get(src, 0) + r["taken"], r["target"], r["source_size"]
+    assert all(abs(got[k] - want[k]) <= 4 * mixing.BLOCK + 0.02 * want[k] for k in got), {k: (got[k], want[k]) for k in got}
 
 
 # 4
