@@ -23,7 +23,7 @@ def _lines(spark, sf):
     return d.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
 
 
-def _box(i, width, left=F.lit(50)):
+def _box(i, width, left):
     top = (i % 40) * 20
     return F.struct(left.cast("double").alias("l"), top.cast("double").alias("t"), (left + width).cast("double").alias("r"), (top + 15).cast("double").alias("b"))
 
