@@ -23,7 +23,23 @@ _FIRSTS = f"SELECT k, line, names[1 : least(stop - 1, 5)] AS authors, journal, y
 _REAL = "trim({0}) <> '' AND lower(trim({0})) NOT IN (" + ", ".join(f"'{p}'" for p in PLACEHOLDERS) + ")"
 _X, _Y = _TOK.format("c.title"), _TOK.format("r.ref_title")
 
+def _rounds(most: int = 50, every: int = 5, tolerance: str = "1e-6") -> str:
+    """PageRank round by round, up to the first of every few rounds that hardly moved a score."""
+    parts = ["""nodes AS MATERIALIZED (SELECT src AS id FROM edges_v UNION SELECT dst FROM edges_v), n AS (SELECT count(*) AS n FROM nodes), d AS (SELECT src, count(*) AS deg FROM edges_v GROUP BY 1),
+l AS MATERIALIZED (SELECT DISTINCT e.src, e.dst, deg FROM edges_v e JOIN d USING (src)), s0 AS MATERIALIZED (SELECT id, 0.0::DOUBLE AS score FROM nodes)"""]
+    ends, open_ = [], "true"
+    for k in range(1, most + 1):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT id, (1 - 0.85::DOUBLE) / (SELECT n FROM n) + 0.85::DOUBLE * coalesce(got, 0) AS score FROM nodes LEFT JOIN (SELECT dst, sum(score / deg) AS got FROM l JOIN s{k - 1} ON src = id GROUP BY 1) ON dst = id)")
+        if k % every == 0:
+            parts.append(f"m{k} AS MATERIALIZED (SELECT max(abs(a.score - b.score)) < {tolerance} AS still FROM s{k} a JOIN s{k - 1} b USING (id))")
+            still = f"(SELECT still FROM m{k})" if k < most else "true"
+            ends.append(f"SELECT id, score FROM s{k} WHERE {open_} AND {still}")
+            open_ += f" AND NOT {still}"
+    return f"WITH {', '.join(parts)} SELECT id, round(score, 6) AS score FROM ({' UNION ALL '.join(ends)})"
+
+
 _ORACLES = {
+    "pagerank_converged": _rounds(),
     "number_variants": f"WITH {_VARIANTS} SELECT value, array_to_string(v, '|') AS variants FROM variant",
     "point_alignment": f"""WITH {_VARIANTS}, t AS (SELECT k, string_agg(context, ' ' ORDER BY context) AS text FROM marks_v GROUP BY 1),
 p AS (SELECT k, len(list_filter(v, lambda w: contains(lower(text), lower(w)))) > 0 AS found FROM marks_v JOIN variant USING (value) JOIN t USING (k))
