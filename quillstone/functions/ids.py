@@ -223,7 +223,8 @@ def column_letter(i: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    m, k = n / F.lit(1048576.0), n / F.lit(1024.0)
+    """Bytes, whole KB or tenths of MB; halves go to the even figure."""
+    m, k = F.bround(n / F.lit(1048576.0), 1), F.bround(n / F.lit(1024.0), 0)
     return cases([(n >= 1048576, F.format_string("%.1f MB", m)), (n >= 1024, F.format_string("%.0f KB", k))], F.format_string("%d B", n))
 
 

@@ -29,3 +29,10 @@ from quillstone.functions.reference import parse_reference
 def test_references(spark, text, want):
     r = spark.range(1).select(parse_reference(F.lit(text).cast("string")).alias("x")).first()["x"]
     assert {k: r[k] for k in want} == want
+
+
+def test_bytes_halves_to_even(spark):
+    from quillstone.functions import ids
+
+    df = spark.createDataFrame([(1536,), (2560,), (184832,), (1310720,), (1835008,), (1023,), (0,)], "n long").select(ids.format_bytes(F.col("n")).alias("x"))
+    assert [r["x"] for r in df.collect()] == ["2 KB", "2 KB", "180 KB", "1.2 MB", "1.8 MB", "1023 B", "0 B"]
