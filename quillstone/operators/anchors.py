@@ -34,24 +34,30 @@ def anchors(slides: DataFrame, lines: DataFrame, words: tuple[str, ...] = KEYWOR
     A line scores the length of each of the slide's first WORDS words that it holds, and for its own length. Lines that begin
     alike count once, with the best of them; of equal scores the earlier line goes first.
 
-    Lines are posted under the words that they hold, and a slide meets the postings of its words only. A line
-    that holds none scores its length; as every line of a slide's file may, the best n beginnings of each file by
-    length alone stand in for all of them: whatever else a slide could take has n better lines before it.
+    Lines of a file that hold the same words and score the same for their length score the same for any slide, so
+    the first n beginnings of each such kind stand in for all of it: whatever else of the kind a slide could take has n
+    better lines before it. Slides of a file that ask for the same words get the same lines, which are sought once. Kinds are posted under
+    their words, and what is asked meets the postings of its words only; as every line of a file may also be taken without a
+    word of the slide, the best n beginnings of each file by length alone join them.
     """
     own = lines.select("file", "i", F.lower(F.substring(s(F.col("text")), 1, HEAD)).alias("head"), length_score(s(F.col("text"))).alias("base"), words_in(F.col("text"), words).alias("words"))
-    asked = slides.select("slide", "file", F.slice(words_in(F.col("text"), words), 1, WORDS).alias("asked"))
-    postings = own.select("file", "i", "head", "base", F.explode("words").alias("word"))
-    hits = asked.select("slide", "file", F.explode("asked").alias("word")).join(postings, ["file", "word"])
-    hits = hits.groupBy("slide", "file", "i").agg((F.first("base") + F.sum(F.length("word"))).cast("int").alias("score"), F.first("head").alias("head"))
-    heads = own.groupBy("file", "head").agg(F.min(F.struct((-F.col("base")).alias("less"), "i")).alias("best")).select("file", "head", (-F.col("best.less")).alias("base"), F.col("best.i").alias("i"))
-    plain = first_rows(heads, "file", [F.desc("base"), F.col("i")], n)
-    rest = asked.select("slide", "file").join(plain, "file").select("slide", "file", "i", F.col("base").alias("score"), "head")
+    heads = own.groupBy("file", "words", "base", "head").agg(F.min("i").alias("i"))
+    kinds = first_rows(heads, "file,words,base", [F.col("i")], n)
+    slides = slides.select("slide", "file", F.slice(words_in(F.col("text"), words), 1, WORDS).alias("asked"))
+    asked = slides.select("file", "asked").distinct()
+    postings = kinds.select("file", "i", "head", "base", F.explode("words").alias("word"))
+    hits = asked.select("file", "asked", F.explode("asked").alias("word")).join(postings, ["file", "word"])
+    hits = hits.groupBy("file", "asked", "i").agg((F.first("base") + F.sum(F.length("word"))).cast("int").alias("score"), F.first("head").alias("head"))
+    longest = kinds.groupBy("file", "head").agg(F.min(F.struct((-F.col("base")).alias("less"), "i")).alias("best")).select("file", "head", (-F.col("best.less")).alias("base"), F.col("best.i").alias("i"))
+    plain = first_rows(longest, "file", [F.desc("base"), F.col("i")], n)
+    rest = asked.join(plain, "file").select("file", "asked", "i", F.col("base").alias("score"), "head")
     # a line may come both ways: its higher score is the true one
-    every = hits.select("slide", "file", "i", "score", "head").union(rest).where(F.col("score") >= least)
-    best = every.groupBy("slide", "file", "head").agg(F.min(F.struct((-F.col("score")).alias("less"), "i")).alias("best"))
-    best = best.select("slide", "file", (-F.col("best.less")).alias("score"), F.col("best.i").alias("i"))
-    top = first_rows(best, "slide", [F.desc("score"), F.col("i")], n, rank="rank")
-    return top.join(lines.select("file", "i", "text"), ["file", "i"]).select("slide", "rank", "i", "score", "text")
+    every = hits.select("file", "asked", "i", "score", "head").union(rest).where(F.col("score") >= least)
+    best = every.groupBy("file", "asked", "head").agg(F.min(F.struct((-F.col("score")).alias("less"), "i")).alias("best"))
+    best = best.select("file", "asked", (-F.col("best.less")).alias("score"), F.col("best.i").alias("i"))
+    top = first_rows(best, "file,asked", [F.desc("score"), F.col("i")], n, rank="rank")
+    texts = top.select("file", "i").distinct().join(lines.select("file", "i", "text"), ["file", "i"])
+    return slides.join(top.join(texts, ["file", "i"]), ["file", "asked"]).select("slide", "rank", "i", "score", "text")
 
 
 # Short names of journals in file names.

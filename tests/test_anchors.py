@@ -87,3 +87,29 @@ def test_ranked(spark):
     got = {r["i"]: r["n"] for r in P.ranked(spark.createDataFrame(rows, "g string, x int, i int"), ("g",), ("x", "i"), "n").collect()}
     want = {r[2]: k + 1 for g in ("a", "b", None) for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])))}
     assert got == want
+
+
+def joined_rows(df):
+    """The rows that each join of the plan of ``df`` gave."""
+    rows = df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif name != "ReusedExchangeExec":
+            if "Join" in name:
+                out.append(p.metrics().get("numOutputRows").get().value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows, out
+
+
+def test_slides_and_lines_of_one_word_are_not_paired(spark):
+    slides = spark.range(2000).select(F.col("id").alias("slide"), F.lit("f").alias("file"), F.lit("a TMA and HUS").alias("text"))
+    lines = spark.range(2000).select(F.lit("f").alias("file"), F.col("id").alias("i"), F.concat(F.col("id").cast("string"), F.lit(" of TMA")).alias("text"))
+    rows, joined = joined_rows(A.anchors(slides, lines))
+    assert len(rows) == 6000 and {(r["rank"], r["i"], r["score"]) for r in rows} == {(1, 0, 8), (2, 1, 8), (3, 2, 8)}
+    assert joined and max(joined) <= 6000
