@@ -2,7 +2,8 @@
 
 Points are looked up through n-gram postings of each document: of every way to write a
 point, the rarest of its n-grams leads to the places that may hold it, and only these are
-compared. No document's points meet all of its places.
+compared. No document's points meet all of its places. Of a place's n-grams only those are posted that a
+mask of fixed size, of the bits of what the document's points are made of, lets through.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ PROV = f"array<struct<page_no:int,bbox:{BOX}>>"
 #: What is read of a document's JSON; other fields are left alone.
 DOCUMENT = f"struct<tables:array<struct<prov:{PROV},data:struct<table_cells:array<struct<text:string,bbox:{BOX},start_row_offset_idx:int,start_col_offset_idx:int>>>>>,texts:array<struct<text:string,prov:{PROV}>>>"
 GRAM = 3  #: letters of an n-gram; shorter writings are looked up whole
+WORDS = 16  #: words of 64 bits in the mask of a document's n-grams
 HEAD = 30  #: fixed value: letters by which two places of a page count as one
 
 
@@ -53,10 +55,16 @@ def find_points(found: DataFrame, points: DataFrame, key: str = "doc") -> DataFr
     asked = points.where(F.trim(s(F.col("point"))) != "").select(key, "point").distinct()
     written = asked.select(key, "point", F.posexplode(number_variants(F.col("point"))).alias("v", "variant")).withColumn("low", F.lower("variant"))
     size = F.least(F.length("low"), F.lit(GRAM))
-    sizes = written.groupBy(key).agg(F.sort_array(F.collect_set(size)).alias("sizes"))  # at most GRAM numbers
-    posted = found.join(sizes, key).select(key, "place", F.explode(_grams(F.lower("text"), F.col("sizes"))).alias("gram"))
+    written = written.withColumn("grams", _grams(F.col("low"), F.array(size)))
+    place_of = lambda g: F.pmod(F.xxhash64(g), F.lit(64 * WORDS)).cast("int")
+    pieces = written.select(key, size.alias("size"), F.explode("grams").alias("gram")).withColumn("bit", place_of(F.col("gram")))
+    marks = [F.bit_or(F.when(F.shiftright("bit", 6) == i, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long"))) for i in range(WORDS)]
+    masks = pieces.groupBy(key).agg(F.array(*marks).alias("mask"), F.sort_array(F.collect_set("size")).alias("sizes"))  # at most GRAM numbers
+    let_through = lambda p: F.call_function("shiftrightunsigned", F.get("mask", F.shiftright(p, 6)), p % 64).bitwiseAND(F.lit(1)) == 1
+    grams = F.filter(_grams(F.lower("text"), F.col("sizes")), lambda g: let_through(place_of(g)))
+    posted = found.join(masks, key).select(key, "place", F.explode(grams).alias("gram"))
     often = posted.groupBy(key, "gram").agg(F.count("*").alias("n"))
-    wanted = written.withColumn("gram", F.explode(_grams(F.col("low"), F.array(size)))).join(often, [key, "gram"], "left")
+    wanted = written.withColumn("gram", F.explode("grams")).drop("grams").join(often, [key, "gram"], "left")
     rarest = wanted.groupBy(key, "point", "v", "variant", "low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("missing"))
     near = rarest.where("missing = 0").join(posted, [key, "gram"]).drop("gram", "missing")
     hits = near.join(found, [key, "place"]).where(F.contains(F.lower("text"), F.col("low")))

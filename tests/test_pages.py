@@ -180,3 +180,25 @@ def test_context_lines(spark):
         if near:
             want[p, t] = " / ".join(line for _, line in near)
     assert got == want
+
+
+def test_only_what_points_ask_for_is_posted(spark):
+    from quillstone.operators import placed
+
+    text = F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(3)])
+    spots = spark.range(500).select(F.lit(1).alias("doc"), F.struct(F.lit(1).alias("rank"), F.lit(0).alias("table"), F.col("id").cast("int").alias("i")).alias("place"), F.lit("text").alias("kind"), F.lit(None).cast("int").alias("table"), F.lit(1).alias("page"), F.lit(None).cast(placed.BOX).alias("box"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.when(F.col("id") == 77, "it is qqzzyy here").otherwise(text).alias("text"))
+    df = placed.find_points(spots, spark.createDataFrame([(1, "QqZzyy")], "doc int, point string"))
+    assert [(r["variant"], r["text"]) for r in df.collect()] == [("QqZzyy", "it is qqzzyy here")]
+    todo, spread = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            if name == "GenerateExec":
+                spread.append(p.metrics().get("numOutputRows").get().value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert spread and max(spread) < 5000  # of 45,000 n-grams
