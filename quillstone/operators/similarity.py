@@ -93,8 +93,8 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), order).alias("r")).select(key, "r.*")
 
 
-QUERY_BYTES = 64 << 20  #: bytes of the query vectors that are searched at once
-SCORES = 8 << 20  #: scores that are worked out at once
+QUERY_BYTES = 32 << 20  #: bytes of the query vectors that are searched at once
+SCORES, SLICE = 1 << 20, 1024  #: scores that are worked out at once, and of how many queries
 
 
 def nearest(items: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -113,34 +113,61 @@ def nearest(items: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
     out = None
     for b in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "vec").toArrow()  # about query_bytes
+        if not mine.num_rows:
+            continue
         part = _block(items, mine, k, metric)
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _keep(score: np.ndarray, ids: np.ndarray, have: np.ndarray, least: np.ndarray, row: np.ndarray, s_: np.ndarray, mine: np.ndarray) -> None:
+    """Put further scores of the queries ``row`` among the k best that ``score`` and ``ids`` hold, in their places."""
+    k = score.shape[1]
+    old, place = np.nonzero((np.arange(k)[None] < have[:, None]) & np.isin(np.arange(len(have)), row)[:, None])
+    row, s_, mine = np.concatenate([old, row]), np.concatenate([score[old, place], s_]), np.concatenate([ids[old, place], mine])
+    order = np.lexsort((mine, -s_, row))
+    row, s_, mine = row[order], s_[order], mine[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    count = np.diff(np.r_[first, len(row)])
+    place = np.arange(len(row)) - np.repeat(first, count)
+    best = place < k
+    score[row[best], place[best]], ids[row[best], place[best]] = s_[best], mine[best]
+    have[row[first]] = np.minimum(count, k)
+    full = row[first[count >= k]]
+    least[full] = score[full, k - 1]
+
+
 def _block(items: DataFrame, queries: pa.Table, k: int, metric: str) -> DataFrame:
     names = np.asarray(queries.column("query").combine_chunks())
     q = np.array(queries.column("vec").to_pylist(), np.float64)
+    own = np.linalg.norm(q, axis=1) if metric == "cosine" else (q * q).sum(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
-        each = max(1, SCORES // max(1, len(q)))
+        score, ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        have = np.zeros(len(q), np.int64)  # places of a query that are taken, in order from the first
+        least = np.full(len(q), -np.inf)  # what an item must reach
+        each = max(1, SCORES // SLICE)
         for batch in (whole.slice(i, each) for whole in batches for i in range(0, whole.num_rows, each)):
             mine, vec = np.asarray(batch.column(0)), batch.column(1)
             fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(vec), q.shape[1]), False))
             x = np.zeros((batch.num_rows, q.shape[1]))
             x[fits] = np.asarray(vec.filter(pa.array(fits)).flatten()).reshape(-1, q.shape[1])
-            if metric == "cosine":
-                n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                s_ = np.divide(q @ x.T, n, out=np.zeros((len(q), len(x))), where=n > 0)
-            else:
+            if metric != "cosine":
                 mine, x = mine[fits], x[fits]
-                s_ = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
-            score = np.concatenate([score, s_], 1)
-            ids = np.concatenate([ids, np.broadcast_to(mine, s_.shape)], 1)
-            keep = np.lexsort((ids, -score), axis=1)[:, :k]
-            score, ids = np.take_along_axis(score, keep, 1), np.take_along_axis(ids, keep, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, score.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], names=["query", "id", "score"])
+            size = np.linalg.norm(x, axis=1)[None] if metric == "cosine" else (x * x).sum(1)[None]
+            for at in range(0, len(q), SLICE):
+                part = q[at : at + SLICE]
+                s_ = part @ x.T
+                if metric == "cosine":
+                    n = own[at : at + SLICE, None] * size
+                    s_ = np.divide(s_, n, out=np.zeros_like(s_), where=n > 0)
+                else:
+                    s_ = -np.sqrt(np.maximum(own[at : at + SLICE, None] + size - 2 * s_, 0))
+                row, col = np.nonzero(~(s_ < least[at : at + SLICE, None]))  # ties stay in, and what is no number
+                if len(row):
+                    _keep(score[at : at + SLICE], ids[at : at + SLICE], have[at : at + SLICE], least[at : at + SLICE], row, s_[row, col], mine[col])
+        row, place = np.nonzero(np.arange(k)[None] < have[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[row, place]), pa.array(score[row, place])], names=["query", "id", "score"])
 
     return items.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, "query long, id long, score double")

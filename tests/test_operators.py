@@ -349,3 +349,32 @@ def test_nearest_pairs(spark):
 def test_pending(spark):
     d = spark.createDataFrame([("a",), ("",), ("b",)], "doi string")
     assert sorted(r["doi"] for r in R.pending(d, spark.createDataFrame([("",), ("b",)], "doi string"), "doi").collect()) == ["", "a"]
+
+
+def test_nearest_memory(spark):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Items:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = np.random.default_rng(3)
+    n, m, width = 3000, 6000, 8
+    q, x = rng.integers(0, 3, (n, width)).astype(float), rng.integers(0, 3, (m, width)).astype(float)
+    table = pa.table({"query": pa.array(np.arange(n)), "vec": pa.array(list(q), pa.list_(pa.float64()))})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "vec"])
+    run = M._block(Items(), table, 5, "euclid")
+    tracemalloc.start()
+    out = list(run(iter([batch.slice(0, 2500), batch.slice(2500)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    got = np.array(out[0].column(1)).reshape(n, 5)
+    for i in range(0, n, 100):  # squares are whole numbers: many ties, which go to the lower id
+        assert got[i].tolist() == np.lexsort((np.arange(m), ((x - q[i]) ** 2).sum(1)))[:5].tolist()
