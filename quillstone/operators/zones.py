@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import cases, has, rx, s
+from ..functions.ids import cases, has, let, rx, s
 
 # Kinds of content that are never marked.
 FORBIDDEN_KINDS = tuple("title article_title section_title author authors affiliation correspondence reference references bibliography cited literature_cited header footer running_head journal_info acknowledgment acknowledgements".split())
@@ -90,8 +90,14 @@ def _percent(x: Column, places: int = 0) -> Column:
 
 def forbidden_text(text: Column, kind: Column) -> Column:
     """Why a text is not to be marked: its kind, or the first wording that tells authors, references, statements or page headers; null if nothing does."""
-    t = s(text)
-    authors = sum((found(t, "(?m)" + p).cast("int") for p in AUTHOR_WORDING[1:]), found(t, "(?m)" + AUTHOR_WORDING[0]).cast("int"))
+    return let(s(text), lambda t: let(_authors(t), lambda authors: _forbidden(t, kind, authors)))
+
+
+def _authors(t: Column) -> Column:
+    return sum((found(t, "(?m)" + p).cast("int") for p in AUTHOR_WORDING[1:]), found(t, "(?m)" + AUTHOR_WORDING[0]).cast("int"))
+
+
+def _forbidden(t: Column, kind: Column, authors: Column) -> Column:
     brackets = F.regexp_count(t, F.lit(BRACKETS))
     say = lambda x: F.concat(F.lit("text_pattern="), x if isinstance(x, Column) else F.lit(x))
     rules = [
@@ -168,7 +174,15 @@ def violations(text: Column, x1: Column, y1: Column, x2: Column, y2: Column, pag
 
     Pages taller than 1,500 are scans, with narrower zones. ``text`` is what the highlight covers.
     """
-    t = F.trim(s(text), F.lit(" \t\r\n\f\x0b"))
+    return let(F.trim(s(text), F.lit(" \t\r\n\f\x0b")), lambda t: let(F.struct(*[_first(t, ps).alias(name) for name, ps in BROKEN.items()]), lambda broken: _violations(t, broken, x1, y1, x2, y2, page, pages, width, height)))
+
+
+def _first(t: Column, patterns: tuple[str, ...]) -> Column:
+    """The first of the patterns that ``t`` holds, null if none."""
+    return cases([(found(t, "(?im)" + p), p) for p in patterns], F.lit(None).cast("string"))
+
+
+def _violations(t: Column, broken: Column, x1: Column, y1: Column, x2: Column, y2: Column, page: Column, pages: Column, width: Column, height: Column) -> Column:
     scan = height > 1500
     zone = lambda narrow, usual: (page == 0) & (y1 < height * F.when(scan, narrow).otherwise(usual))
     title, author, chinese = zone(0.01, 0.08), zone(0.02, 0.15), zone(0.05, 0.30) & found(t, r"[\x{4e00}-\x{9fff}]")
@@ -185,11 +199,11 @@ def violations(text: Column, x1: Column, y1: Column, x2: Column, y2: Column, pag
         (tall > 0.5, "too_tall", F.concat(F.lit("h="), _percent(tall))),
         (x2 - x1 < 8, "too_narrow", F.format_string("w=%.0fpx", x2 - x1)),
     ]
-    for name, patterns in BROKEN.items():
-        first = cases([(found(t, "(?im)" + p), p) for p in patterns], F.lit(None).cast("string"))
+    for name in BROKEN:
+        first = broken[name]
         rules.append((first.isNotNull(), name, F.concat(F.lit("pat="), first, F.lit(", "), quoted)))
     rules += [(found(t, NUMBERS_ONLY), "ref_numbers_only", quoted), ((t != "") & found(t, ITEMS_ONLY), "numbered_list_only", quoted)]
-    references = cases([(found(t, "(?im)" + p), True) for p in BROKEN["ref_text"]], False)
+    references = broken["ref_text"].isNotNull()
     where = F.concat(F.format_string("pno=%d/%d, y0=", page, pages - 1), _percent(y1 / height, 1))
     rules.append(((page >= pages - 1) & (y1 > height * 0.3) & references, "ref_section", where))
     return F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(name).alias("violation"), detail.alias("detail"))) for rule, name, detail in rules]))
