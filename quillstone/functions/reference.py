@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ids import cases, rx, s
+from .ids import cases, let, rx, s
 
 FIELDS = ("authors", "title", "journal", "year", "volume", "issue", "pages")
 #: Meetings whose abstracts are cited, longer names first.
@@ -50,21 +50,45 @@ def parse_reference(text: Column) -> Column:
     A meeting's abstract has authors, year, meeting and number; a reference without
     a journal and a year after its first full stop has only the first year in it.
     """
-    d = F.trim(s(text))
-    first = lambda p: F.regexp_extract(d, p, 1)
-    year = first(r"(?<!\w)(\d{4})(?!\w)")
+    # each step is worked out once
+    return let(F.trim(s(text)), lambda d: let(_body(d), lambda b: let(_journal(b["body"]), lambda j: let(_tail_of(b["body"], j), lambda tail: _fields(d, b, j, tail)))))
+
+
+def _body(d: Column) -> Column:
+    """(authors, title, body): what stands before the first full stop, up to ``[J]``, and behind."""
     authors = _last_of(F.when(F.contains(d, F.lit(".")), F.substring_index(d, ".", 1)).otherwise(""))
     rest = F.when(rx(d, r"\.\s"), F.regexp_replace(d, r"^[^.]*\.\s+", "")).otherwise("")
-    titled = F.contains(rest, F.lit("[J]"))
-    body = _last_of(F.when(titled, F.substring_index(rest, "[J]", -1)).otherwise(rest))
-    journal = F.regexp_extract(body, r"(?i)^(\D*?)(?:\bvol\.|\d|$)", 1)
-    tail = _tail(F.substring(body, F.length(journal) + 1, F.length(body)))
-    values = {"authors": authors, "title": F.when(titled, _last_of(F.substring_index(rest, "[J]", 1))).otherwise(""), "journal": _last_of(journal), **tail}
+
+    def parts(rest: Column) -> Column:
+        titled = F.contains(rest, F.lit("[J]"))
+        title = F.when(titled, _last_of(F.substring_index(rest, "[J]", 1))).otherwise("")
+        return F.struct(authors.alias("authors"), title.alias("title"), _last_of(F.when(titled, F.substring_index(rest, "[J]", -1)).otherwise(rest)).alias("body"))
+
+    return let(rest, parts)
+
+
+def _journal(body: Column) -> Column:
+    return F.regexp_extract(body, r"(?i)^(\D*?)(?:\bvol\.|\d|$)", 1)
+
+
+def _tail_of(body: Column, journal: Column) -> Column:
+    return let(F.substring(body, F.length(journal) + 1, F.length(body)), lambda numbers: F.struct(*[v.alias(k) for k, v in _tail(numbers).items()]))
+
+
+def _fields(d: Column, b: Column, journal: Column, tail: Column) -> Column:
+    first = lambda p: F.regexp_extract(d, p, 1)
+    year, authors = first(r"(?<!\w)(\d{4})(?!\w)"), b["authors"]
+    values = {"authors": authors, "title": b["title"], "journal": _last_of(journal), **{k: tail[k] for k in ("year", "volume", "issue", "pages")}}
     whole = (values["journal"] != "") & (tail["year"] != "")
 
     named = rf"(?i)(\d{{4}})\s*({'|'.join(MEETINGS)})(?![A-Za-z])"
     beside = rx(d, named)
     meeting = beside | rx(d, f"(?i)(?:{'|'.join(MEETING_WORDS)})")
+    return let(F.struct(beside.alias("beside"), meeting.alias("meeting"), whole.alias("whole")), lambda is_: _reference(d, named, values, year, is_["beside"], is_["meeting"], is_["whole"]))
+
+
+def _reference(d: Column, named: str, values: dict[str, Column], year: Column, beside: Column, meeting: Column, whole: Column) -> Column:
+    authors, first = values["authors"], lambda p: F.regexp_extract(d, p, 1)
     number = first(rf"(?i)(?:{'|'.join(NUMBERED)})\s*(\w*\d\w*)")
     # else the word that follows the meeting, if it has a figure in it
     number = F.when(number != "", number).otherwise(F.when(beside, F.regexp_extract(d, rf"{named}{MARKS}+(\w*\d\w*)", 3)).otherwise(""))
