@@ -97,13 +97,17 @@ def slide_data_points(text: Column) -> Column:
     Single figures without decimals or a per cent sign say nothing. A number with the sign counts with and without it, one of up to 100 that
     no unit follows gets it. Terms count whatever their case.
     """
-    part = lambda i: F.regexp_extract_all(s(text), F.lit(NUMBER), F.lit(i))
+    return let(s(text), _slide_data_points)
+
+
+def _slide_data_points(text: Column) -> Column:
+    part = lambda i: F.regexp_extract_all(text, F.lit(NUMBER), F.lit(i))
     found = F.zip_with(F.zip_with(part(1), part(2), lambda v, p: F.struct(v.alias("v"), p.alias("p"))), part(3), lambda x, u: F.struct(x["v"].alias("v"), x["p"].alias("p"), u.alias("u")))
     number = lambda x: x["v"].cast("double")
     told = F.filter(found, lambda x: ~((number(x) < 10) & (x["p"] == "") & ~F.contains(x["v"], F.lit("."))))
     twin = lambda x: (x["p"] == "%") | ((number(x) <= 100) & (x["u"] == ""))
     points = F.flatten(F.transform(told, lambda x: F.when(twin(x), F.array(x["v"], F.concat(x["v"], F.lit("%")))).otherwise(F.array(x["v"]))))
-    terms = F.filter(F.array(*[F.lit(t) for t in SLIDE_TERMS]), lambda t: F.contains(F.lower(s(text)), F.lower(t)))
+    terms = let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in SLIDE_TERMS])))
     return F.array_distinct(F.concat(points, terms))
 
 
