@@ -170,20 +170,25 @@ def expand_marks(marks: Column) -> Column:
 
 def number_variants(value: Column) -> Column:
     """Ways to write a number: with one to three decimals, without trailing zeros, with and without a per cent sign."""
-    bare = F.regexp_replace(s(value), "%+$", "")
-    number = F.when(rx(bare, r"^-?\d+(\.\d+)?$"), bare).cast("double")
-    percent = has(s(value), "%")
-    fixed = [F.format_string(f"%.{p}f", number) for p in (1, 2, 3)]
-    short = [F.regexp_replace(F.regexp_replace(f, "0+$", ""), r"\.$", "") for f in fixed]
-    steps = []
-    for a, b in zip(short, fixed, strict=True):
-        steps += [F.when(a != bare, a), b]
-    plain = F.filter(F.array(*steps), lambda x: x.isNotNull())
-    signed = F.transform(plain, lambda x: F.concat(x, F.lit("%")))
+    bare = lambda v: F.regexp_replace(v, "%+$", "")
+    number = lambda b: F.when(rx(b, r"^-?\d+(\.\d+)?$"), b).cast("double")
+    # each step is worked out once
+    return let(s(value), lambda v: let(bare(v), lambda b: let(number(b), lambda n: F.when(n.isNull(), F.array(v)).otherwise(let(_decimals(b, n), lambda plain: _variants(v, b, n, plain))))))
+
+
+def _decimals(bare: Column, number: Column) -> Column:
+    """A number with one to three decimals, each behind what is left without its zeros, unless that is how it was written."""
+    fixed = F.array(*[F.format_string(f"%.{p}f", number) for p in (1, 2, 3)])
+    short = lambda f: F.regexp_replace(F.regexp_replace(f, "0+$", ""), r"\.$", "")
+    return F.flatten(F.transform(fixed, lambda f: let(short(f), lambda a: F.when(a != bare, F.array(a, f)).otherwise(F.array(f)))))
+
+
+def _variants(value: Column, bare: Column, number: Column, plain: Column) -> Column:
     both = F.flatten(F.transform(plain, lambda x: F.array(x, F.concat(x, F.lit("%")))))
-    with_sign = F.array_distinct(F.concat(F.array(s(value)), both, F.array(bare)))
-    without = F.concat(F.array(s(value)), plain)
-    return F.when(number.isNull(), F.array(s(value))).when(percent, with_sign).when(number <= 100, F.array_distinct(F.concat(without, F.array(F.concat(bare, F.lit("%"))), signed))).otherwise(F.array_distinct(without))
+    with_sign = F.array_distinct(F.concat(F.array(value), both, F.array(bare)))
+    without = F.concat(F.array(value), plain)
+    signed = F.transform(plain, lambda x: F.concat(x, F.lit("%")))
+    return F.when(has(value, "%"), with_sign).when(number <= 100, F.array_distinct(F.concat(without, F.array(F.concat(bare, F.lit("%"))), signed))).otherwise(F.array_distinct(without))
 
 
 def data_points(text: Column) -> Column:

@@ -152,6 +152,6 @@ def verify_cascade(df: DataFrame, references: list[tuple[str, DataFrame, str]])
 
 def alignment(points: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     """(by, n, found, ratio): how many of an item's points (by, point) its text (by, text) holds, in any way to write them."""
-    x = points.join(texts, by)
-    found = F.exists(T.number_variants(F.col("point")), lambda v: F.contains(F.lower("text"), F.lower(v)))
+    x = points.join(texts.withColumn("text", F.lower("text")), by)
+    found = F.exists(T.number_variants(F.col("point")), lambda v: F.contains(F.col("text"), F.lower(v)))
     return x.groupBy(by).agg(F.count("*").alias("n"), F.count_if(found).alias("found")).withColumn("ratio", F.col("found") / F.col("n"))
