@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ JOURNALS = (
 )
 LIGAND, LYMPHOCYTE = "程序性死亡配体", "细胞毒性T淋巴细胞"
 LARGEST, WIDEST = 24, 5  #: fixed values: the largest mark of a text line, the widest range
+SHAPES, ROWS = 1_000, 10_000  #: fixed values: shapes of a slide, and rows of a table, that are dealt out together
 
 CELL_MARKS = (r"[\x{4E00}-\x{9FFF}]+([0-9,]+)", r"[A-Z]+\+Y?\s*([0-9,]+)")
 NUMBER_LINE = r"^[0-9]+\.?[0-9]*$"
@@ -58,10 +61,10 @@ def line_marks(line: Column) -> Column:
     spans WIDEST at most, or numbers with commas, of which those up to LARGEST are marks.
     """
     explains = (F.size(F.split(line, "PD-L1")) >= 3) | (has(line, "PD-L1") & has(line, "CTLA-4")) | has(line, LIGAND, LYMPHOCYTE)
-    none = rx(line, NUMBER_LINE) | (rx(line, TERM_LINE) & (explains | rx(line, TERM_END)))
+    none = ~rx(line, "[0-9]$") | rx(line, NUMBER_LINE) | ((explains | rx(line, TERM_END)) & rx(line, TERM_LINE))  # the long patterns last
     for pattern in EXCLUDED:
         none = none | rx(line, pattern)
-    first, last = (F.regexp_extract(line, RANGE_END, i).try_cast("long") for i in (1, 2))
+    first, last = (F.when(end != "", end).cast("long") for end in (F.regexp_extract(line, RANGE_END, i) for i in (1, 2)))  # a cast that fails costs more than the rest
     span = (first <= last) & (last <= LARGEST) & (last - first <= WIDEST)
     listed = F.transform(F.regexp_extract_all(F.regexp_extract(line, LIST_END, 1), F.lit("[0-9]+"), F.lit(0)), lambda n: n.cast("long"))
     empty = F.array().cast("array<long>")
@@ -77,16 +80,24 @@ def citation_marks(texts: DataFrame, rows: DataFrame) -> DataFrame:
     has a mark gives its place, within a table the first cell; among texts the first
     line. Null texts and cells have no marks; ties of repeated rows go to the smaller name, context and row.
     """
-    spread = [F.struct(F.lit(c).alias("col"), F.lit(name).alias("column"), stripped(F.get("cells", F.lit(c))).alias("context")) for c, name in COLUMNS]
+    # Rows and texts go whole to where their slide's others are, so that a mark's places are compared there before its first goes on; a hot slide is dealt out in parts.
+    part = F.floor(F.col("shape") / SHAPES)
+    marked = reduce(lambda a, b: a | b, [rx(s(F.get("cells", F.lit(c))), p) for c, _ in COLUMNS for p in CELL_MARKS])
+    rows = rows.where(F.col("row") > 0).where(marked).select("slide", "shape", "name", "row", "cells").repartition("slide", part, F.floor(F.col("row") / ROWS))
+    texts = texts.where(rx(F.col("text"), "[0-9]")).select("slide", "shape", "name", "text").repartition("slide", part)
+    # Outer explosions, as before others Spark works the marks out once more, to see whether there are any.
+    spread = [F.struct(F.lit(c).alias("col"), stripped(F.get("cells", F.lit(c))).alias("context")) for c, _ in COLUMNS]
     line = F.array_join(F.transform("cells", stripped), " | ")
-    cells = rows.where("row > 0").select("slide", "shape", "name", "row", line.alias("row_context"), F.explode(F.array(*spread)).alias("cell"))
-    in_cells = cells.select("slide", "shape", "name", "row", "row_context", "cell.*", F.explode(cell_marks(F.col("cell.context"))).alias("mark"))
-    in_cells = in_cells.select("slide", "mark", F.struct(F.lit(0), -F.col("shape"), "row", "col", "name", "context", "row_context").alias("at"), F.struct(F.lit("table").alias("kind"), "shape", "name", F.col("row").cast("int").alias("row"), "column", "context", "row_context").alias("found"))
-    lines = texts.select("slide", "shape", "name", F.posexplode(F.split(s(F.col("text")), "\n")).alias("place", "line")).withColumn("line", stripped(F.col("line")))
-    lines = lines.withColumn("m", line_marks(F.col("line")))
-    in_lines = lines.select("slide", "shape", "name", "place", "line", F.col("m.kind").alias("kind"), F.explode("m.marks").alias("mark"))
-    nothing = F.lit(None).cast("string")
-    found = F.struct("kind", "shape", "name", F.lit(None).cast("int").alias("row"), nothing.alias("column"), F.col("line").alias("context"), nothing.alias("row_context"))
-    in_lines = in_lines.select("slide", "mark", F.struct(F.lit(1), F.col("shape"), "place", F.lit(0), "name", "line", F.lit("")).alias("at"), found.alias("found"))
-    every = in_cells.union(in_lines)
-    return every.groupBy("slide", "mark").agg(F.min_by("found", "at").alias("found")).select("slide", "mark", "found.*")
+    cells = rows.select("slide", "shape", "name", "row", line.alias("row_context"), F.explode(F.array(*spread)).alias("cell"))
+    in_cells = cells.select("slide", "shape", "name", "row", "row_context", "cell.*", F.explode_outer(cell_marks(F.col("cell.context"))).alias("mark")).where("mark IS NOT NULL")
+    in_cells = in_cells.select("slide", "mark", F.struct(F.lit(0).alias("o"), (-F.col("shape")).alias("shape"), F.col("row").alias("place"), "col", "name", "context", "row_context", F.lit("table").alias("kind")).alias("at"))
+    lines = texts.select("slide", "shape", "name", F.posexplode(F.split(F.col("text"), "\n")).alias("place", "line")).withColumn("line", stripped(F.col("line")))
+    in_lines = lines.select("slide", "shape", "name", "place", "line", line_marks(F.col("line")).alias("m")).select("slide", "shape", "name", "place", "line", F.col("m.kind").alias("kind"), F.explode_outer("m.marks").alias("mark")).where("mark IS NOT NULL")
+    in_lines = in_lines.select("slide", "mark", F.struct(F.lit(1).alias("o"), "shape", "place", F.lit(0).alias("col"), "name", F.col("line").alias("context"), F.lit("").alias("row_context"), "kind").alias("at"))
+    first = in_cells.union(in_lines).groupBy("slide", "mark").agg(F.min("at").alias("at"))
+    table = F.col("at.o") == 0
+    column = cases([(F.col("at.col") == c, name) for c, name in COLUMNS], None)
+    return first.select(
+        "slide", "mark", "at.kind", F.when(table, -F.col("at.shape")).otherwise(F.col("at.shape")).alias("shape"), "at.name", F.when(table, F.col("at.place").cast("int")).alias("row"),
+        F.when(table, column).alias("column"), "at.context", F.when(table, F.col("at.row_context")).alias("row_context"),
+    )

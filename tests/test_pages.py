@@ -42,6 +42,31 @@ def test_marks_of_slides(spark):
     assert marks.citation_marks(none, spark.createDataFrame([], "slide int, shape int, name string, row int, cells array<string>")).count() == 0
 
 
+def test_marks_of_a_slide_in_parts(spark):
+    n, long = marks.SHAPES, marks.ROWS
+    rows = [(1, i, "T", 1, ["r", f"甲{i % 7}", f"乙{i % 5 + 90}"]) for i in range(0, 3 * n, 97)] + [(1, 3 * n, "U", i, [None, f"丙{i % 3}"]) for i in range(1, 3 * long, long // 5)] + [(2, 1, "V", 1, ["9", "x", None])]
+    texts = [(1, i, "S", f"a {i % 20}\n b {i % 24}") for i in range(1, 3 * n, 61)] + [(2, 5 * n, "S", "c 1-2"), (2, 2 * n, "R", "d 2"), (2, 2 * n, "Q", "d 2")]
+    want = {}
+    for slide, shape, name, row, cells in rows:
+        for col in (1, 2):
+            x = (cells[col : col + 1] or [None])[0]
+            if x and x[1:]:
+                at = ((0, -shape, row, col, name, x, " | ".join(c or "" for c in cells)), ("table", shape, name, row, dict(marks.COLUMNS)[col], x, " | ".join(c or "" for c in cells)))
+                want[slide, int(x[1:])] = min(at, want.get((slide, int(x[1:])), at))
+    for slide, shape, name, text in texts:
+        for place, x in enumerate(text.split("\n")):
+            for mark in (1, 2) if "-" in x else (int(x.split()[-1]),):
+                at = ((1, shape, place, 0, name, x.strip(), ""), ("text_range" if "-" in x else "text", shape, name, None, None, x.strip(), None))
+                want[slide, mark] = min(at, want.get((slide, mark), at), key=lambda v: v[0])
+    got = marks.citation_marks(
+        spark.createDataFrame(texts, "slide int, shape int, name string, text string").repartition(5), spark.createDataFrame(rows, "slide int, shape int, name string, row int, cells array<string>").repartition(7)
+    )
+    assert {(r["slide"], r["mark"]): tuple(r)[2:] for r in got.collect()} == {k: v[1] for k, v in want.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and plan.count("RepartitionByExpression [slide") == 2  # strings go once; a mark's places meet before they are sorted
+    assert "try_cast" not in plan and "Filter ((size(" not in plan and plan.count(marks.TERM_LINE) == 1  # marks are worked out once
+
+
 def document(cells, texts):
     box = {"l": 1.0, "t": 2.0, "r": 3.0, "b": 4.0, "coord_origin": "TOPLEFT"}
     tables = [{"prov": [{"page_no": p, "bbox": box}], "data": {"table_cells": [{"text": t, "bbox": box, "start_row_offset_idx": r, "start_col_offset_idx": c} for t, r, c in rows]}} for p, rows in cells]
