@@ -65,20 +65,38 @@ def notes(cell: Column) -> Column:
 
 def keywords(citation: Column, context: Column, known: tuple[str, ...], journals: tuple[str, ...], least: float = 0.3, most: int = 12) -> Column:
     """Terms (term, confidence, kind) by confidence: per cents 0.9, hazard ratios 0.85, known terms 0.85, frequent Chinese words 0.6 or 0.4, journals 0.5, years 0.4, the surname 0.3; ``most`` at most."""
-    full = F.concat_ws(" ", s(citation), s(context))
-    item = lambda t, c, k: F.struct(F.lit(c).cast("double").alias("confidence"), t.alias("term"), F.lit(k).alias("kind"))
-    every = lambda p, i=0: F.regexp_extract_all(full, F.lit(p), F.lit(i))
-    per_cent = F.transform(every(r"(\d+\.?\d*)\s*%", 1), lambda x: item(F.concat(x, F.lit("%")), 0.9, "percentage"))
-    ratio = F.flatten(F.transform(every(r"(?i)HR\s*[=:]?\s*(\d+\.?\d*)", 1), lambda x: F.array(item(F.concat(F.lit("HR "), x), 0.85, "hr"), item(F.concat(F.lit("HR="), x), 0.85, "hr"), item(x, 0.85, "hr"))))
-    listed = lambda words, c, k: F.filter(F.array(*[F.when(F.contains(full, F.lit(w)), item(F.lit(w), c, k)) for w in words]), lambda x: x.isNotNull())
-    chinese = F.regexp_extract_all(s(context), F.lit("[一-鿿]{2,4}"), F.lit(0))
-    counted = let(chinese, lambda cs: F.transform(F.array_distinct(cs), lambda w: F.struct(F.when(F.size(F.filter(cs, lambda v: v == w)) >= 2, 0.6).otherwise(0.4).alias("confidence"), w.alias("term"), F.lit("cn_term").alias("kind"))))
-    years = F.when(has(s(context), "发表", "年份"), F.transform(every(T.YEAR), lambda y: item(y, 0.4, "year"))).otherwise(F.array().cast("array<struct<confidence:double,term:string,kind:string>>"))
-    surname = F.filter(F.array(item(F.regexp_extract(s(citation), r"^\s*([A-Z][a-zA-Z\-]+)", 1), 0.3, "author_surname")), lambda x: x["term"] != "")
-    found = F.concat(per_cent, ratio, listed(known, 0.85, "drug_or_trial"), listed(journals, 0.5, "journal"), counted, years, surname)
-    best = let(found, lambda fs: F.filter(fs, lambda x: (x["confidence"] >= least) & ~F.exists(fs, lambda y: (y["term"] == x["term"]) & (y["confidence"] > x["confidence"]))))
-    ordered = F.array_sort(F.array_distinct(best), lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).when(a["term"] < b["term"], -1).when(a["term"] > b["term"], 1).otherwise(0))
-    return F.slice(ordered, 1, most)
+    weights = {"percentage": 0.9, "hr": 0.85, "drug_or_trial": 0.85, "cn_term": 0.6, "journal": 0.5, "rare_cn_term": 0.4, "year": 0.4, "author_surname": 0.3}
+    none = F.array().cast("array<string>")
+
+    def terms(full: Column) -> Column:
+        every = lambda p, i=0: F.regexp_extract_all(full, F.lit(p), F.lit(i))
+        listed = lambda words: F.array_compact(F.array(*[F.when(F.contains(full, F.lit(w)), F.lit(w)) for w in words])) if words else none
+        # Most texts have neither sign: a look for it costs less than the pattern.
+        per_cent = F.when(F.contains(full, F.lit("%")), F.transform(every(r"(\d+\.?\d*)\s*%", 1), lambda x: F.concat(x, F.lit("%")))).otherwise(none)
+        ratio = F.flatten(F.transform(every(r"(?i)HR\s*[=:]?\s*(\d+\.?\d*)", 1), lambda x: F.array(F.concat(F.lit("HR "), x), F.concat(F.lit("HR="), x), x)))
+        chinese = F.regexp_extract_all(s(context), F.lit("[一-鿿]{2,4}"), F.lit(0))
+        counted = let(chinese, lambda cs: F.struct(cs.alias("every"), F.filter(cs, lambda w: F.array_position(cs, w) < F.size(cs) - F.array_position(F.reverse(cs), w) + 1).alias("again")))
+        years = F.when(has(s(context), "发表", "年份"), every(T.YEAR)).otherwise(none)
+        surname = F.array_remove(F.array(F.regexp_extract(s(citation), r"^\s*([A-Z][a-zA-Z\-]+)", 1)), "")
+        found = {"percentage": per_cent, "hr": ratio, "drug_or_trial": listed(known), "journal": listed(journals), "year": years, "author_surname": surname}
+        return F.struct(*[v.alias(k) for k, v in found.items()], counted.alias("counted"))
+
+    def items(weight: float, kinds: list[str], lists: list[Column]) -> Column:
+        """Distinct terms of one weight, by term, then in the order of the kinds."""
+        kind = lambda x: cases([(x["i"] == i, k.removeprefix("rare_")) for i, k in enumerate(kinds[1:], 1)], kinds[0].removeprefix("rare_"))
+        tagged = [F.transform(v, (lambda i: lambda x: F.struct(x.alias("term"), F.lit(i).alias("i")))(i)) for i, v in enumerate(lists)]
+        return F.transform(F.sort_array(F.concat(*tagged)), lambda x: F.struct(F.lit(weight).cast("double").alias("confidence"), x["term"].alias("term"), kind(x).alias("kind")))
+
+    def ordered(found: Column) -> Column:
+        of = {k: found["counted"]["again"] if k == "cn_term" else found["counted"]["every"] if k == "rare_cn_term" else found[k] for k in weights}
+        out, above = [], none
+        for weight in sorted({w for w in weights.values() if w >= least}, reverse=True):
+            kinds = [k for k in weights if weights[k] == weight]
+            out.append(items(weight, kinds, [F.array_except(of[k], above) for k in kinds]))  # a term counts with its highest weight
+            above = F.concat(above, *[of[k] for k in kinds])
+        return F.slice(F.concat(*out), 1, most) if out else F.array().cast("array<struct<confidence:double,term:string,kind:string>>")
+
+    return let(let(F.concat_ws(" ", s(citation), s(context)), terms), ordered)
 
 
 def term_variants(term: Column) -> Column:

@@ -34,7 +34,9 @@ def note_routes(spark, sf):
 
 def keyword_terms(spark, sf):
     r = view(spark, sf, "cite_lines_v")
-    return r.withColumn("ks", X.keywords(F.col("line"), F.lit("肝癌 生存 肝癌 发表"), KNOWN, JOURNALS)).select("k", F.explode("ks").alias("t")).groupBy("t.kind", "t.confidence").agg(F.count("*").alias("n"), F.countDistinct("t.term").alias("terms")).select("kind", "confidence", "n", "terms")
+    # An outer explosion, as before an inner one Spark works the terms out once more, to see whether there are any.
+    terms = r.select(F.explode_outer(X.keywords(F.col("line"), F.lit("肝癌 生存 肝癌 发表"), KNOWN, JOURNALS)).alias("t")).where("t IS NOT NULL")
+    return terms.groupBy("t.kind", "t.confidence").agg(F.count("*").alias("n"), F.countDistinct("t.term").alias("terms")).select("kind", "confidence", "n", "terms")
 
 
 def term_variants(spark, sf):

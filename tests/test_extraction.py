@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +47,35 @@ def test_keywords(spark):
     assert [x["confidence"] for x in k] == sorted((x["confidence"] for x in k), reverse=True)
 
 
+def brute_keywords(citation, context, known, journals, least, most):
+    full = f"{citation or ''} {context or ''}"
+    chinese = re.findall("[一-鿿]{2,4}", context or "")
+    found = [(0.9, x + "%", "percentage") for x in re.findall(r"(\d+\.?\d*)\s*%", full, re.A)]
+    found += [(0.85, t, "hr") for x in re.findall(r"HR\s*[=:]?\s*(\d+\.?\d*)", full, re.A | re.I) for t in (f"HR {x}", f"HR={x}", x)]
+    found += [(0.85, w, "drug_or_trial") for w in known if w in full] + [(0.5, w, "journal") for w in journals if w in full]
+    found += [(0.6 if chinese.count(w) > 1 else 0.4, w, "cn_term") for w in chinese]
+    found += [(0.4, y, "year") for y in re.findall(r"(?<![0-9A-Za-z_])(?:19\d{2}|20\d{2})(?![0-9A-Za-z_])", full) if "发表" in (context or "") or "年份" in (context or "")]
+    found += [(0.3, x, "author_surname") for x in re.findall(r"^\s*([A-Z][a-zA-Z\-]+)", citation or "")]
+    best = [x for x in dict.fromkeys(found) if x[0] >= least and not any(y[1] == x[1] and y[0] > x[0] for y in found)]
+    return sorted(best, key=lambda x: (-x[0], x[1].encode()))[:most]
+
+
+@pytest.mark.parametrize("known, journals, least, most", [(("Gut", "2020", "0.58", "肝癌"), ("Gut", "肝癌", "生存"), 0.3, 12), (("HR 0.58",), ("2021", "Finn"), 0.4, 3), ((), (), 0.85, 5), (("Gut", "Gut"), (), 0.95, 5)])
+def test_keywords_by_brute_force(spark, known, journals, least, most):
+    r = random.Random(3)
+    parts = ["Finn", " Gut ", "2020 ", "2021;", " HR 0.58 ", "hr=2020", "HR: 3.", " 14.4%", "7 %", "0.58 % ", " 肝癌 ", "肝癌生存期长", " 生存 ", " 年份 ", "发表 ", "x"]
+    rows = [tuple("".join(r.choices(parts, k=r.randrange(9))) for _ in range(2)) for _ in range(300)] + [(None, None), ("", ""), (None, "发表 2020"), ("Finn", None)]
+    got = spark.createDataFrame(rows, "citation string, context string").select("citation", "context", X.keywords(F.col("citation"), F.col("context"), known, journals, least, most).alias("k")).collect()
+    assert [[tuple(x) for x in g["k"]] for g in got] == [brute_keywords(g["citation"], g["context"], known, journals, least, most) for g in got]
+
+
+def test_keywords_are_worked_out_once(spark):
+    from quillstone.plans.extraction import keyword_terms
+
+    plan = keyword_terms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(" not in plan and "Filter ((size(" not in plan and plan.count(r"(?i)HR\s*[=:]?") == 1 and plan.count("concat_ws(") == 1
+
+
 @pytest.mark.parametrize("term, has", [("14.4%", "14.4％"), ("HR 0.5", "HR = 0.5"), ("n=12", "n = 12"), ("a b", "ab")])
 def test_term_variants(spark, term, has):
     assert has in one(spark, X.term_variants(F.lit(term)))
